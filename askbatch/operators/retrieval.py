@@ -95,7 +95,8 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Index a corpus table; `mkt` (`en-us`) keeps one language (`en`)."""
     if mkt:
         corpus = corpus.filter(F.col(lang_col) == F.lit(mkt.split("-")[0].lower()))
-    corpus = ensure_parallelism(corpus.select(id_col, text_col))
+    corpus = ensure_parallelism(corpus.select(id_col, text_col).withColumn(
+        text_col, F.coalesce(F.col(text_col), F.lit(""))))
     return CorpusIndex(with_term_runs(corpus, text_col, [id_col]), id_col)
 
 

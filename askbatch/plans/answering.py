@@ -54,6 +54,9 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     """
     valid = valid_questions(questions)
     hits, misses = memo_lookup(valid, memo)
+    # the new-question batch feeds retrieval, its size check and the
+    # requests: write it once (reliable checkpoint, lineage cut)
+    misses = misses.checkpoint()
     failures = _question_failures(questions, valid)
     if searches is not None:
         results = (scan_search_responses(searches.join(misses.select("question_id"), "question_id", "left_semi"))
@@ -66,8 +69,10 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
         queries = normalize_query(misses)
         ranked = retrieve_topk(queries, index, k=k, mkt=mkt, qid_col="question_id", text_col="query")
         urls = pages.select(F.col("page_id").alias("doc_id"), "url")
+        # k rows per question: small, read by the fetch join and its size check
         results = (ranked.join(urls, "doc_id")
-                   .select("question_id", (F.col("rank") - 1).alias("pos"), "url"))
+                   .select("question_id", (F.col("rank") - 1).alias("pos"), "url")
+                   .checkpoint())
     snapshot = pages if "status" in pages.columns else pages.withColumn("status", F.lit(200))
     fetched, fetch_fail = fetch_join(results, snapshot)
     pages_md = html_to_markdown(fetched)
