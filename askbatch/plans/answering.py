@@ -116,3 +116,34 @@ def finish_answers(questions: DataFrame, page_responses: DataFrame,
     new_memo = memo_merge(memo, to_store.select("question", "answer"))
     return Finished(final_requests, answers, new_memo,
                     failures.unionByName(response_failures(final_responses)))
+
+
+def refine_answers(queries: DataFrame, indexes: list[CorpusIndex], k: int = 5,
+                   min_score: float = 1.0, qid_col: str = "qid",
+                   text_col: str = "query") -> DataFrame:
+    """Search, review, search again (the loop planned in SURVEY 2.11).
+
+    `indexes` go from narrow to broad (e.g. the market's language, then the
+    whole corpus). A query whose best page scores at least `min_score` is
+    resolved in that round; the rest move to the next index. The last round
+    keeps what it finds. The loop is bounded by `len(indexes)`. Each round's
+    pending set is checkpointed, so lineage does not grow with the rounds.
+
+    Returns (qid, rank, doc_id, score, round).
+    """
+    pending = queries.select(qid_col, text_col)
+    accepted = None
+    for rnd, index in enumerate(indexes):
+        ranked = retrieve_topk(pending, index, k=k, qid_col=qid_col, text_col=text_col)
+        last = rnd == len(indexes) - 1
+        if last:
+            keep = ranked
+        else:
+            good = (ranked.groupBy(qid_col).agg(F.max("score").alias("_best"))
+                    .filter(F.col("_best") >= F.lit(min_score)).select(qid_col))
+            keep = ranked.join(good, qid_col, "left_semi")
+        keep = keep.withColumn("round", F.lit(rnd + 1).cast("long")).checkpoint()
+        accepted = keep if accepted is None else accepted.unionByName(keep)
+        if not last:
+            pending = pending.join(keep.select(qid_col).distinct(), qid_col, "left_anti").checkpoint()
+    return accepted

@@ -20,7 +20,7 @@ from ..sources.pages import fetch_join, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
 from ..sources.tables import read_table
 from ..session import ensure_parallelism
-from .answering import finish_answers, prepare_answers
+from .answering import finish_answers, prepare_answers, refine_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -284,6 +284,18 @@ def q_finish_answers(spark, root):
     return done.answers
 
 
+# The review-and-search-again query.
+REFINE_FIRST_MKT = "en-us"
+REFINE_MIN_SCORE = 20.0
+
+
+def q_refine_search(spark, root):
+    docs = _t(spark, root, "documents", ["doc_id", "text", "lang"])
+    narrow = retrieval.build_index(docs, mkt=REFINE_FIRST_MKT).materialize()
+    return refine_answers(_benchmark_queries(spark, root), [narrow, _doc_index(spark, root)],
+                          k=5, min_score=REFINE_MIN_SCORE)
+
+
 QUERIES: dict[str, Query] = {
     "scan_search_responses": q_scan_search_responses,
     "fetch_join": q_fetch_join,
@@ -318,4 +330,5 @@ QUERIES: dict[str, Query] = {
     "extract_passages": q_extract_passages,
     "prepare_answers": q_prepare_answers,
     "finish_answers": q_finish_answers,
+    "refine_search": q_refine_search,
 }

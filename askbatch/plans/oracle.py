@@ -428,6 +428,17 @@ def _finish_answers() -> str:
     """
 
 
+def _refine_search() -> str:
+    q_all = "SELECT item_id AS qid, text AS query FROM benchmark"
+    lang = C.REFINE_FIRST_MKT.split("-")[0]
+    r1 = bm25(q_all, f"SELECT doc_id, text FROM documents WHERE lang = {q(lang)}", 5)
+    good = f"SELECT qid FROM ({r1}) GROUP BY qid HAVING max(score) >= {C.REFINE_MIN_SCORE}"
+    pend = f"SELECT * FROM ({q_all}) WHERE qid NOT IN ({good})"
+    r2 = bm25(pend, "SELECT doc_id, text FROM documents", 5)
+    return (f"SELECT qid, rank, doc_id, score, CAST(1 AS BIGINT) AS round FROM ({r1}) WHERE qid IN ({good}) "
+            f"UNION ALL SELECT qid, rank, doc_id, score, CAST(2 AS BIGINT) AS round FROM ({r2})")
+
+
 def statements() -> dict[str, str]:
     blanks = _values(C.BLANK_QUESTIONS, "question_id, question")
     sites = _values(C.SITE_QUESTIONS, "question_id, question")
@@ -478,4 +489,5 @@ def statements() -> dict[str, str]:
         "extract_passages": _extract_passages(),
         "prepare_answers": _prepare_answers(),
         "finish_answers": _finish_answers(),
+        "refine_search": _refine_search(),
     }

@@ -75,3 +75,14 @@ def test_passages_best_line_by_overlap(spark):
     assert [(x.line_no, x.overlap, x.passage) for x in r] == [(2, 2, "cat on mat")]
     two = extract_passages(pairs, qs, n=2).orderBy("line_no").collect()
     assert [x.line_no for x in two] == [1, 2]
+
+
+def test_refine_moves_weak_queries_to_the_broad_index(spark):
+    from askbatch.plans.answering import refine_answers
+    docs = spark.createDataFrame([(1, "cat cat cat", "en"), (2, "chien chat", "fr"), (3, "dog", "en")],
+                                 "doc_id long, text string, lang string")
+    qs = spark.createDataFrame([(1, "cat"), (2, "chat"), (3, "zebra")], "qid long, query string")
+    narrow, broad = build_index(docs, mkt="en-us"), build_index(docs)
+    got = sorted((r.qid, r.doc_id, r.round) for r in refine_answers(qs, [narrow, broad], k=2, min_score=0.1).collect())
+    # "cat" resolves on the English index; "chat" only on the full corpus; "zebra" nowhere
+    assert got == [(1, 1, 1), (2, 2, 2)]
