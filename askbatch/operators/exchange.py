@@ -93,10 +93,20 @@ def build_format_requests(questions: DataFrame, model: str = MODEL,
                      None, model, temperature)
 
 
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
 def build_page_requests(pages_md: DataFrame, questions: DataFrame, model: str = MODEL,
-                        temperature: float = TEMPERATURE) -> DataFrame:
-    """One request per (question, page): `pages_md(question_id, pos, markdown)`."""
-    joined = pages_md.join(questions.select("question_id", "question"), "question_id")
+                        temperature: float = TEMPERATURE,
+                        broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """One request per (question, page): `pages_md(question_id, pos, markdown)`.
+
+    The question batch is broadcast when its row count is under
+    `broadcast_rows`, so the page text is not shuffled for this join."""
+    qs = questions.select("question_id", "question")
+    if qs.count() <= broadcast_rows:
+        qs = F.broadcast(qs)
+    joined = pages_md.join(qs, "question_id")
     prompt = fill(PAGE_PROMPT, question=F.col("question"), page=F.col("markdown"))
     return _requests(joined, KIND_PAGE, prompt, F.col("pos"), model, temperature)
 

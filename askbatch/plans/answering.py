@@ -25,6 +25,7 @@ from ..operators.memo import memo_lookup, memo_merge
 from ..operators.questions import normalize_query, valid_questions
 from ..operators.retrieval import CorpusIndex, retrieve_topk
 from ..schemas import FAILURES, STAGE_QUESTION
+from ..session import checkpointed
 from ..sources.pages import fetch_join
 from ..sources.search import scan_search_responses, search_failures
 
@@ -56,7 +57,7 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     hits, misses = memo_lookup(valid, memo)
     # the new-question batch feeds retrieval, its size check and the
     # requests: write it once (reliable checkpoint, lineage cut)
-    misses = misses.checkpoint()
+    misses = checkpointed(misses)
     failures = _question_failures(questions, valid)
     if searches is not None:
         results = (scan_search_responses(searches.join(misses.select("question_id"), "question_id", "left_semi"))
@@ -70,9 +71,8 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
         ranked = retrieve_topk(queries, index, k=k, mkt=mkt, qid_col="question_id", text_col="query")
         urls = pages.select(F.col("page_id").alias("doc_id"), "url")
         # k rows per question: small, read by the fetch join and its size check
-        results = (ranked.join(urls, "doc_id")
-                   .select("question_id", (F.col("rank") - 1).alias("pos"), "url")
-                   .checkpoint())
+        results = checkpointed(ranked.join(urls, "doc_id")
+                               .select("question_id", (F.col("rank") - 1).alias("pos"), "url"))
     snapshot = pages if "status" in pages.columns else pages.withColumn("status", F.lit(200))
     fetched, fetch_fail = fetch_join(results, snapshot)
     pages_md = html_to_markdown(fetched)
@@ -142,8 +142,8 @@ def refine_answers(queries: DataFrame, indexes: list[CorpusIndex], k: int = 5,
             good = (ranked.groupBy(qid_col).agg(F.max("score").alias("_best"))
                     .filter(F.col("_best") >= F.lit(min_score)).select(qid_col))
             keep = ranked.join(good, qid_col, "left_semi")
-        keep = keep.withColumn("round", F.lit(rnd + 1).cast("long")).checkpoint()
+        keep = checkpointed(keep.withColumn("round", F.lit(rnd + 1).cast("long")))
         accepted = keep if accepted is None else accepted.unionByName(keep)
         if not last:
-            pending = pending.join(keep.select(qid_col).distinct(), qid_col, "left_anti").checkpoint()
+            pending = checkpointed(pending.join(keep.select(qid_col).distinct(), qid_col, "left_anti"))
     return accepted

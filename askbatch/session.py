@@ -79,3 +79,13 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def checkpointed(df):
+    """Reliable checkpoint into the session's shared folder (lineage cut).
+
+    Never a local checkpoint: the data must survive the loss of the executor
+    that computed it.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
