@@ -160,10 +160,13 @@ def response_failures(responses: DataFrame) -> DataFrame:
 def collect_page_answers(content: DataFrame) -> DataFrame:
     """(question_id, answers array<string>, n_answers), answers by `pos`.
 
-    One group per question; its size is the number of pages answered, which
-    retrieval bounds by k, so no group grows with the corpus.
+    One group per question; its size is the number of distinct positions,
+    which retrieval bounds by k. Repeated (question, pos) rows, e.g. a
+    response delivered twice, are reduced map-side first (greatest content
+    wins), so a hot question cannot pile rows into one task.
     """
-    return (content.groupBy("question_id")
+    one = content.groupBy("question_id", "pos").agg(F.max("content").alias("content"))
+    return (one.groupBy("question_id")
             .agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_a"))
             .select("question_id", F.transform("_a", lambda x: x["content"]).alias("answers"),
                     F.size("_a").cast("long").alias("n_answers")))

@@ -61,10 +61,12 @@ def with_term_runs(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 @dataclass
 class CorpusIndex:
-    """One row per document: id, token count and (term, tf) runs."""
+    """One row per document: id, token count and (term, tf) runs; once
+    written, also the lexicon `term_stats(term, df)` over the whole corpus."""
 
     doc_terms: DataFrame
     id_col: str = "doc_id"
+    term_stats: DataFrame | None = None
 
     def postings(self) -> DataFrame:
         # explode_outer + explicit filter: a plain explode lets the optimizer
@@ -83,11 +85,17 @@ class CorpusIndex:
         return self.doc_terms.select(F.avg("doc_len")).scalar()
 
     def materialize(self, path: str | None = None) -> "CorpusIndex":
-        """Write the index once (one tokenising pass) and read it back."""
+        """Write the index once (one tokenising pass) and read it back.
+
+        The lexicon is aggregated from the written postings with map-side
+        partial counts, so a frequent term costs one row per task."""
         spark = self.doc_terms.sparkSession
-        path = path or scratch_path(spark, "index")
-        self.doc_terms.write.mode("overwrite").parquet(path)
-        return CorpusIndex(spark.read.parquet(path), self.id_col)
+        path = (path or scratch_path(spark, "index")).rstrip("/")
+        self.doc_terms.write.mode("overwrite").parquet(f"{path}/docs")
+        written = CorpusIndex(spark.read.parquet(f"{path}/docs"), self.id_col)
+        (written.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+         .write.mode("overwrite").parquet(f"{path}/terms"))
+        return CorpusIndex(written.doc_terms, self.id_col, spark.read.parquet(f"{path}/terms"))
 
 
 def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -130,7 +138,10 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
 
     n_docs = index.n_docs()
     avg_len = index.avg_len()
-    dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if index.term_stats is not None:
+        dfreq = index.term_stats.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+    else:
+        dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     term_w = dfreq.select("term", "df", idf.alias("idf"))
 

@@ -296,6 +296,10 @@ def q_refine_search(spark, root):
                           k=5, min_score=REFINE_MIN_SCORE)
 
 
+def q_pdf_link_counts(spark, root):
+    return stats.link_counts(q_find_pdf_links(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "scan_search_responses": q_scan_search_responses,
     "fetch_join": q_fetch_join,
@@ -331,4 +335,5 @@ QUERIES: dict[str, Query] = {
     "prepare_answers": q_prepare_answers,
     "finish_answers": q_finish_answers,
     "refine_search": q_refine_search,
+    "pdf_link_counts": q_pdf_link_counts,
 }

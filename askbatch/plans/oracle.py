@@ -150,9 +150,9 @@ def bm25(queries: str, corpus: str, k: int) -> str:
     qt_ AS (SELECT DISTINCT qid, unnest({tokens('query')}) AS term FROM ({queries})),
     df_ AS (SELECT term, count(*) AS df FROM po_ WHERE term IN (SELECT term FROM qt_) GROUP BY term),
     sc_ AS (SELECT qt_.qid, po_.doc_id,
-                   sum(ln(1 + (st_.n_docs - df_.df + 0.5) / (df_.df + 0.5)) * po_.tf * {K1 + 1.0}
-                       / (po_.tf + {K1} * ({1.0 - B} + {B} * po_.doc_len / st_.avg_len))) AS score
-            FROM qt_ JOIN po_ USING (term) JOIN df_ USING (term) CROSS JOIN st_
+                   sum(ln(1 + ((SELECT n_docs FROM st_) - df_.df + 0.5) / (df_.df + 0.5)) * po_.tf * {K1 + 1.0}
+                       / (po_.tf + {K1} * ({1.0 - B} + {B} * po_.doc_len / (SELECT avg_len FROM st_)))) AS score
+            FROM qt_ JOIN po_ USING (term) JOIN df_ USING (term)
             GROUP BY qt_.qid, po_.doc_id),
     rk_ AS (SELECT qid, doc_id, score,
                    row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank
@@ -490,4 +490,6 @@ def statements() -> dict[str, str]:
         "prepare_answers": _prepare_answers(),
         "finish_answers": _finish_answers(),
         "refine_search": _refine_search(),
+        "pdf_link_counts": (f"SELECT page_url, count(DISTINCT link_url) AS n_links FROM ({_find_pdf_links()}) "
+                            f"GROUP BY page_url"),
     }
