@@ -35,13 +35,28 @@ def latest(memo: DataFrame) -> DataFrame:
             .select("question", "_w.answer", "_w.stored_at"))
 
 
-def memo_merge(memo: DataFrame, answers: DataFrame, stored_at: Column | None = None) -> DataFrame:
-    """Union the new answers into the store, last write wins (op 3)."""
+def memo_merge(memo: DataFrame, answers: DataFrame, stored_at: Column | None = None,
+               unique_store: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Union the new answers into the store, last write wins (op 3).
+
+    A store written by `MemoStore` holds one row per key, so only keys of
+    the new batch can conflict: those old rows are pulled out with a semi
+    join against the (size-checked, broadcast) batch keys and resolved with
+    the batch; the rest of the store streams through an anti join, with no
+    shuffle and no sort of the whole store. `unique_store=False` resolves
+    every key instead (for a store of unknown provenance).
+    """
     new = answers.select("question", "answer",
                          (stored_at if stored_at is not None else
                           F.col("stored_at") if "stored_at" in answers.columns else
                           F.current_timestamp()).alias("stored_at"))
-    return latest(memo.select("question", "answer", "stored_at").unionByName(new))
+    old = memo.select("question", "answer", "stored_at")
+    if not unique_store:
+        return latest(old.unionByName(new))
+    keys = _small(new.select("question").distinct(), broadcast_rows)
+    untouched = old.join(keys, "question", "left_anti")
+    touched = old.join(keys, "question", "left_semi")
+    return untouched.unionByName(latest(touched.unionByName(new)))
 
 
 def _matched(questions: DataFrame, memo: DataFrame, col: str, limit: int) -> DataFrame:
@@ -77,9 +92,11 @@ def memo_delete(memo: DataFrame, keys: DataFrame, col: str = "question",
     return memo.join(_small(drop, broadcast_rows), "question", "left_anti")
 
 
-def memo_size(memo: DataFrame) -> DataFrame:
-    """One row: the number of stored keys (op 15)."""
-    return memo.select(F.count_distinct("question").cast("long").alias("n_keys"))
+def memo_size(memo: DataFrame, unique_store: bool = True) -> DataFrame:
+    """One row: the number of stored keys (op 15). A store holds one row per
+    key, so a plain count (partial per task, no shuffle of keys) suffices."""
+    n = F.count(F.lit(1)) if unique_store else F.count_distinct("question")
+    return memo.select(n.cast("long").alias("n_keys"))
 
 
 def memo_flush(memo: DataFrame) -> DataFrame:
