@@ -170,3 +170,20 @@ def collect_page_answers(content: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("_a"))
             .select("question_id", F.transform("_a", lambda x: x["content"]).alias("answers"),
                     F.size("_a").cast("long").alias("n_answers")))
+
+
+def queries_from_format_responses(questions: DataFrame, responses: DataFrame,
+                                  out: str = "query") -> tuple[DataFrame, DataFrame]:
+    """Search queries from the model's rewrite (`format` responses).
+
+    A question whose rewrite failed or is missing keeps its raw text as the
+    query, and the failure is returned as a row (the query is never the
+    response itself). Returns (questions + `out`, failures).
+    """
+    fmt = responses.filter(F.col("request_id").startswith(KIND_FORMAT + ":"))
+    good = (parse_responses(fmt).filter(F.col("kind") == KIND_FORMAT)
+            .groupBy("question_id").agg(F.max("content").alias("_rewrite")))
+    with_query = (questions.join(good, "question_id", "left")
+                  .withColumn(out, F.coalesce(F.col("_rewrite"), F.col("question")))
+                  .drop("_rewrite"))
+    return with_query, response_failures(fmt)

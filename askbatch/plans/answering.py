@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.exchange import (KIND_FINAL, KIND_PAGE, build_final_requests, build_page_requests,
-                                  collect_page_answers, parse_responses, response_failures)
+                                  collect_page_answers, parse_responses, queries_from_format_responses,
+                                  response_failures)
 from ..operators.markdown import html_to_markdown
 from ..operators.memo import memo_lookup, memo_merge
 from ..operators.questions import normalize_query, valid_questions
@@ -46,12 +47,15 @@ def _question_failures(questions: DataFrame, valid: DataFrame) -> DataFrame:
 
 def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
                     index: CorpusIndex | None = None, searches: DataFrame | None = None,
-                    k: int = 5, mkt: str | None = None) -> Prepared:
+                    k: int = 5, mkt: str | None = None,
+                    format_responses: DataFrame | None = None) -> Prepared:
     """Plan 26. `pages(page_id, url, html[, status])` is the crawl snapshot.
 
     Ranked pages come from `index` (an index over page ids, e.g. built from
     the markdown of the snapshot) or, when `searches` is given, from search
-    API responses keyed by question_id.
+    API responses keyed by question_id. The search query is the rule-based
+    rewrite, or the model's rewrite when `format_responses` is given (a
+    failed rewrite falls back to the question and is recorded).
     """
     valid = valid_questions(questions)
     hits, misses = memo_lookup(valid, memo)
@@ -67,7 +71,11 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     else:
         if index is None:
             raise ValueError("need an index or search responses")
-        queries = normalize_query(misses)
+        if format_responses is not None:
+            queries, fmt_fail = queries_from_format_responses(misses, format_responses)
+            failures = failures.unionByName(fmt_fail)
+        else:
+            queries = normalize_query(misses)
         ranked = retrieve_topk(queries, index, k=k, mkt=mkt, qid_col="question_id", text_col="query")
         urls = pages.select(F.col("page_id").alias("doc_id"), "url")
         # k rows per question: small, read by the fetch join and its size check

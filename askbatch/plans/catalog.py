@@ -321,6 +321,13 @@ def q_refine_search(spark, root):
                           k=5, min_score=REFINE_MIN_SCORE)
 
 
+def q_format_queries(spark, root):
+    conv = _conv(spark, root)
+    got, _ = exchange.queries_from_format_responses(
+        _questions(spark, root).select("question_id", "question"), derived.format_response_envelopes(conv))
+    return got.select("question_id", "query")
+
+
 def q_pdf_link_counts(spark, root):
     return stats.link_counts(q_find_pdf_links(spark, root))
 
@@ -361,4 +368,5 @@ QUERIES: dict[str, Query] = {
     "finish_answers": q_finish_answers,
     "refine_search": q_refine_search,
     "pdf_link_counts": q_pdf_link_counts,
+    "format_queries": q_format_queries,
 }

@@ -439,6 +439,16 @@ def _refine_search() -> str:
             f"UNION ALL SELECT qid, rank, doc_id, score, CAST(2 AS BIGINT) AS round FROM ({r2})")
 
 
+def _format_queries() -> str:
+    env = (f"SELECT 'format:' || CAST(question_id AS VARCHAR) AS request_id, "
+           f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN 502 ELSE 200 END AS status, "
+           f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN NULL "
+           f"ELSE {chat('split_part(answer, chr(10), 1)')} END AS body FROM ({QA})")
+    good = f"SELECT question_id, max(content) AS rw FROM ({parse_ok(env)}) WHERE kind = 'format' GROUP BY 1"
+    return (f"SELECT q.question_id, coalesce(g.rw, q.question) AS query FROM ({QUESTIONS}) q "
+            f"LEFT JOIN ({good}) g USING (question_id)")
+
+
 def statements() -> dict[str, str]:
     blanks = _values(C.BLANK_QUESTIONS, "question_id, question")
     sites = _values(C.SITE_QUESTIONS, "question_id, question")
@@ -492,4 +502,5 @@ def statements() -> dict[str, str]:
         "refine_search": _refine_search(),
         "pdf_link_counts": (f"SELECT page_url, count(DISTINCT link_url) AS n_links FROM ({_find_pdf_links()}) "
                             f"GROUP BY page_url"),
+        "format_queries": _format_queries(),
     }

@@ -19,7 +19,7 @@ RESULTS_PER_SEARCH = 5
 TURN_BASE = 1000          # question_id = conv_id * TURN_BASE + turn
 SEARCH_CASES = 8          # question_id % 8: 4 -> 503, 5 -> cut JSON, 6 -> {}, 7 -> no value
 PAGE_CASES = 9            # (turn + pos) % 9: 4 -> 500, 7 -> no choices, 8 -> cut JSON
-FINAL_CASES = 5           # turn % 5: 3 -> 500
+FINAL_CASES = 5           # turn % 5: 3 -> 500 (final), 1 -> 502 (format)
 CUT_JSON_CHARS = 25
 
 
@@ -108,3 +108,15 @@ def final_response_envelopes(conv: DataFrame) -> DataFrame:
 def doc_pages_from_conversations(conv: DataFrame) -> DataFrame:
     """doc_pages(doc_id, page_no, text): a conversation as a paged document."""
     return conv.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+
+
+def format_response_envelopes(conv: DataFrame) -> DataFrame:
+    """responses(request_id, status, body) for `format` requests: the first
+    line of the assistant reply is the rewritten query."""
+    qa = qa_pairs(conv)
+    case = F.pmod(F.col("question_id") % TURN_BASE, F.lit(FINAL_CASES))
+    return qa.select(
+        F.concat_ws(":", F.lit("format"), F.col("question_id").cast("string")).alias("request_id"),
+        F.when(case == 1, F.lit(502)).otherwise(F.lit(200)).alias("status"),
+        F.when(case == 1, F.lit(None).cast("string"))
+         .otherwise(chat_body(F.get(F.split("answer", "\n"), 0))).alias("body"))

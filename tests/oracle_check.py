@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -22,11 +23,16 @@ from askbatch.session import local_session  # noqa: E402
 from askbatch.sources.tables import TABLES  # noqa: E402
 
 
+EXACT = os.environ.get("ORACLE_EXACT_FLOATS") == "1"
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        if math.isnan(v):
+            return None
+        return v if EXACT else round(v, 6)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if isinstance(v, dict):

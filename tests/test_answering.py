@@ -60,3 +60,15 @@ def test_finish_answers_and_memo(spark):
     # only requests go out without final responses
     part = finish_answers(qs, pr, None, empty_memo)
     assert part.final_requests.count() == qs.count() and part.answers.count() == 0
+
+
+def test_prepare_with_model_rewrites(spark):
+    conv = C._conv(spark, SF)
+    qs = C._questions(spark, SF)
+    empty_memo = C._memo(spark, SF).limit(0)
+    fmt = derived.format_response_envelopes(conv)
+    prep = prepare_answers(qs, empty_memo, snapshot_from_pages(C._pages(spark, SF)),
+                           index=C._page_index(spark, SF), format_responses=fmt)
+    n_fmt_fail = fmt.filter(F.col("status") != 200).count()
+    assert prep.failures.filter(F.col("stage") == "model").count() == n_fmt_fail
+    assert prep.results.count() > 0

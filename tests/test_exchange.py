@@ -57,3 +57,12 @@ def test_page_request_uses_question_and_markdown(spark):
     content = json.loads(r.body)["messages"][0]["content"]
     assert r.request_id == "page:1:0" and r.pos == 0
     assert "question: q?" in content and "source: http://x \nbody" in content
+
+
+def test_q6_failed_rewrite_falls_back_to_question(spark):
+    qs = spark.createDataFrame([(1, "raw one"), (2, "raw two"), (3, "raw three")], "question_id long, question string")
+    resp = spark.createDataFrame([("format:1", 200, '{"choices":[{"message":{"content":"rewritten"}}]}'),
+                                  ("format:2", 500, None)], RESP)
+    got, fails = X.queries_from_format_responses(qs, resp)
+    assert {r.question_id: r.query for r in got.collect()} == {1: "rewritten", 2: "raw two", 3: "raw three"}
+    assert [(r.key, r.reason) for r in fails.collect()] == [("format:2", "http_status")]
