@@ -93,3 +93,18 @@ def test_normalize_query_drops_site_and_stop_words(spark):
     assert got[1] == "make cake"
     assert got[2] == "the of and"      # nothing left: distinct tokens
     assert got[3] == "site:x.org"      # no tokens at all: the question itself
+
+
+def test_q12_missing_page_gives_failure_row(spark):
+    from askbatch.operators.links import link_failures
+    pages = spark.createDataFrame([("http://x", None), ("http://y", "<a href='a.pdf'>a</a>")], "url string, html string")
+    assert [(r.key, r.reason) for r in link_failures(pages).collect()] == [("http://x", "no_content")]
+    assert [r.page_url for r in find_pdf_links(pages).collect()] == ["http://y"]
+
+
+def test_scan_pages_defaults_status(spark):
+    from askbatch.session import scratch_path
+    from askbatch.sources.pages import scan_pages
+    path = scratch_path(spark, "snapshot")
+    spark.createDataFrame([(1, "http://a", "<p>a</p>")], "page_id long, url string, html string").write.parquet(path)
+    assert [r.status for r in scan_pages(spark, path).collect()] == [200]
