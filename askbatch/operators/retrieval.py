@@ -6,10 +6,12 @@ Plan shape, chosen for a corpus far larger than the query set:
   runs), so building postings needs no shuffle at all.
 * Query terms are the small side. Their size is measured first: under
   ``broadcast_rows`` they are broadcast and the postings are never shuffled;
-  above it both sides are hash-joined on (term, salt), with the postings of
+  above it (see `score_pairs`) the vocabulary alone may still be broadcast
+  as a filter, and the join runs on (term, salt), with the postings of
   frequent terms spread over ``salt_buckets`` buckets and the matching query
   rows replicated, so a stop-word posting list does not land in one task.
-* Document frequency is aggregated only for query terms, with map-side
+* Document frequency comes from the index lexicon when the index was
+  written, else it is aggregated only for query terms, with map-side
   partial aggregation, so its shuffle carries one row per term per task.
 * Scores are summed per (query, doc) (partial + final aggregate) and cut to
   the top k with a window whose partial group-limit runs before the shuffle.
@@ -122,26 +124,45 @@ def _bm25(tf: Column, doc_len: Column, idf: Column, avg_len: Column) -> Column:
 
 def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
                 text_col: str = "query", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salt_buckets: int = DEFAULT_SALT_BUCKETS) -> DataFrame:
+                salt_buckets: int = DEFAULT_SALT_BUCKETS,
+                vocab_broadcast_rows: int | None = None) -> DataFrame:
     """BM25 score of every (query, document) pair sharing at least one term.
 
-    Returns (qid, doc_id, score). The size of the query-term table decides
-    the join strategy (see module doc); nothing is capped or sampled.
+    Returns (qid, doc_id, score). Three tiers, chosen by measured sizes:
+
+    1. query terms (qid, term) under `broadcast_rows`: everything about the
+       queries is broadcast; postings are filtered and scored in place, with
+       no shuffle of postings.
+    2. too many query terms, but the distinct vocabulary under
+       `vocab_broadcast_rows`: the vocabulary is broadcast as a filter, so
+       only matching postings reach the one salted shuffle join.
+    3. otherwise the postings go straight to the salted shuffle join.
+
+    In tiers 2 and 3 the postings of frequent terms are spread over
+    `salt_buckets` by doc id and the query rows of those terms are
+    replicated. Nothing is capped or sampled.
     """
     qt = query_terms(queries, qid_col, text_col)
-    n_qt = qt.count()
-    small = n_qt <= broadcast_rows
-
+    small = qt.count() <= broadcast_rows
     vocab = qt.select("term").distinct()
+    vlimit = broadcast_rows if vocab_broadcast_rows is None else vocab_broadcast_rows
+    vocab_small = small or vocab.count() <= vlimit
+    vocab_side = F.broadcast(vocab) if vocab_small else vocab
+
     postings = index.postings()
-    matched = postings.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+    matched = postings.join(F.broadcast(vocab), "term", "left_semi") if vocab_small else postings
 
     n_docs = index.n_docs()
     avg_len = index.avg_len()
     if index.term_stats is not None:
-        dfreq = index.term_stats.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
+        dfreq = index.term_stats.join(vocab_side, "term", "left_semi")
     else:
+        # without a lexicon: count postings per term with partial aggregation
+        # (one row per term per task), over query terms only when the
+        # vocabulary filter is broadcast, else over all and filtered after
         dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if not vocab_small:
+            dfreq = dfreq.join(vocab, "term", "left_semi")
     idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     term_w = dfreq.select("term", "df", idf.alias("idf"))
 
@@ -149,13 +170,13 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
         qw = qt.join(F.broadcast(term_w), "term")
         hits = matched.join(F.broadcast(qw), "term")
     else:
-        # frequent terms: spread postings by doc over buckets, replicate queries
         hot = F.col("df") > F.lit(HOT_DF_SHARE) * n_docs
         qw = (qt.join(term_w, "term")
                 .withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
                                                .otherwise(F.array(F.lit(0))))))
+        # hot terms number at most (distinct terms per doc) / HOT_DF_SHARE,
+        # whatever the corpus size: a proven bound, so broadcast
         hot_terms = term_w.filter(hot).select("term", F.lit(True).alias("is_hot"))
-        # hot terms number at most (average distinct terms per doc) / HOT_DF_SHARE
         salted = (matched.join(F.broadcast(hot_terms), "term", "left")
                   .withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets)))
                                        .otherwise(F.lit(0)))

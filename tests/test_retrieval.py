@@ -45,13 +45,17 @@ def test_bm25_topk_matches_brute_force(spark):
     assert got == brute(3)
 
 
-def test_bm25_shuffle_path_with_salting_matches(spark):
+def test_bm25_all_join_tiers_agree(spark):
     docs, qs = _frames(spark)
-    idx = build_index(docs)
-    a = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx).collect())
-    b = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx, broadcast_rows=0,
-                                                                          salt_buckets=4).collect())
-    assert a == b and len(a) > 0
+    for idx in (build_index(docs), build_index(docs).materialize()):
+        a = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx).collect())
+        # tier 2: vocabulary broadcast as a filter, salted shuffle join
+        b = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(
+            qs, idx, broadcast_rows=0, vocab_broadcast_rows=1000, salt_buckets=4).collect())
+        # tier 3: straight to the salted shuffle join
+        c = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(
+            qs, idx, broadcast_rows=0, vocab_broadcast_rows=0, salt_buckets=4).collect())
+        assert a == b == c and len(a) > 0
 
 
 def test_materialized_index_gives_same_ranking(spark):
