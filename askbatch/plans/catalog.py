@@ -27,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Fixed values for derived fixtures.
 MEMO_OLD_EPOCH = 1704067200      # 2024-01-01T00:00:00Z, + question_id seconds
 MEMO_NEW_EPOCH = 1717200000      # a later batch
+MEMO_DRAFT = "draft: "           # the earlier stored answer is marked as a draft
 BLANK_QUESTIONS = [(-1, None), (-2, ""), (-3, "   "), (-4, "\t"), (-5, " \n ")]
 SITE_QUESTIONS = [(-11, "best cake recipe site:example.com"), (-12, "site:a.org"),
                   (-13, "How do I make a cake?")]
@@ -136,7 +137,7 @@ def q_memo_store(spark, root):
     qa = derived.qa_pairs(_conv(spark, root))
     new = (qa.filter(F.col("answer").contains("\n"))
            .select("question", "answer", F.timestamp_seconds(F.lit(MEMO_NEW_EPOCH)).alias("stored_at")))
-    old = qa.select("question", F.get(F.split("answer", "\n"), 0).alias("answer"),
+    old = qa.select("question", F.concat(F.lit(MEMO_DRAFT), F.col("answer")).alias("answer"),
                     F.timestamp_seconds(F.lit(MEMO_OLD_EPOCH) + F.col("question_id")).alias("stored_at"))
     merged = memo.memo_merge(old, new)
     return merged.select("question", "answer", F.unix_seconds("stored_at").alias("stored_ts"))

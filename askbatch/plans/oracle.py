@@ -174,7 +174,7 @@ SEARCHES = f"""
 SELECT question_id,
        CASE WHEN question_id % {D.SEARCH_CASES} = 4 THEN 503 ELSE 200 END AS status,
        CASE question_id % {D.SEARCH_CASES} WHEN 4 THEN NULL
-            WHEN 5 THEN substring(body, 1, {D.CUT_JSON_CHARS}) WHEN 6 THEN '{{}}'
+            WHEN 5 THEN {q(D.BROKEN_JSON_LEAD)} || body WHEN 6 THEN '{{}}'
             WHEN 7 THEN '{{"webPages":{{}}}}' ELSE body END AS body
 FROM (SELECT question_id, to_json({{'webPages': {{'value': list(v ORDER BY page_id)}}}})::VARCHAR AS body
       FROM (SELECT CAST(page_id // {D.RESULTS_PER_SEARCH} AS BIGINT) AS question_id, page_id,
@@ -240,7 +240,7 @@ PAGE_RESPONSES = f"""
 SELECT 'page:' || CAST(question_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS request_id,
        CASE WHEN c_ = 4 THEN 500 ELSE 200 END AS status,
        CASE WHEN c_ = 4 THEN NULL WHEN c_ = 7 THEN '{{"choices":[]}}'
-            WHEN c_ = 8 THEN substring({chat('line')}, 1, {D.CUT_JSON_CHARS}) ELSE {chat('line')} END AS body
+            WHEN c_ = 8 THEN {q(D.BROKEN_JSON_LEAD)} || {chat('line')} ELSE {chat('line')} END AS body
 FROM (SELECT *, ((question_id % {D.TURN_BASE}) + pos) % {D.PAGE_CASES} AS c_
       FROM (SELECT question_id, unnest(string_split(answer, chr(10))) AS line,
                    unnest(range(CAST(len(string_split(answer, chr(10))) AS BIGINT))) AS pos FROM ({QA})))
@@ -330,7 +330,7 @@ def _stage_counts() -> str:
 
 
 def _memo_store() -> str:
-    old = (f"SELECT question, split_part(answer, chr(10), 1) AS answer, {C.MEMO_OLD_EPOCH} + question_id AS stored_ts "
+    old = (f"SELECT question, {q(C.MEMO_DRAFT)} || answer AS answer, {C.MEMO_OLD_EPOCH} + question_id AS stored_ts "
            f"FROM ({QA})")
     new = f"SELECT question, answer, {C.MEMO_NEW_EPOCH} AS stored_ts FROM ({QA}) WHERE contains(answer, chr(10))"
     return f"SELECT question, answer, CAST(stored_ts AS BIGINT) AS stored_ts FROM ({latest_memo(f'{old} UNION ALL {new}')})"
@@ -443,7 +443,7 @@ def _format_queries() -> str:
     env = (f"SELECT 'format:' || CAST(question_id AS VARCHAR) AS request_id, "
            f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN 502 ELSE 200 END AS status, "
            f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN NULL "
-           f"ELSE {chat('split_part(answer, chr(10), 1)')} END AS body FROM ({QA})")
+           f"ELSE {chat(normalize('question'))} END AS body FROM ({QA})")
     good = f"SELECT question_id, max(content) AS rw FROM ({parse_ok(env)}) WHERE kind = 'format' GROUP BY 1"
     return (f"SELECT q.question_id, coalesce(g.rw, q.question) AS query FROM ({QUESTIONS}) q "
             f"LEFT JOIN ({good}) g USING (question_id)")

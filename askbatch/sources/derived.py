@@ -12,15 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_edges
+from ..functions.text import normalize_query, strip_edges
 
 # Id layout and failure assignment for derived fixtures.
 RESULTS_PER_SEARCH = 5
 TURN_BASE = 1000          # question_id = conv_id * TURN_BASE + turn
-SEARCH_CASES = 8          # question_id % 8: 4 -> 503, 5 -> cut JSON, 6 -> {}, 7 -> no value
-PAGE_CASES = 9            # (turn + pos) % 9: 4 -> 500, 7 -> no choices, 8 -> cut JSON
+SEARCH_CASES = 8          # question_id % 8: 4 -> 503, 5 -> broken JSON, 6 -> {}, 7 -> no value
+PAGE_CASES = 9            # (turn + pos) % 9: 4 -> 500, 7 -> no choices, 8 -> broken JSON
 FINAL_CASES = 5           # turn % 5: 3 -> 500 (final), 1 -> 502 (format)
-CUT_JSON_CHARS = 25
+BROKEN_JSON_LEAD = "{"    # a stray brace before a whole body makes it invalid JSON
+
+
+def broken_json(body: Column) -> Column:
+    return F.concat(F.lit(BROKEN_JSON_LEAD), body)
 
 
 def question_id(conv_id: Column, turn: Column) -> Column:
@@ -66,7 +70,7 @@ def search_envelopes(pages: DataFrame) -> DataFrame:
         "question_id",
         F.when(case == 4, F.lit(503)).otherwise(F.lit(200)).alias("status"),
         F.when(case == 4, F.lit(None).cast("string"))
-         .when(case == 5, F.substring(body, 1, CUT_JSON_CHARS))
+         .when(case == 5, broken_json(body))
          .when(case == 6, F.lit("{}"))
          .when(case == 7, F.lit('{"webPages":{}}'))
          .otherwise(body).alias("body"))
@@ -90,7 +94,7 @@ def page_response_envelopes(conv: DataFrame) -> DataFrame:
         F.when(case == 4, F.lit(500)).otherwise(F.lit(200)).alias("status"),
         F.when(case == 4, F.lit(None).cast("string"))
          .when(case == 7, F.lit('{"choices":[]}'))
-         .when(case == 8, F.substring(body, 1, CUT_JSON_CHARS))
+         .when(case == 8, broken_json(body))
          .otherwise(body).alias("body"))
 
 
@@ -111,12 +115,12 @@ def doc_pages_from_conversations(conv: DataFrame) -> DataFrame:
 
 
 def format_response_envelopes(conv: DataFrame) -> DataFrame:
-    """responses(request_id, status, body) for `format` requests: the first
-    line of the assistant reply is the rewritten query."""
+    """responses(request_id, status, body) for `format` requests: the
+    rule-based rewrite of the whole question stands in for the model's."""
     qa = qa_pairs(conv)
     case = F.pmod(F.col("question_id") % TURN_BASE, F.lit(FINAL_CASES))
     return qa.select(
         F.concat_ws(":", F.lit("format"), F.col("question_id").cast("string")).alias("request_id"),
         F.when(case == 1, F.lit(502)).otherwise(F.lit(200)).alias("status"),
         F.when(case == 1, F.lit(None).cast("string"))
-         .otherwise(chat_body(F.get(F.split("answer", "\n"), 0))).alias("body"))
+         .otherwise(chat_body(normalize_query(F.col("question")))).alias("body"))
