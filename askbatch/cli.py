@@ -19,11 +19,11 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.markdown import html_to_markdown
-from .operators.memo import MemoStore
-from .operators.retrieval import CorpusIndex, build_index
-from .plans.answering import finish_answers, prepare_answers
-from .session import ensure_checkpoint_dir
+from askbatch.operators.markdown import html_to_markdown
+from askbatch.operators.memo import MemoStore
+from askbatch.operators.retrieval import CorpusIndex, build_index
+from askbatch.plans.answering import finish_answers, prepare_answers
+from askbatch.session import ensure_checkpoint_dir
 
 
 PAGE_LANG = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/([a-z]{2})(?:/|$)"
