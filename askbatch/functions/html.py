@@ -30,6 +30,8 @@ MARKUP_RULES = [
     (r"(?i)</h[1-6]\s*>", "\n\n"),
     (r"(?i)<li\b[^>]*>", "\n* "),
     (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
+    (r"(?i)</t[dh]\s*>", " "),
     (r"(?i)</?(?:b|strong)\b[^>]*>", "**"),
     (r"(?i)</?(?:i|em)\b[^>]*>", "_"),
     (r"(?i)</?(?:p|div|article|section|nav|header|footer|main|aside|ul|ol|"

@@ -108,3 +108,9 @@ def test_scan_pages_defaults_status(spark):
     path = scratch_path(spark, "snapshot")
     spark.createDataFrame([(1, "http://a", "<p>a</p>")], "page_id long, url string, html string").write.parquet(path)
     assert [r.status for r in scan_pages(spark, path).collect()] == [200]
+
+
+def test_markdown_tables_and_rules(spark):
+    html = "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th><td>d</td></tr></table><hr>end"
+    md = html_to_markdown(spark.createDataFrame([("u", html)], "url string, html string")).first().markdown
+    assert "a b" in md and "c d" in md and "* * *" in md and md.rstrip().endswith("end")
