@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB oracle on the sf0.001 tables,
 and the flagship entry point."""
 
-import pytest
 
 import __spark_entry__ as E
 from tests.oracle_check import run
