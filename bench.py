@@ -45,15 +45,23 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16)
     # warm-up: JIT and file listing, not timed
     QUERIES["html_to_markdown"](spark, root).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.time()
-        QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as e:  # record and go on: one failure must not hide the rest
+            times[name] = None
+            errors[name] = str(e)[:500]
         print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
     sf = Path(root).name.replace("sf", "")
-    print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+    out = {"metric": "total_query_time",
+           "value": round(sum(t for t in times.values() if t is not None), 3),
+           "unit": "sec", "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
