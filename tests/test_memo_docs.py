@@ -77,3 +77,10 @@ def test_f15_assemble_document_in_page_order(spark):
                                   "doc_id long, page_no long, text string")
     got = {r.doc_id: (r.text, r.n_pages) for r in assemble_document(pages).collect()}
     assert got == {1: ("ac", 3), 2: ("x", 1)}
+
+
+def test_assemble_document_across_chunks(spark):
+    rows = [(1, p, f"<{p}>") for p in range(25)] + [(1, 30, None)]
+    pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
+    r = assemble_document(pages, chunk_pages=4).first()
+    assert r.text == "".join(f"<{p}>" for p in range(25)) and r.n_pages == 26
