@@ -154,17 +154,21 @@ class MemoStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _listed(self, complete_only: bool) -> list[int]:
         path, fs = self._fs()
         if not fs.exists(path):
             return []
         out = []
         for st in fs.listStatus(path):
             m = self._V.match(st.getPath().getName())
-            if m and fs.exists(st.getPath().suffix("/_SUCCESS")):
+            if m and (not complete_only or fs.exists(st.getPath().suffix("/_SUCCESS"))):
                 out.append(int(m.group(1)))
         return sorted(out)
 
+    def versions(self) -> list[int]:
+        """Complete versions only: a write that died midway has no _SUCCESS."""
+        return self._listed(complete_only=True)
+
     def _path(self, v: int) -> str:
         return f"{self.root}/v={v:06d}"
 
@@ -175,7 +179,9 @@ class MemoStore:
         return self.spark.read.schema(MEMO).parquet(self._path(vs[-1]))
 
     def _write(self, df: DataFrame) -> int:
-        vs = self.versions()
+        # number past every directory, complete or not, so a retry after a
+        # failed write never collides with its leftovers
+        vs = self._listed(complete_only=False)
         v = (vs[-1] + 1) if vs else 1
         df.select("question", "answer", "stored_at").write.mode("errorifexists").parquet(self._path(v))
         return v

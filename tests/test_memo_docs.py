@@ -84,3 +84,18 @@ def test_assemble_document_across_chunks(spark):
     pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
     r = assemble_document(pages, chunk_pages=4).first()
     assert r.text == "".join(f"<{p}>" for p in range(25)) and r.n_pages == 26
+
+
+def test_store_skips_a_failed_version(spark):
+    root = scratch_path(spark, "memo-failed")
+    store = M.MemoStore(spark, root)
+    ans = spark.createDataFrame([("q1", "a1")], "question string, answer string")
+    store.store(ans)
+    # leftovers of a write that died: a version folder without _SUCCESS
+    spark.createDataFrame([("x", "y")], "question string, answer string").write.json(f"{root}/v=000002")
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root}/v=000002/_SUCCESS")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+    assert store.versions() == [1]
+    assert store.store(spark.createDataFrame([("q2", "a2")], "question string, answer string")) == 3
+    assert sorted(r.question for r in store.read().collect()) == ["q1", "q2"]
