@@ -38,13 +38,15 @@ URL_CASES = [(b, h) for b in ("http://example.com", "http://e.com/a/b/c?x=1#f",
 PDF_REWRITE = (r'href="(/d[^"]*)"', 'href="$1.PDF"')
 
 
-# text-heavy tables: split across all cores when the files arrive as few splits
-HEAVY = {"pages", "documents"}
+def _t(spark: SparkSession, root: str, name: str, cols: list[str] | None = None) -> DataFrame:
+    return read_table(spark, root, name, cols)
 
 
-def _t(spark: SparkSession, root: str, name: str, cols: list[str] | None = None) -> DataFrame:
-    df = read_table(spark, root, name, cols)
-    return ensure_parallelism(df) if name in HEAVY else df
+def _heavy(df: DataFrame) -> DataFrame:
+    """Split a text table across all cores when its files arrive as few
+    splits, before CPU-heavy per-row work (markdown, links, tokenising).
+    Scans that only feed a join or a hash probe are left as they are."""
+    return ensure_parallelism(df)
 
 
 def _conv(spark, root):
@@ -108,7 +110,7 @@ def _shared_index(spark, root, table, kind, build):
 
 def _page_index(spark, root):
     def build():
-        md = html_to_markdown(_pages(spark, root))
+        md = html_to_markdown(_heavy(_pages(spark, root)))
         return retrieval.build_index(md, id_col="page_id", text_col="markdown").materialize()
     return _shared_index(spark, root, "pages", "markdown", build)
 
@@ -235,7 +237,7 @@ def q_retrieve_topk(spark, root):
 
 
 def _page_links(spark, root):
-    return links.extract_links(_pages(spark, root))
+    return links.extract_links(_heavy(_pages(spark, root)))
 
 
 def q_distinct_links(spark, root):
@@ -267,11 +269,11 @@ def q_build_requests_final(spark, root):
 
 
 def q_html_to_markdown(spark, root):
-    return html_to_markdown(_pages(spark, root)).select("page_id", "url", "markdown")
+    return html_to_markdown(_heavy(_pages(spark, root))).select("page_id", "url", "markdown")
 
 
 def q_find_pdf_links(spark, root):
-    pages = _pages(spark, root).withColumn("html", F.regexp_replace("html", *PDF_REWRITE))
+    pages = _heavy(_pages(spark, root)).withColumn("html", F.regexp_replace("html", *PDF_REWRITE))
     return links.find_pdf_links(pages)
 
 
