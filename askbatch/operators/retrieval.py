@@ -70,15 +70,20 @@ class CorpusIndex:
     id_col: str = "doc_id"
     term_stats: DataFrame | None = None
 
+    @property
+    def has_lang(self) -> bool:
+        return "lang" in self.doc_terms.columns
+
     def postings(self) -> DataFrame:
         # explode_outer + explicit filter: a plain explode lets the optimizer
         # infer `size(runs) > 0` and push it below the projections, where it
         # would inline the sorted-token expression into the lambdas
+        extra = ["lang"] if self.has_lang else []
         return (self.doc_terms
-                .select(F.col(self.id_col).alias("doc_id"), "doc_len",
+                .select(F.col(self.id_col).alias("doc_id"), "doc_len", *extra,
                         F.explode_outer("runs").alias("r"))
                 .filter(F.col("r").isNotNull())
-                .select("r.term", "doc_id", "r.tf", "doc_len"))
+                .select("r.term", "doc_id", "r.tf", "doc_len", *extra))
 
     def n_docs(self) -> Column:
         return self.doc_terms.select(F.count(F.lit(1))).scalar()
@@ -100,19 +105,30 @@ class CorpusIndex:
         return CorpusIndex(written.doc_terms, self.id_col, spark.read.parquet(f"{path}/terms"))
 
 
+def market_lang(mkt: Column) -> Column:
+    """`en-us` -> `en`; null stays null."""
+    return F.lower(F.substring_index(mkt, "-", 1))
+
+
 def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 mkt: str | None = None, lang_col: str = "lang") -> CorpusIndex:
-    """Index a corpus table; `mkt` (`en-us`) keeps one language (`en`)."""
-    if mkt:
-        corpus = corpus.filter(F.col(lang_col) == F.lit(mkt.split("-")[0].lower()))
-    corpus = ensure_parallelism(corpus.select(id_col, text_col).withColumn(
-        text_col, F.coalesce(F.col(text_col), F.lit(""))))
-    return CorpusIndex(with_term_runs(corpus, text_col, [id_col]), id_col)
+    """Index a corpus table; `mkt` (`en-us`) keeps one language (`en`).
 
-
-def query_terms(queries: DataFrame, qid_col: str, text_col: str) -> DataFrame:
-    """Distinct (qid, term) rows; a term counts once per query."""
-    return (queries.select(F.col(qid_col).alias("qid"),
+    When the corpus has `lang_col`, each document keeps its language, so
+    queries can carry their own market (see `score_pairs`)."""
+    if mkt:
+        corpus = corpus.filter(F.col(lang_col) == market_lang(F.lit(mkt)))
+    keep = [id_col] + (["lang"] if lang_col in corpus.columns else [])
+    cols = [F.col(id_col)] + ([F.lower(F.col(lang_col)).alias("lang")] if len(keep) > 1 else [])
+    corpus = ensure_parallelism(corpus.select(*cols, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+    return CorpusIndex(with_term_runs(corpus, text_col, keep), id_col)
+
+
+def query_terms(queries: DataFrame, qid_col: str, text_col: str,
+                mkt_col: str | None = None) -> DataFrame:
+    """Distinct (qid, term[, q_lang]) rows; a term counts once per query."""
+    extra = [market_lang(F.col(mkt_col)).alias("q_lang")] if mkt_col else []
+    return (queries.select(F.col(qid_col).alias("qid"), *extra,
                            F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
             .dropDuplicates(["qid", "term"]))
 
@@ -125,7 +141,8 @@ def _bm25(tf: Column, doc_len: Column, idf: Column, avg_len: Column) -> Column:
 def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
                 text_col: str = "query", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 salt_buckets: int = DEFAULT_SALT_BUCKETS,
-                vocab_broadcast_rows: int | None = None) -> DataFrame:
+                vocab_broadcast_rows: int | None = None,
+                mkt_col: str | None = None) -> DataFrame:
     """BM25 score of every (query, document) pair sharing at least one term.
 
     Returns (qid, doc_id, score). Three tiers, chosen by measured sizes:
@@ -141,8 +158,14 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
     In tiers 2 and 3 the postings of frequent terms are spread over
     `salt_buckets` by doc id and the query rows of those terms are
     replicated. Nothing is capped or sampled.
+
+    With `mkt_col` (e.g. `en-us`) on the queries and a language kept in the
+    index, a query only scores documents of its market's language (a null
+    market scores all); corpus statistics stay corpus-wide.
     """
-    qt = query_terms(queries, qid_col, text_col)
+    if mkt_col and not index.has_lang:
+        raise ValueError("per-query markets need an index built from a corpus with a language column")
+    qt = query_terms(queries, qid_col, text_col, mkt_col)
     small = qt.count() <= broadcast_rows
     vocab = qt.select("term").distinct()
     vlimit = broadcast_rows if vocab_broadcast_rows is None else vocab_broadcast_rows
@@ -183,6 +206,8 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
                   .drop("is_hot"))
         hits = salted.join(qw, ["term", "salt"])
 
+    if mkt_col:
+        hits = hits.filter(F.col("q_lang").isNull() | (F.col("q_lang") == F.col("lang")))
     contrib = _bm25(F.col("tf").cast("double"), F.col("doc_len").cast("double"), F.col("idf"), avg_len)
     return hits.groupBy("qid", "doc_id").agg(F.sum(contrib).alias("score"))
 
@@ -200,11 +225,15 @@ def top_k(scored: DataFrame, k: int, group_col: str = "qid", score_col: str = "s
 def retrieve_topk(queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int = 5,
                   mkt: str | None = None, qid_col: str = "qid", text_col: str = "query",
                   doc_id_col: str = "doc_id", doc_text_col: str = "text",
-                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Top-k documents per query by BM25: (qid, rank, doc_id, score)."""
+                  broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                  mkt_col: str | None = None) -> DataFrame:
+    """Top-k documents per query by BM25: (qid, rank, doc_id, score).
+
+    `mkt` restricts the whole batch (an index of one language); `mkt_col`
+    names a per-query market column instead."""
     index = corpus if isinstance(corpus, CorpusIndex) else \
         build_index(corpus, doc_id_col, doc_text_col, mkt=mkt)
-    scored = score_pairs(queries, index, qid_col, text_col, broadcast_rows)
+    scored = score_pairs(queries, index, qid_col, text_col, broadcast_rows, mkt_col=mkt_col)
     return (top_k(scored, k)
             .select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
                     "doc_id", F.round("score", 4).alias("score")))

@@ -76,7 +76,15 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
             failures = failures.unionByName(fmt_fail)
         else:
             queries = normalize_query(misses)
-        ranked = retrieve_topk(queries, index, k=k, mkt=mkt, qid_col="question_id", text_col="query")
+        # market per question (`questions.mkt`), with `mkt` as the batch default
+        if mkt is not None:
+            own = F.col("mkt") if "mkt" in queries.columns else F.lit(None).cast("string")
+            queries = queries.withColumn("mkt", F.coalesce(own, F.lit(mkt)))
+        use_mkt = "mkt" in queries.columns and index.has_lang
+        if mkt is not None and not index.has_lang:
+            raise ValueError("a market filter needs an index that kept the document language")
+        ranked = retrieve_topk(queries, index, k=k, qid_col="question_id", text_col="query",
+                               mkt_col="mkt" if use_mkt else None)
         urls = pages.select(F.col("page_id").alias("doc_id"), "url")
         # k rows per question: small, read by the fetch join and its size check
         results = checkpointed(ranked.join(urls, "doc_id")

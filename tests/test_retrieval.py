@@ -90,3 +90,15 @@ def test_refine_moves_weak_queries_to_the_broad_index(spark):
     got = sorted((r.qid, r.doc_id, r.round) for r in refine_answers(qs, [narrow, broad], k=2, min_score=0.1).collect())
     # "cat" resolves on the English index; "chat" only on the full corpus; "zebra" nowhere
     assert got == [(1, 1, 1), (2, 2, 2)]
+
+
+def test_per_query_market(spark):
+    docs = spark.createDataFrame([(1, "cat", "en"), (2, "cat", "fr"), (3, "cat dog", "EN")],
+                                 "doc_id long, text string, lang string")
+    qs = spark.createDataFrame([(1, "cat", "fr-fr"), (2, "cat", "en-us"), (3, "cat", None)],
+                               "qid long, query string, mkt string")
+    idx = build_index(docs)
+    for broadcast_rows in (2_000_000, 0):
+        got = sorted((r.qid, r.doc_id) for r in
+                     retrieve_topk(qs, idx, k=5, mkt_col="mkt", broadcast_rows=broadcast_rows).collect())
+        assert got == [(1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3)]
