@@ -2,7 +2,8 @@
 `$BENCH_SF_DIR` (default /root/testdata/sf0.1) and print one JSON line.
 
 Each query is forced in full with the `noop` sink (no driver collect);
-the time is wall-clock per query after one warm-up query.
+the time is wall-clock per query after one warm-up query, and its output
+row count is observed during the same run.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from pyspark.sql import Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from askbatch.plans.catalog import QUERIES  # noqa: E402
 from askbatch.session import local_session  # noqa: E402
 
@@ -45,12 +49,16 @@ def main() -> None:
     spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16)
     # warm-up: JIT and file listing, not timed
     QUERIES["html_to_markdown"](spark, root).write.format("noop").mode("overwrite").save()
-    times, errors = {}, {}
+    times, rows, errors = {}, {}, {}
     for name in names:
         t0 = time.time()
         try:
-            QUERIES[name](spark, root).write.format("noop").mode("overwrite").save()
+            # output rows are counted during the same run (no extra job)
+            obs = Observation(name)
+            df = QUERIES[name](spark, root).observe(obs, F.count(F.lit(1)).alias("rows"))
+            df.write.format("noop").mode("overwrite").save()
             times[name] = round(time.time() - t0, 3)
+            rows[name] = obs.get["rows"]
         except Exception as e:  # record and go on: one failure must not hide the rest
             times[name] = None
             errors[name] = str(e)[:500]
@@ -58,7 +66,7 @@ def main() -> None:
     sf = Path(root).name.replace("sf", "")
     out = {"metric": "total_query_time",
            "value": round(sum(t for t in times.values() if t is not None), 3),
-           "unit": "sec", "queries": times, "sf": sf}
+           "unit": "sec", "queries": times, "sf": sf, "rows": rows}
     if errors:
         out["errors"] = errors
     print(json.dumps(out))
