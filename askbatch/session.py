@@ -81,11 +81,16 @@ def ensure_parallelism(df, min_partitions: int | None = None):
     return df
 
 
-def checkpointed(df):
-    """Reliable checkpoint into the session's shared folder (lineage cut).
-
-    Never a local checkpoint: the data must survive the loss of the executor
-    that computed it.
+def checkpointed(df, name: str = "cut"):
+    """Cut lineage by writing the frame as a parquet table under the
+    session's shared checkpoint folder and reading it back.
+
+    One job computes and writes it (a reliable RDD checkpoint of an uncached
+    plan computes it twice); the table read back has file statistics, so a
+    later size check or broadcast decision is cheap. Never a local
+    checkpoint: the data must survive the loss of the executor that made it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
