@@ -60,7 +60,7 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     valid = valid_questions(questions)
     hits, misses = memo_lookup(valid, memo)
     # the new-question batch feeds retrieval, its size check and the
-    # requests: write it once (reliable checkpoint, lineage cut)
+    # requests: write it once as a table in the shared folder (lineage cut)
     misses = checkpointed(misses)
     failures = _question_failures(questions, valid)
     if searches is not None:
