@@ -37,7 +37,7 @@ def main() -> None:
            f"Physical plans of the registered queries on `{root}` as planned before "
            "adaptive re-planning (`tools/explain_plans.py`); AQE may still turn a shuffle "
            "join into a broadcast one at run time. Explicit broadcasts come from size "
-           "checks in the operators. Checkpointed inputs show as `Scan ExistingRDD`.", ""]
+           "checks in the operators. Lineage cuts show as parquet scans of the checkpoint folder.", ""]
     for name, q in QUERIES.items():
         df = q(spark, root)
         df.write.format("noop").mode("overwrite").save()
