@@ -251,11 +251,6 @@ SELECT 'final:' || CAST(question_id AS VARCHAR) AS request_id,
        CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 3 THEN NULL ELSE {chat('answer')} END AS body
 FROM ({QA})
 """
-CONTENT = "json_extract_string(body, '$.choices[0].message.content')"
-RESPONSE_REASON = f"""
-CASE WHEN status IS NULL OR status <> 200 THEN 'http_status'
-     WHEN body IS NULL OR NOT json_valid(body) THEN 'bad_json'
-     WHEN {CONTENT} IS NULL THEN 'no_content' END"""
 
 
 def parsed(src: str) -> str:
@@ -307,8 +302,9 @@ def page_corpus() -> str:
     return f"SELECT page_id AS doc_id, {md_doc('url', 'html')} AS text FROM pages"
 
 
-def page_requests(questions: str) -> str:
-    """`questions(question_id, question, query)` -> page requests over pages."""
+def ranked_page_results(questions: str) -> str:
+    """`questions(question_id, question, query)` -> (question_id, pos, url):
+    the top-5 pages by BM25 over the markdown of `pages`."""
     top = bm25(f"SELECT question_id AS qid, query FROM ({questions})", page_corpus(), 5)
     results = (f"SELECT t.qid AS question_id, CAST(t.rank - 1 AS BIGINT) AS pos, p.url "
                f"FROM ({top}) t JOIN pages p ON p.page_id = t.doc_id")
@@ -393,7 +389,7 @@ def _extract_passages() -> str:
 
 def _build_requests_page() -> str:
     qs = "SELECT item_id AS question_id, text AS question, text AS query FROM benchmark"
-    results = page_requests(qs)
+    results = ranked_page_results(qs)
     fetched = (f"SELECT question_id, pos, url, html FROM ({fetch_pick(results, 'SELECT page_id, url, html, 200 AS status FROM pages')}) "
                f"WHERE html IS NOT NULL AND status = 200")
     src = (f"SELECT f.question_id, f.pos, {md_doc('f.url', 'f.html')} AS markdown, b.text AS question "
@@ -405,7 +401,7 @@ def _prepare_answers() -> str:
     valid = f"SELECT * FROM ({QUESTIONS}) WHERE NOT (question IS NULL OR {strip_edges('question')} = '')"
     misses = (f"SELECT question_id, question FROM ({lookup(valid, MEMO)}) WHERE answer IS NULL")
     qs = f"SELECT question_id, question, {normalize('question')} AS query FROM ({misses})"
-    results = page_requests(qs)
+    results = ranked_page_results(qs)
     fetched = f"SELECT question_id, pos, url, html FROM ({fetch_pick(results, SNAPSHOT)}) WHERE html IS NOT NULL AND status = 200"
     src = (f"SELECT f.question_id, f.pos, {md_doc('f.url', 'f.html')} AS markdown, m.question "
            f"FROM ({fetched}) f JOIN ({misses}) m USING (question_id)")
