@@ -101,7 +101,7 @@ def memo_size(memo: DataFrame, unique_store: bool = True) -> DataFrame:
 
 def memo_flush(memo: DataFrame) -> DataFrame:
     """An empty store with the same schema (op 19)."""
-    return memo.limit(0)
+    return memo.sparkSession.createDataFrame([], memo.schema)
 
 
 # Word lists for generated entries (our own short lists).

@@ -119,8 +119,8 @@ def finish_answers(questions: DataFrame, page_responses: DataFrame,
     failures = response_failures(page_responses)
     empty = questions.sparkSession.createDataFrame([], FAILURES)
     if final_responses is None:
-        answers = qs.limit(0).withColumn("answer", F.lit(None).cast("string")) \
-                    .withColumn("n_pages", F.lit(0).cast("long"))
+        answers = questions.sparkSession.createDataFrame(
+            [], "question_id long, question string, answer string, n_pages long")
         return Finished(final_requests, answers, memo, failures.unionByName(empty))
     finals = (parse_responses(final_responses).filter(F.col("kind") == KIND_FINAL)
               .select("question_id", F.col("content").alias("answer")))

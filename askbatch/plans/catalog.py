@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import documents, exchange, links, listing, memo, questions, retrieval, stats
 from ..operators.markdown import html_to_markdown
+from ..schemas import MEMO
 from ..sources import derived
 from ..sources.pages import fetch_join, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
@@ -304,7 +305,7 @@ def q_prepare_answers(spark, root):
 
 def q_finish_answers(spark, root):
     conv = _conv(spark, root)
-    empty_memo = _memo(spark, root).limit(0)
+    empty_memo = spark.createDataFrame([], MEMO)
     done = finish_answers(_questions(spark, root), derived.page_response_envelopes(conv),
                           derived.final_response_envelopes(conv), empty_memo)
     return done.answers

@@ -484,7 +484,7 @@ def statements() -> dict[str, str]:
                               "SELECT doc_id, text FROM documents", 5),
         "distinct_links": (f"SELECT DISTINCT page_url, link_url FROM "
                            f"({resolve_from(links_sql(), 'page_url', 'href', 'page_url')})"),
-        "memo_flush": f"SELECT question, answer FROM ({MEMO}) LIMIT 0",
+        "memo_flush": f"SELECT question, answer FROM ({MEMO}) WHERE false",
         "build_requests_format": requests(X.KIND_FORMAT, QUESTIONS, fill(X.FORMAT_PROMPT, question="question"), None),
         "build_requests_page": _build_requests_page(),
         "build_requests_final": _build_requests_final(),

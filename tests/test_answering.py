@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from askbatch.operators.memo import memo_lookup
 from askbatch.operators.questions import valid_questions
 from askbatch.plans import catalog as C
+from askbatch.schemas import MEMO
 from askbatch.plans.answering import finish_answers, prepare_answers
 from askbatch.sources import derived
 from askbatch.sources.pages import snapshot_from_pages
@@ -36,7 +37,7 @@ def test_prepare_with_search_responses(spark):
     searches = derived.search_envelopes(pages)
     qs = searches.select("question_id", F.concat(F.lit("question "), F.col("question_id").cast("string"))
                          .alias("question"))
-    empty_memo = C._memo(spark, SF).limit(0)
+    empty_memo = spark.createDataFrame([], MEMO)
     prep = prepare_answers(qs, empty_memo, snapshot_from_pages(pages), searches=searches, k=5)
     n_ok = searches.filter(F.pmod("question_id", F.lit(8)) < 4).count()
     assert prep.results.select("question_id").distinct().count() == n_ok
@@ -47,7 +48,7 @@ def test_prepare_with_search_responses(spark):
 def test_finish_answers_and_memo(spark):
     conv = C._conv(spark, SF)
     qs = C._questions(spark, SF)
-    empty_memo = C._memo(spark, SF).limit(0)
+    empty_memo = spark.createDataFrame([], MEMO)
     pr, fr = derived.page_response_envelopes(conv), derived.final_response_envelopes(conv)
     done = finish_answers(qs, pr, fr, empty_memo)
     # every question gets a final request, with or without page answers
@@ -65,7 +66,7 @@ def test_finish_answers_and_memo(spark):
 def test_prepare_with_model_rewrites(spark):
     conv = C._conv(spark, SF)
     qs = C._questions(spark, SF)
-    empty_memo = C._memo(spark, SF).limit(0)
+    empty_memo = spark.createDataFrame([], MEMO)
     fmt = derived.format_response_envelopes(conv)
     prep = prepare_answers(qs, empty_memo, snapshot_from_pages(C._pages(spark, SF)),
                            index=C._page_index(spark, SF), format_responses=fmt)
