@@ -45,7 +45,7 @@ def cmd_index(spark: SparkSession, a) -> None:
 
 
 def _read_index(spark: SparkSession, path: str) -> CorpusIndex:
-    return CorpusIndex(spark.read.parquet(f"{path}/docs"), "page_id", spark.read.parquet(f"{path}/terms"))
+    return CorpusIndex.load(spark, path)
 
 
 def cmd_prepare(spark: SparkSession, a) -> None:

@@ -61,20 +61,36 @@ def with_term_runs(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return with_starts.select(*keep, F.size("_toks").cast("long").alias("doc_len"), runs.alias("runs"))
 
 
+# inverted postings are partitioned by term hash: about this much forward
+# index per bucket, at most this many buckets
+TARGET_BUCKET_BYTES = 256 << 20
+MAX_TERM_BUCKETS = 4096
+
+
+def term_bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 @dataclass
 class CorpusIndex:
-    """One row per document: id, token count and (term, tf) runs; once
-    written, also the lexicon `term_stats(term, df)` over the whole corpus."""
+    """Forward index: one row per document with id, token count and
+    (term, tf) runs. Once written, also the inverted postings, partitioned by
+    term bucket `tb`, and the lexicon `term_stats(term, df)`."""
 
     doc_terms: DataFrame
     id_col: str = "doc_id"
     term_stats: DataFrame | None = None
+    inverted: DataFrame | None = None
+    term_buckets: int = 1
 
     @property
     def has_lang(self) -> bool:
         return "lang" in self.doc_terms.columns
 
     def postings(self) -> DataFrame:
+        """(term, doc_id, tf, doc_len[, lang][, tb]) rows."""
+        if self.inverted is not None:
+            return self.inverted
         # explode_outer + explicit filter: a plain explode lets the optimizer
         # infer `size(runs) > 0` and push it below the projections, where it
         # would inline the sorted-token expression into the lambdas
@@ -91,18 +107,52 @@ class CorpusIndex:
     def avg_len(self) -> Column:
         return self.doc_terms.select(F.avg("doc_len")).scalar()
 
-    def materialize(self, path: str | None = None) -> "CorpusIndex":
+    def materialize(self, path: str | None = None, term_buckets: int | None = None) -> "CorpusIndex":
         """Write the index once (one tokenising pass) and read it back.
 
-        The lexicon is aggregated from the written postings with map-side
-        partial counts, so a frequent term costs one row per task."""
+        `docs` is the forward index. `postings` is the inverted one,
+        partitioned by term bucket, so a query batch reads only the buckets
+        of its terms. The bucket count follows the size of the forward index
+        (`TARGET_BUCKET_BYTES` each, at most `MAX_TERM_BUCKETS`) unless
+        given, and each bucket is spread over several files. The lexicon
+        `terms` is aggregated with map-side partial counts, so a frequent
+        term costs one row per task."""
         spark = self.doc_terms.sparkSession
         path = (path or scratch_path(spark, "index")).rstrip("/")
         self.doc_terms.write.mode("overwrite").parquet(f"{path}/docs")
-        written = CorpusIndex(spark.read.parquet(f"{path}/docs"), self.id_col)
-        (written.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-         .write.mode("overwrite").parquet(f"{path}/terms"))
-        return CorpusIndex(written.doc_terms, self.id_col, spark.read.parquet(f"{path}/terms"))
+        forward = CorpusIndex(spark.read.parquet(f"{path}/docs"), self.id_col)
+        if term_buckets is None:
+            size = _folder_bytes(spark, f"{path}/docs")
+            term_buckets = max(1, min(MAX_TERM_BUCKETS, -(-size // TARGET_BUCKET_BYTES)))
+        postings = forward.postings().withColumn("tb", term_bucket(F.col("term"), term_buckets))
+        if term_buckets > 1:
+            per = max(1, spark.sparkContext.defaultParallelism // term_buckets)
+            postings = postings.repartition(term_buckets * per, "tb",
+                                            F.pmod(F.xxhash64("doc_id"), F.lit(per)))
+        postings.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings")
+        inverted = spark.read.parquet(f"{path}/postings")
+        terms = inverted.groupBy("tb", "term").agg(F.count(F.lit(1)).alias("df"))
+        if term_buckets > 1:
+            terms = terms.repartition("tb")
+        terms.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/terms")
+        spark.createDataFrame([(term_buckets, self.id_col)], "term_buckets int, id_col string") \
+            .write.mode("overwrite").json(f"{path}/meta")
+        return CorpusIndex.load(spark, path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "CorpusIndex":
+        """An index written by `materialize`."""
+        path = path.rstrip("/")
+        meta = spark.read.json(f"{path}/meta").first()
+        return cls(spark.read.parquet(f"{path}/docs"), meta["id_col"],
+                   spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"),
+                   int(meta["term_buckets"]))
+
+
+def _folder_bytes(spark, path: str) -> int:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
 def market_lang(mkt: Column) -> Column:
@@ -173,12 +223,26 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
     vocab_side = F.broadcast(vocab) if vocab_small else vocab
 
     postings = index.postings()
+    term_stats = index.term_stats
+    if "tb" in postings.columns and index.term_buckets <= 1:
+        postings = postings.drop("tb")
+        if term_stats is not None and "tb" in term_stats.columns:
+            term_stats = term_stats.drop("tb")
+    elif "tb" in postings.columns:
+        # partition pruning: read only the term buckets of the query terms.
+        # The bucket ids are at most `term_buckets` small ints, whatever the
+        # data size, so they come to the driver as a literal IN list.
+        buckets = sorted(r.tb for r in vocab.select(term_bucket(F.col("term"), index.term_buckets)
+                                                    .alias("tb")).distinct().collect())
+        postings = postings.filter(F.col("tb").isin(buckets)).drop("tb")
+        if term_stats is not None and "tb" in term_stats.columns:
+            term_stats = term_stats.filter(F.col("tb").isin(buckets)).drop("tb")
     matched = postings.join(F.broadcast(vocab), "term", "left_semi") if vocab_small else postings
 
     n_docs = index.n_docs()
     avg_len = index.avg_len()
-    if index.term_stats is not None:
-        dfreq = index.term_stats.join(vocab_side, "term", "left_semi")
+    if term_stats is not None:
+        dfreq = term_stats.join(vocab_side, "term", "left_semi")
     else:
         # without a lexicon: count postings per term with partial aggregation
         # (one row per term per task), over query terms only when the

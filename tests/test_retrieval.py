@@ -118,3 +118,23 @@ def test_join_tiers_agree_on_real_corpus_with_hot_terms(spark):
             score_pairs(qs, idx, broadcast_rows=0, vocab_broadcast_rows=0, salt_buckets=8)]
     got = [sorted((r.qid, r.doc_id, round(r.score, 9)) for r in df.collect()) for df in runs]
     assert got[0] == got[1] == got[2] and len(got[0]) > 1000
+
+
+def test_bucketed_index_prunes_and_matches(spark):
+    import contextlib
+    import io
+    from askbatch.operators.retrieval import CorpusIndex
+    from askbatch.session import scratch_path
+    docs, qs = _frames(spark)
+    path = scratch_path(spark, "idx-buckets")
+    idx = build_index(docs).materialize(path, term_buckets=8)
+    assert idx.term_buckets == 8 and CorpusIndex.load(spark, path).term_buckets == 8
+    got = sorted((r.qid, r.rank, r.doc_id, r.score) for r in retrieve_topk(qs, idx, k=3).collect())
+    assert got == brute(3)
+    one = spark.createDataFrame([(1, "cat")], "qid long, query string")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        retrieve_topk(one, idx, k=3).explain("formatted")
+    pf = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters:") and "tb#" in ln]
+    # one query term: Spark writes the bucket filter as `tb = x`, else `tb IN (...)`
+    assert pf and all(" IN (" in ln or " = " in ln for ln in pf), pf
