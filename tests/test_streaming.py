@@ -29,3 +29,18 @@ def test_memo_upsert_per_batch(spark):
     store = MemoStore(spark, scratch_path(spark, "memo-stream"))
     memo_upsert(read_stream(spark, src, "question string, answer string, stored_at timestamp"), store)
     assert dict((r.question, r.answer) for r in store.read().collect()) == {"q1": "a1", "q2": "a2"}
+
+
+def test_response_parsing_stream_equals_batch(spark):
+    from askbatch.operators.exchange import parse_responses
+    from askbatch.plans import catalog as C
+    from askbatch.sources import derived
+    responses = derived.page_response_envelopes(C._conv(spark, SF))
+    src = scratch_path(spark, "responses-src")
+    responses.repartition(2).write.parquet(src)
+    out = scratch_path(spark, "parsed-out")
+    write_available(parse_responses(read_stream(spark, src, responses.schema, 1)), out)
+    got = spark.read.parquet(out)
+    want = parse_responses(responses)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
