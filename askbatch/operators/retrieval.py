@@ -82,6 +82,7 @@ class CorpusIndex:
     term_stats: DataFrame | None = None
     inverted: DataFrame | None = None
     term_buckets: int = 1
+    stats: tuple[int, float] | None = None   # (n_docs, avg_len), fixed once written
 
     @property
     def has_lang(self) -> bool:
@@ -102,9 +103,13 @@ class CorpusIndex:
                 .select("r.term", "doc_id", "r.tf", "doc_len", *extra))
 
     def n_docs(self) -> Column:
+        if self.stats is not None:
+            return F.lit(self.stats[0]).cast("long")
         return self.doc_terms.select(F.count(F.lit(1))).scalar()
 
     def avg_len(self) -> Column:
+        if self.stats is not None:
+            return F.lit(self.stats[1]).cast("double")
         return self.doc_terms.select(F.avg("doc_len")).scalar()
 
     def materialize(self, path: str | None = None, term_buckets: int | None = None) -> "CorpusIndex":
@@ -135,7 +140,11 @@ class CorpusIndex:
         if term_buckets > 1:
             terms = terms.repartition("tb")
         terms.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/terms")
-        spark.createDataFrame([(term_buckets, self.id_col)], "term_buckets int, id_col string") \
+        # corpus statistics are fixed once written: one aggregate now instead
+        # of a scan of every document's length per query batch
+        st = forward.doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("a")).first()
+        spark.createDataFrame([(term_buckets, self.id_col, int(st["n"]), float(st["a"] or 0.0))],
+                              "term_buckets int, id_col string, n_docs long, avg_len double") \
             .write.mode("overwrite").json(f"{path}/meta")
         return CorpusIndex.load(spark, path)
 
@@ -146,7 +155,7 @@ class CorpusIndex:
         meta = spark.read.json(f"{path}/meta").first()
         return cls(spark.read.parquet(f"{path}/docs"), meta["id_col"],
                    spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"),
-                   int(meta["term_buckets"]))
+                   int(meta["term_buckets"]), (int(meta["n_docs"]), float(meta["avg_len"])))
 
 
 def _folder_bytes(spark, path: str) -> int:
