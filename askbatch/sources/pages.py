@@ -42,9 +42,10 @@ def fetch_join(results: DataFrame, pages: DataFrame,
 
     The result side is small next to a crawl: under `broadcast_rows` it is
     broadcast and the pages are filtered by a hash probe with no shuffle of
-    HTML; above it the join shuffles on url (with AQE skew handling and the
-    runtime bloom filter on the page side). A URL crawled twice keeps the
-    highest `page_id` (or any, when there is none).
+    HTML; above it the join shuffles on url (AQE splits a skewed URL). A
+    URL crawled twice keeps the highest `page_id` (or any, when there is
+    none); that choice keeps one row per result in each map partition before
+    its shuffle.
     """
     keys = results.select("question_id", "pos", "url")
     has_id = "page_id" in pages.columns
