@@ -5,9 +5,10 @@ key (no trimming or case folding), last write wins. Parquet has no in-place
 update, so every change is written as a new version directory next to the
 old ones and the path being read is never overwritten.
 
-Lookups never shuffle the store: the question batch is the small side, it is
-broadcast (size checked) and the store is streamed past it; only the matched
-rows, at most one per question, move on.
+Lookups do not shuffle the store while the question batch fits the
+broadcast limit: the batch is the small side, it is broadcast after a size
+check and the store is streamed past it; only the matched rows, at most one
+per question, move on. A larger batch falls back to a shuffle join.
 """
 
 from __future__ import annotations
