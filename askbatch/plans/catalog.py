@@ -20,7 +20,7 @@ from ..sources import derived
 from ..sources.pages import fetch_join, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
 from ..sources.tables import read_table
-from ..session import ensure_parallelism
+from ..session import checkpointed, ensure_parallelism
 from .answering import finish_answers, prepare_answers, refine_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,8 +257,10 @@ def q_build_requests_page(spark, root):
     qs = _benchmark_queries(spark, root)
     ranked = retrieval.retrieve_topk(qs, _page_index(spark, root), k=5)
     pages = _pages(spark, root)
-    results = ranked.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id") \
-                    .select(F.col("qid").alias("question_id"), (F.col("rank") - 1).alias("pos"), "url")
+    # k rows per query, read by the fetch join and its size check: cut once
+    results = checkpointed(
+        ranked.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+              .select(F.col("qid").alias("question_id"), (F.col("rank") - 1).alias("pos"), "url"))
     fetched, _ = fetch_join(results, pages.withColumn("status", F.lit(200)))
     questions_df = qs.select(F.col("qid").alias("question_id"), F.col("query").alias("question"))
     return exchange.build_page_requests(html_to_markdown(fetched), questions_df)
