@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import STAGE_MODEL
+from ..session import fits_broadcast
 
 # Request settings and prompt texts of the answering flow.
 MODEL = "gpt-4o-mini"
@@ -101,10 +102,10 @@ def build_page_requests(pages_md: DataFrame, questions: DataFrame, model: str =
                         broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """One request per (question, page): `pages_md(question_id, pos, markdown)`.
 
-    The question batch is broadcast when its row count is under
-    `broadcast_rows`, so the page text is not shuffled for this join."""
+    The question batch is broadcast when it fits the broadcast limits (rows
+    and bytes), so the page text is not shuffled for this join."""
     qs = questions.select("question_id", "question")
-    if qs.count() <= broadcast_rows:
+    if fits_broadcast(qs, broadcast_rows):
         qs = F.broadcast(qs)
     joined = pages_md.join(qs, "question_id")
     prompt = fill(PAGE_PROMPT, question=F.col("question"), page=F.col("markdown"))

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MEMO
+from ..session import fits_broadcast
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= limit else df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df
 
 
 def latest(memo: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import ensure_parallelism, scratch_path
+from ..session import ensure_parallelism, fits_broadcast, scratch_path
 
 # BM25 parameters (Robertson / Lucene defaults).
 K1 = 1.2
@@ -225,10 +225,10 @@ def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
     if mkt_col and not index.has_lang:
         raise ValueError("per-query markets need an index built from a corpus with a language column")
     qt = query_terms(queries, qid_col, text_col, mkt_col)
-    small = qt.count() <= broadcast_rows
+    small = fits_broadcast(qt, broadcast_rows)
     vocab = qt.select("term").distinct()
     vlimit = broadcast_rows if vocab_broadcast_rows is None else vocab_broadcast_rows
-    vocab_small = small or vocab.count() <= vlimit
+    vocab_small = small or fits_broadcast(vocab, vlimit)
     vocab_side = F.broadcast(vocab) if vocab_small else vocab
 
     postings = index.postings()
@@ -325,7 +325,7 @@ def extract_passages(pairs: DataFrame, queries: DataFrame, n: int = 1,
     """
     qtok = queries.select(F.col(qid_col).alias("qid"),
                           F.array_distinct(tokens(F.col(query_col))).alias("q_terms"))
-    if qtok.count() <= broadcast_rows:
+    if fits_broadcast(qtok, broadcast_rows):
         qtok = F.broadcast(qtok)
     lines = (pairs.select(F.col(qid_col).alias("qid"), F.col(doc_col).alias("doc_id"),
                           F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))

@@ -94,3 +94,21 @@ def checkpointed(df, name: str = "cut"):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+# Default limits for a broadcast side.
+BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 256 << 20
+
+
+def fits_broadcast(df, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure a candidate broadcast side: row count and serialized size
+    (JSON bytes of every row, an upper-side estimate) in one pass. Both must
+    be under their limits, so a few very long rows cannot pass a row-only
+    check."""
+    from pyspark.sql import functions as F
+    if max_rows <= 0:
+        return False
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import STAGE_FETCH
+from ..session import fits_broadcast
 
 # Fetch failure reasons.
 REASON_NOT_FETCHED = "not_fetched"
@@ -53,7 +54,7 @@ def fetch_join(results: DataFrame, pages: DataFrame,
                       (F.col("page_id") if has_id else F.lit(None).cast("long")).alias("page_id"))
     # inner join (keys broadcast when small), plus a placeholder per result so
     # that an unfetched URL survives without an outer join on the big side
-    matched = pg.join(F.broadcast(keys) if keys.count() <= broadcast_rows else keys, "url")
+    matched = pg.join(F.broadcast(keys) if fits_broadcast(keys, broadcast_rows) else keys, "url")
     placeholders = keys.select("url", F.lit(None).cast("string").alias("html"),
                                F.lit(None).cast("int").alias("status"),
                                F.lit(None).cast("long").alias("page_id"), "question_id", "pos")

@@ -18,3 +18,12 @@ def test_parallelism_only_for_under_split_scans(spark):
     assert ensure_parallelism(one, 4).rdd.getNumPartitions() == 4
     many = spark.range(10).repartition(8)
     assert ensure_parallelism(many, 4).rdd.getNumPartitions() == 8
+
+
+def test_broadcast_check_counts_bytes_not_only_rows(spark):
+    from askbatch.session import fits_broadcast
+    few_long = spark.createDataFrame([("x" * 100_000,)] * 20, "s string")
+    assert fits_broadcast(few_long, max_rows=1000, max_bytes=10 << 20)
+    assert not fits_broadcast(few_long, max_rows=1000, max_bytes=1 << 20)
+    assert not fits_broadcast(few_long, max_rows=10, max_bytes=10 << 20)
+    assert not fits_broadcast(few_long, max_rows=0)
