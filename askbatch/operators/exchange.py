@@ -130,11 +130,12 @@ def _parsed(responses: DataFrame) -> DataFrame:
         F.get(parts, 0).alias("kind"),
         F.get(parts, 1).try_cast("long").alias("question_id"),
         F.get(parts, 2).try_cast("long").alias("pos"),
-        F.try_parse_json("body").alias("_v"))
+        F.try_parse_json("body").alias("_v")) \
+        .withColumn("_content", F.try_variant_get("_v", "$.choices[0].message.content", "string"))
 
 
 def _content() -> Column:
-    return F.try_variant_get("_v", "$.choices[0].message.content", "string")
+    return F.col("_content")
 
 
 def _reason() -> Column:

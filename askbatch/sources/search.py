@@ -23,11 +23,13 @@ FALSY_JSON = ["{}", "[]", "null", "false", "0", '""']
 
 
 def _parsed(searches: DataFrame) -> DataFrame:
-    return searches.withColumn("_v", F.try_parse_json("body"))
+    # parse once, cast the result list once; the checks below read columns
+    return (searches.withColumn("_v", F.try_parse_json("body"))
+            .withColumn("_items", F.try_variant_get("_v", "$.webPages.value", SEARCH_ITEMS)))
 
 
 def _items() -> F.Column:
-    return F.try_variant_get("_v", "$.webPages.value", SEARCH_ITEMS)
+    return F.col("_items")
 
 
 def _reason() -> F.Column:
