@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_round_trip
 from .exact_dedup import exact_dedup
 from .mixing import weighted_fair_schedule
+from .token_codes import token_digests
+from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +24,16 @@ def _documents(spark, root):
     return _table(spark, root, "documents")
 
 
+def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_token_codes(spark, root):
+    return token_digests(_documents(spark, root), _vocabulary(), end_id=0)
+
+
 def op4_exact_dedup(spark, root):
     return exact_dedup(_documents(spark, root), keep="largest")
 
@@ -31,9 +44,21 @@ def op7_weighted_mix(spark, root):
                        (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op8_bpe(spark, root):
+    return bpe_round_trip(_documents(spark, root), _vocabulary())
+
+
+def op9_warc(spark, root):
+    return archive_round_trip(_table(spark, root, "pages"), min_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_token_codes": op2_token_codes,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_weighted_mix": op7_weighted_mix,
+    "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -44,6 +69,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW g AS (PARTITION BY norm)""",
+    # base32: the 160 bits of the SHA-1 in groups of five
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS sha FROM p),
+        b AS (SELECT *, list_aggregate(list_transform(range(1, 41), i ->
+                substr('0000000100100011010001010110011110001001101010111100110111101111',
+                       (strpos('0123456789abcdef', substr(sha, CAST(i AS INTEGER), 1)) - 1) * 4 + 1, 4)),
+                'string_agg', '') AS bits, min(page_id) OVER (PARTITION BY sha) AS first FROM d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(0, 32), i ->
+                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                        CAST(('0b' || substr(bits, CAST(i * 5 + 1 AS INTEGER), 5)) AS INTEGER) + 1, 1)),
+                 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM b""",
     "op7_weighted_mix": r"""
         WITH d AS (
           SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS u,
