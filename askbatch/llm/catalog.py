@@ -73,15 +73,15 @@ SQL: dict[str, str] = {
     "op9_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS sha FROM p),
-        b AS (SELECT *, list_aggregate(list_transform(range(1, 41), i ->
+        b AS (SELECT *, array_to_string([
                 substr('0000000100100011010001010110011110001001101010111100110111101111',
-                       (strpos('0123456789abcdef', substr(sha, CAST(i AS INTEGER), 1)) - 1) * 4 + 1, 4)),
-                'string_agg', '') AS bits, min(page_id) OVER (PARTITION BY sha) AS first FROM d)
+                       (strpos('0123456789abcdef', substr(sha, i, 1)) - 1) * 4 + 1, 4)
+                for i in range(1, 41)], '') AS bits, min(page_id) OVER (PARTITION BY sha) AS first FROM d)
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-               list_aggregate(list_transform(range(0, 32), i ->
+               array_to_string([
                  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                        CAST(('0b' || substr(bits, CAST(i * 5 + 1 AS INTEGER), 5)) AS INTEGER) + 1, 1)),
-                 'string_agg', '') AS payload_digest,
+                        1 + list_sum([CAST(substr(bits, i * 5 + j, 1) AS BIGINT) * (1 << (5 - j)) for j in range(1, 6)])::BIGINT, 1)
+                 for i in range(0, 32)], '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM b""",
