@@ -204,15 +204,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     dictionary = train_dictionary(pages, html_col)
     src = (pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"),
                         whole_text(F.col(html_col)).alias("_html"))
-           .withColumn("_sha", F.sha1(F.encode("_html", "UTF-8"))))
+           .withColumn("_sha", F.sha1(F.encode("_html", "UTF-8")))
+           .withColumn("_key", F.coalesce(F.col("_id").cast("string"), F.lit("null"))))
     narrow = checkpointed(
-        src.groupBy("_id", "_sha").agg(F.max(F.octet_length("_html")).alias("_n"))
+        src.select("_id", "_key", "_sha").distinct()
         .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")), "warc-digests")
     parts = narrow.groupBy("_sha", "_salt").agg(F.min("_id").alias("_part_first"))
     firsts = (with_group_totals(narrow, "_sha", "_salt", parts, {"_first": F.min("_part_first")})
-              .select(F.col("_id").alias("_pid"), F.col("_sha").alias("_psha"), "_first"))
-    joined = src.join(firsts, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_sha") == F.col("_psha")))
-    nth = Window.partitionBy("_id", "_sha").orderBy("_url")
+              .select("_key", "_sha", "_first"))
+    # join and numbering need the same partitioning: HTML is shuffled once
+    joined = src.join(firsts, ["_key", "_sha"])
+    nth = Window.partitionBy("_key", "_sha").orderBy("_url")
     records = (
         joined.withColumn("_nth", F.row_number().over(nth))
         .withColumn("_kind", F.when(
