@@ -22,6 +22,7 @@ table writes no file and gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ from ..session import checkpointed, scratch_path
 from .bpe import bounded
 from .common import numpy_threads_off, whole_text
 from .files import fresh_file, open_input, write_file
-from .units import UnitEncoder
+from .units import SPACE, UnitEncoder
 
 MAGIC = b"DACTOKEN"
 VERSION = 1
@@ -152,11 +153,31 @@ def library_encoder(path: str) -> UnitEncoder:
     t.no_padding()
     t.no_truncation()
 
+    newline = t.encode("\n", add_special_tokens=False).ids
+    lone = re.compile(f" ?[^{SPACE}]+")
+
+    def one_by_one(units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+
     def encode_units(units: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(units), 4096):
-            out += [np.array(e.ids, "<u4").tobytes()
-                    for e in t.encode_batch_fast(units[i:i + 4096], add_special_tokens=False)]
+        """A newline ends a word for the pre-tokenizer, so units without white
+        space inside go through one call per group, joined by newlines."""
+        out: list[bytes | None] = [None] * len(units)
+        inline = [i for i, u in enumerate(units) if lone.fullmatch(u)]
+        for at in range(0, len(inline), 4096):
+            some = inline[at:at + 4096]
+            ids = np.array(t.encode_batch_fast(["\n".join([units[i] for i in some])],
+                                               add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == newline[0])
+            if len(newline) != 1 or len(cuts) != len(some) - 1:
+                continue        # a vocabulary that merges newlines
+            begin, end = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
+            for i, a, b in zip(some, begin, end, strict=True):
+                out[i] = ids[a:b].tobytes()
+        rest = [i for i, v in enumerate(out) if v is None]
+        for at in range(0, len(rest), 4096):
+            for i, v in zip(rest[at:at + 4096], one_by_one([units[i] for i in rest[at:at + 4096]]), strict=True):
+                out[i] = v
         return out
     return UnitEncoder(encode_units, {a.content: i for i, a in t.get_added_tokens_decoder().items()})
 

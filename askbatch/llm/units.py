@@ -20,7 +20,7 @@ CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SAFE_CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 SLICE_CHARS = 1 << 20       # a longer text is encoded slice by slice
-CACHE_UNITS = 400_000       # distinct units kept per worker
+CACHE_UNITS = 1_600_000   # distinct units kept per worker, some 200 bytes each
 BATCH_CHARS = 4 << 20       # characters of texts encoded together
 
 
@@ -37,6 +37,30 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class Recent(dict):
+    """A bounded cache in two generations: when the young one is full it
+    becomes the old one, and what is still used moves over."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Make room, take over what the old generation has; the rest."""
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for u in wanted:
+            if u not in self:
+                known = self.old.get(u)
+                if known is None:
+                    out.append(u)
+                else:
+                    self[u] = known
+        return out
+
+
 class UnitEncoder:
     """Texts to little-endian unsigned 32-bit ids, through distinct units.
 
@@ -50,8 +74,8 @@ class UnitEncoder:
         self.whole = {k: v.to_bytes(4, "little") for k, v in (whole or {}).items()}
         self.split_whole = (re.compile("(" + "|".join(re.escape(k) for k in sorted(self.whole, key=len, reverse=True)) + ")")
                             if self.whole else None)
-        self.spaced: dict[str, bytes] = {}   # ids of " " + key
-        self.plain: dict[str, bytes] = {}
+        self.spaced = Recent(limit // 2)     # ids of " " + key
+        self.plain = Recent(limit // 2)
 
     def _parts(self, text: str) -> Iterator[tuple]:
         """(dictionary, units) pieces of a text in order, or ids as bytes."""
@@ -82,13 +106,9 @@ class UnitEncoder:
                 for d, units in doc:
                     if d is cache:
                         wanted.update(units)
-            new = [u for u in wanted if u not in cache]
-            if not new:
-                continue
-            if len(cache) + len(new) > self.limit:
-                cache.clear()
-                new = list(wanted)
-            cache.update(zip(new, self.encode_units([mark + u for u in new]), strict=True))
+            new = cache.missing(wanted)
+            if new:
+                cache.update(zip(new, self.encode_units([mark + u for u in new]), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text in order; texts are taken in bounded groups."""
