@@ -180,7 +180,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
 def bounded(ids: pa.Array, texts: pa.Array, size: int = 8 << 20):
     """Slices of two columns with about `size` bytes of text or one row."""
     at, n = 0, len(texts)
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     while at < n:
         end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size, side="right")))
         yield ids.slice(at, end - at), texts.slice(at, end - at).to_pylist()

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
+from .common import ship_package
 from .exact_dedup import exact_dedup
+from .langid import languages
 from .mixing import weighted_fair_schedule
+from .quality import quality
 from .token_codes import token_digests
 from .warc import archive_round_trip
 
@@ -17,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
@@ -34,6 +38,10 @@ def op2_token_codes(spark, root):
     return token_digests(_documents(spark, root), _vocabulary(), end_id=0)
 
 
+def op3_quality(spark, root):
+    return quality(_documents(spark, root), _table(spark, root, "labels"))
+
+
 def op4_exact_dedup(spark, root):
     return exact_dedup(_documents(spark, root), keep="largest")
 
@@ -53,12 +61,18 @@ def op9_warc(spark, root):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_language(spark, root):
+    return languages(_documents(spark, root))
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_codes": op2_token_codes,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
+    "op10_language": op10_language,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
