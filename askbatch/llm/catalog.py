@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_round_trip
 from .common import ship_package
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_components
 from .langid import languages
 from .mixing import weighted_fair_schedule
 from .quality import quality
@@ -46,6 +47,10 @@ def op4_exact_dedup(spark, root):
     return exact_dedup(_documents(spark, root), keep="largest")
 
 
+def op6_jaccard(spark, root):
+    return jaccard_components(_documents(spark, root), shingle=3, percent=90)
+
+
 def op7_weighted_mix(spark, root):
     plan = weighted_fair_schedule(_documents(spark, root))
     return plan.select("doc_id", "size", "source_size", "target",
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_codes": op2_token_codes,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_jaccard": op6_jaccard,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,

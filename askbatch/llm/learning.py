@@ -18,9 +18,14 @@ def stratified_sample(labelled: DataFrame, id_col: str, class_col: str, per_clas
     identifiers and classes are shuffled."""
     rows = labelled.select(id_col, class_col).filter(
         F.col(id_col).isNotNull() & F.col(class_col).isNotNull()).distinct()
-    order = Window.partitionBy(class_col).orderBy(F.xxhash64(id_col), id_col)
-    top = rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= per_class)
+    # the first `per_class` of each salt hold the first ones of the class, and
+    # no class is gathered in one task
+    order = (F.xxhash64(id_col), F.col(id_col))
+    top = rows.withColumn("_salt", F.pmod(F.hash(id_col), F.lit(64)))
+    for group in ((class_col, "_salt"), (class_col,)):
+        top = top.withColumn("_rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(
+            F.col("_rn") <= per_class)
     sizes = rows.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n"))
     return (top.join(sizes, class_col)      # one row per class
             .withColumn("_weight", F.col("_n") / F.least(F.col("_n"), F.lit(per_class)))
-            .drop("_rn", "_n"))
+            .drop("_rn", "_n", "_salt"))
