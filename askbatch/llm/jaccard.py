@@ -41,6 +41,7 @@ BITS = 2048             # bitmap of a set
 FREQUENT = 1 << 16      # frequent shingles put last
 SEEN_TWICE = 3          # counts below this in a batch of texts are not reported
 FANOUT = 8
+SMALL = 16              # a tree is built above this block size
 BATCH_BYTES = 8 << 20
 SALTS = 256
 CACHE_WORDS = 500_000
@@ -82,13 +83,13 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-(n * percent) // 100)
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """First n - needed(n) + 1 shingles; `frequent` (rarest first) come last."""
+def prefix(shingles: np.ndarray, frequent: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
+    """First n - needed(n) + 1 shingles; frequent ones come last, rarest
+    first. `frequent` is sorted, `order` holds the ranks in the same places."""
     size = len(shingles) - needed(len(shingles), percent) + 1
     if len(frequent):
-        order = np.argsort(frequent)
-        at = np.minimum(np.searchsorted(frequent, shingles, sorter=order), len(frequent) - 1)
-        rank = np.where(frequent[order[at]] == shingles, order[at], -1)
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        rank = np.where(frequent[at] == shingles, order[at], -1)
         if (rank >= 0).any():
             shingles = shingles[np.lexsort((shingles, rank))]
     return shingles[:size]
@@ -154,6 +155,9 @@ def _class_table(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    order = np.argsort(frequent)
+    by_value = frequent[order]
+
     def run(batches):
         shingles = Shingles(size)
         for b in batches:
@@ -161,7 +165,7 @@ def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                 pa.array([prefix(s, frequent, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                 pa.array([prefix(s, by_value, order, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["id", "n", "bits", "prefix"])
     return texts.mapInArrow(run, "id long, n long, bits binary, prefix array<long>")
 
@@ -234,6 +238,28 @@ class SignatureTree:
 
 def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
     """Candidate pairs of blocks (h, id, n, bits, grp), rows sorted by h."""
+    def small(h, ids, sizes, bits, groups):
+        """Blocks of up to SMALL rows, all of them at once: each row with the
+        row d places before it in its block (and, in the first round, with the
+        first one)."""
+        order = np.lexsort((ids, sizes, h))
+        h, ids, sizes, bits, groups = h[order], ids[order], sizes[order], bits[order], groups[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
+        for d in range(1, int(place.max()) + 1 if whole else 2):
+            q = np.flatnonzero(place >= d)
+            p = q - d
+            if not whole:
+                far = np.flatnonzero(place > 1)
+                p, q = np.concatenate([p, far - place[far]]), np.concatenate([q, far])
+            some = (groups[p] != groups[q]) & (sizes[p] * 100 >= sizes[q] * percent)
+            p, q = p[some], q[some]
+            apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+            total = sizes[p] + sizes[q]
+            some = 100 * (total - apart) >= percent * (total + apart)
+            a, b = ids[p[some]], ids[q[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
     def emit(ids, sizes, bits, groups):
         order = np.lexsort((ids, sizes))
         tree = SignatureTree(sizes[order], bits[order], groups[order])
@@ -242,21 +268,31 @@ def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
-        held: list[list[np.ndarray]] = []
-        last = None
+        held = None         # rows of the block that the last batch ended in
         for batch in batches:
-            h = batch.column("h").to_numpy()
-            cols = [batch.column(c).to_numpy() for c in ("id", "n", "grp")]
-            raw = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(h), BITS // 64)
-            edges = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)] if len(h) else [0]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if last is not None and h[s] != last:
-                    yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                last = h[s]
-                held.append([cols[0][s:e], cols[1][s:e], raw[s:e], cols[2][s:e]])
-        if held:
-            yield from emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("h", "id", "n")]
+            rows.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            rows.append(batch.column("grp").to_numpy())
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            end = int(np.searchsorted(rows[0], rows[0][-1]))
+            held = [x[end:] for x in rows]
+            yield from blocks_of([x[:end] for x in rows])
+        if held is not None:
+            yield from blocks_of(held)
+
+    def blocks_of(rows):
+        if not len(rows[0]):
+            return
+        first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        sizes = np.diff(np.r_[first, len(rows[0])])
+        little = np.repeat(sizes <= SMALL, sizes)
+        if little.any():
+            yield from small(*(x[little] for x in rows))
+        for s, n in zip(first[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            yield from emit(*(x[s:s + n] for x in rows[1:]))
 
     return (blocks.select("h", "id", "n", "bits", "grp").repartition(F.col("h")).sortWithinPartitions("h", "id")
             .mapInArrow(run, "a long, b long").distinct())
