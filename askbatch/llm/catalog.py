@@ -29,14 +29,14 @@ def _documents(spark, root):
     return _table(spark, root, "documents")
 
 
-def _vocabulary(name: str = "byte_bpe_50k.json") -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file, the same on every machine."""
     import public_tokenizers
     return public_tokenizers.path(name)
 
 
 def op2_token_codes(spark, root):
-    return token_digests(_documents(spark, root), _vocabulary(), end_id=0)
+    return token_digests(_documents(spark, root), vocabulary(), end_id=0)
 
 
 def op3_quality(spark, root):
@@ -58,7 +58,7 @@ def op7_weighted_mix(spark, root):
 
 
 def op8_bpe(spark, root):
-    return bpe_round_trip(_documents(spark, root), _vocabulary())
+    return bpe_round_trip(_documents(spark, root), vocabulary())
 
 
 def op9_warc(spark, root):
