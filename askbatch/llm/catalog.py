@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import ship_package
+from .embed_dedup import embedding_classes
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .langid import languages
@@ -47,6 +48,10 @@ def op4_exact_dedup(spark, root):
     return exact_dedup(_documents(spark, root), keep="largest")
 
 
+def op5_embeddings(spark, root):
+    return embedding_classes(_table(spark, root, "embeddings"), cosine=0.98)
+
+
 def op6_jaccard(spark, root):
     return jaccard_components(_documents(spark, root), shingle=3, percent=90)
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_codes": op2_token_codes,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_embeddings": op5_embeddings,
     "op6_jaccard": op6_jaccard,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_bpe": op8_bpe,
