@@ -15,6 +15,7 @@ from .jaccard import jaccard_components
 from .langid import languages
 from .mixing import weighted_fair_schedule
 from .quality import quality
+from .substring_dedup import repeated_passages
 from .token_codes import token_digests
 from .warc import archive_round_trip
 
@@ -36,6 +37,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark, root):
+    return repeated_passages(_documents(spark, root))
+
+
 def op2_token_codes(spark, root):
     return token_digests(_documents(spark, root), vocabulary(), end_id=0)
 
@@ -76,6 +81,7 @@ def op10_language(spark, root):
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_codes": op2_token_codes,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,

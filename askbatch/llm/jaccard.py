@@ -54,11 +54,9 @@ class Shingles:
     def __init__(self, size: int):
         self.size, self.known = size, {}
 
-    def __call__(self, text: bytes) -> np.ndarray:
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """The hash of each run of `size` words (of all words if fewer)."""
         import xxhash
-        words = text.lower().split()    # of bytes: A-Z only, and the six ASCII spaces
-        if not words:
-            return np.zeros(0, np.uint64)
         try:
             h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         except KeyError:
@@ -75,7 +73,11 @@ class Shingles:
         out ^= out >> np.uint64(29)
         out *= np.uint64(MIX[2])
         out ^= out >> np.uint64(32)
-        return np.unique(out + np.uint64(k))
+        return out + np.uint64(k)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        words = text.lower().split()    # of bytes: A-Z only, and the six ASCII spaces
+        return np.unique(self.hashed(words)) if words else np.zeros(0, np.uint64)
 
 
 def needed(n: np.ndarray | int, percent: int):
