@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 # Leading/trailing ASCII whitespace; `trim` alone removes spaces only.
 EDGE_SPACE = r"^\s+|\s+$"
-SITE_OPERATOR = r"(?i)site:\S*"
+SITE_OPERATOR = r"(?i)\bsite:\S*"
 
 # Stop words dropped by `normalize_query` (our own list; the
 # reference delegates the rewrite to a model).

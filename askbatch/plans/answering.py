@@ -64,10 +64,10 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     misses = checkpointed(misses)
     failures = _question_failures(questions, valid)
     if searches is not None:
-        results = (scan_search_responses(searches.join(misses.select("question_id"), "question_id", "left_semi"))
-                   .filter(F.col("pos") < k)
-                   .select("question_id", "pos", "url"))
-        failures = failures.unionByName(search_failures(searches))
+        # every result that a response holds; `k` belongs to the index route
+        asked = searches.join(misses.select("question_id"), "question_id", "left_semi")
+        results = scan_search_responses(asked).select("question_id", "pos", "url")
+        failures = failures.unionByName(search_failures(asked))
     else:
         if index is None:
             raise ValueError("need an index or search responses")
@@ -109,10 +109,14 @@ def finish_answers(questions: DataFrame, page_responses: DataFrame,
                    store_without_pages: bool = True) -> Finished:
     """Plan 27. Without `final_responses` only the final requests are made.
 
-    A question whose pages all failed still gets a final request with an
-    empty list; whether its answer is stored is `store_without_pages`.
+    Only valid questions that the memo does not answer take part, so a stored
+    answer is neither asked for again nor replaced. A question whose pages all
+    failed still gets a final request with an empty list; whether its answer
+    is stored is `store_without_pages`. Of repeated final responses the
+    largest content counts.
     """
-    qs = questions.select("question_id", "question")
+    _, misses = memo_lookup(valid_questions(questions), memo)
+    qs = misses.select("question_id", "question")
     page_content = parse_responses(page_responses).filter(F.col("kind") == KIND_PAGE)
     page_answers = collect_page_answers(page_content)
     final_requests = build_final_requests(qs, page_answers)
@@ -123,7 +127,7 @@ def finish_answers(questions: DataFrame, page_responses: DataFrame,
             [], "question_id long, question string, answer string, n_pages long")
         return Finished(final_requests, answers, memo, failures.unionByName(empty))
     finals = (parse_responses(final_responses).filter(F.col("kind") == KIND_FINAL)
-              .select("question_id", F.col("content").alias("answer")))
+              .groupBy("question_id").agg(F.max("content").alias("answer")))
     answers = (qs.join(finals, "question_id")
                .join(page_answers.select("question_id", "n_answers"), "question_id", "left")
                .select("question_id", "question", "answer",

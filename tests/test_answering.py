@@ -51,8 +51,17 @@ def test_finish_answers_and_memo(spark):
     empty_memo = spark.createDataFrame([], MEMO)
     pr, fr = derived.page_response_envelopes(conv), derived.final_response_envelopes(conv)
     done = finish_answers(qs, pr, fr, empty_memo)
-    # every question gets a final request, with or without page answers
+    # every valid new question gets a final request, with or without page answers
     assert done.final_requests.count() == qs.count()
+    # a stored answer is neither asked for again nor replaced
+    stored = done.answers.select("question", F.lit("good").alias("answer"),
+                                 F.current_timestamp().alias("stored_at")).limit(3)
+    stored = spark.createDataFrame(stored.collect(), MEMO)
+    again = finish_answers(qs, pr, fr.unionByName(fr), stored)
+    known = [r.question for r in stored.collect()]
+    assert again.answers.filter(F.col("question").isin(known)).count() == 0
+    assert again.memo.filter(F.col("answer") == "good").count() == len(set(known))
+    assert again.answers.groupBy("question_id").count().filter("count > 1").count() == 0
     ok_finals = fr.filter(F.col("status") == 200).count()
     assert done.answers.count() == ok_finals
     assert done.memo.count() == done.answers.select("question").distinct().count()
