@@ -338,9 +338,14 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     frequent = frequent_shingles(texts, shingle)
     signed = checkpointed(_signatures(own, shingle, percent, frequent), "shingle-signatures")
     block = Window.partitionBy("h")
+    # a row stays in a block if the next smaller or larger set is near enough
+    # in size; otherwise no set of the block is
+    by_size = Window.partitionBy("h").orderBy("n")
     shared = checkpointed(
-        signed.select("id", F.explode("prefix").alias("h"))
-        .withColumn("_c", F.count(F.lit(1)).over(block)).filter("_c > 1").select("h", "id"), "shingle-blocks")
+        signed.select("id", "n", F.explode("prefix").alias("h"))
+        .withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
+        .filter((F.col("_less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("_more") * percent))
+        .select("h", "id"), "shingle-blocks")
     signed = signed.select("id", "n", "bits")
 
     first = checkpointed(_block_pairs(
