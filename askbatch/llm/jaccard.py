@@ -2,21 +2,29 @@
 
 1. A text is lower-cased (A-Z), cut into words and hashed shingles; equal sets
    are one class, represented by its smallest identifier.
-2. Two sets with Jaccard >= t share a shingle among the first
-   n - ceil(t * n) + 1 of each in any common order. The order puts frequent
-   shingles last: their counts come from all documents, and the list of the
-   most frequent ones is bounded (it only sets the order; results do not
-   depend on it). Shingles of these prefixes that two classes share form blocks.
-3. In a block the documents are the leaves of a signature tree: nodes hold the
-   OR of the shingle bitmaps below them and their size range. A dual traversal
-   drops node pairs whose sizes cannot reach t, and pairs for which too many
-   bits of one side are missing on the other to leave the needed overlap.
-4. Surviving pairs are verified on the whole sets.
-
-Only components are asked for, so a block never lists all pairs of a group:
-the first round takes each leaf with its neighbours in size order and the
-first leaf; its verified links are contracted, and the second round traverses
-the trees for pairs of different components only.
+2. Keys that two sets with Jaccard >= t surely share form blocks.
+   From a similarity of PARTS_FROM percent the keys are parts: sets are put
+   into size classes of ratio t, so that a pair lies in one class or in two
+   neighbouring ones; there at most d = (1 - t) / (1 + t) * (sizes) shingles
+   differ, and of d + 1 ranges of the hash space at least one holds equal
+   shingles. Such a part has about 8 shingles, so chance hardly meets in it.
+   Below, where parts would hold few shingles, the keys are the first
+   n - ceil(t * n) + 1 shingles in an order that puts frequent ones last:
+   their counts come from all documents, and the list of the most frequent
+   ones is bounded (it only sets the order; results do not depend on it).
+3. Each set of a block is first held against the smallest identifier of the
+   block; pairs that pass their bitmaps are verified on the whole texts, and
+   verified links are contracted.
+4. Blocks that still hold several components become signature trees: the
+   documents are the leaves, nodes hold the OR of the shingle bitmaps below
+   them and their size range. A dual traversal drops node pairs whose sizes
+   cannot reach t, and pairs for which too many bits of one side are missing
+   on the other to leave the needed overlap. Blocks of equal members are
+   traversed once; large blocks are split into pieces, and pairs of pieces
+   whose sizes and components leave something to find are traversed apart.
+   Surviving pairs are verified on the whole texts.
+
+Only components are asked for, so no step lists all pairs of a group.
 
 Edge cases: null, empty or blank text has an empty set and links with nothing;
 fewer words than a shingle form one shingle; null identifiers link with
@@ -30,14 +38,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from .common import whole_text, with_group_totals
 from .components import connected_components
 
-BITS = 2048             # bitmap of a set
+BITS = 1024             # bitmap of a set
+PARTS_FROM = 88         # percent; parts as keys from here, prefixes below
+PIECE = 2048            # rows of a block that one signature tree takes
 FREQUENT = 1 << 16      # frequent shingles put last
 SEEN_TWICE = 3          # counts below this in a batch of texts are not reported
 FANOUT = 8
@@ -45,6 +55,7 @@ SMALL = 16              # a tree is built above this block size
 BATCH_BYTES = 8 << 20
 SALTS = 256
 CACHE_WORDS = 500_000
+CACHE_TEXTS = 8 << 20   # bytes of texts whose sets a task keeps while verifying
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -97,6 +108,48 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, order: np.ndarray, percen
     return shingles[:size]
 
 
+class Parts:
+    """Keys of sets by size class; see step 2 above."""
+
+    def __init__(self, percent: int):
+        self.percent, self.low, self.levels = percent, [1], []
+
+    def _level(self, i: int) -> tuple[int, np.ndarray]:
+        """Largest size that level i serves, and its part bounds."""
+        while len(self.levels) <= i:
+            self.low.append(self.low[-1] * 100 // self.percent + 1)
+            smaller = self.low[-1] - 1
+            larger = smaller * 100 // self.percent
+            parts = (smaller + larger) * (100 - self.percent) // (100 + self.percent) + 1
+            self.levels.append((larger, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)))
+        return self.levels[i]
+
+    def __call__(self, shingles: np.ndarray) -> np.ndarray:
+        n, c = len(shingles), 0
+        if not n:
+            return np.zeros(0, np.uint64)
+        while True:
+            self._level(c)
+            if n < self.low[c + 1]:
+                break
+            c += 1
+        x = (shingles ^ (shingles >> np.uint64(30))) * np.uint64(MIX[1])
+        total = np.r_[np.zeros(1, np.uint64), np.cumsum(x ^ (x >> np.uint64(27)), dtype=np.uint64)]
+        keys = []
+        for level in (c, c - 1):        # as the smaller set of a pair, as the larger one
+            if level < 0:
+                continue
+            largest, bounds = self._level(level)
+            if n > largest or not len(bounds):      # one part: only equal sets, which are one class
+                continue
+            ends = np.r_[0, np.searchsorted(shingles, bounds), n]
+            place = np.arange(len(ends) - 1, dtype=np.uint64) + np.uint64(level << 40)
+            k = (total[ends[1:]] - total[ends[:-1]]) + (place + np.uint64(1)) * np.uint64(MIX[0])
+            k = (k ^ (k >> np.uint64(31))) * np.uint64(MIX[2])
+            keys.append(k ^ (k >> np.uint64(29)))
+        return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, bool)
     bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
@@ -156,9 +209,17 @@ def _class_table(texts: DataFrame, size: int) -> DataFrame:
     return checkpointed(linked.unionByName(alone), "shingle-reps")
 
 
-def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    order = np.argsort(frequent)
-    by_value = frequent[order]
+def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
+    """id, n, bits and the block keys of each text; without a frequent list
+    the keys are parts."""
+    if frequent is None:
+        keys_of = Parts(percent)
+    else:
+        order = np.argsort(frequent)
+        by_value = frequent[order]
+
+        def keys_of(s):
+            return prefix(s, by_value, order, percent)
 
     def run(batches):
         shingles = Shingles(size)
@@ -167,9 +228,9 @@ def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray)
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                 pa.array([prefix(s, by_value, order, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["id", "n", "bits", "prefix"])
-    return texts.mapInArrow(run, "id long, n long, bits binary, prefix array<long>")
+                 pa.array([keys_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                names=["id", "n", "bits", "keys"])
+    return texts.mapInArrow(run, "id long, n long, bits binary, keys array<long>")
 
 
 class SignatureTree:
@@ -229,31 +290,19 @@ class SignatureTree:
                 if keep.any():
                     yield p[keep], q[keep]
 
-    def neighbours(self, percent: int):
-        """Each leaf with the one before it and with the first one."""
-        n = len(self.levels[0][0])
-        i = np.arange(1, n)
-        p, q = np.concatenate([i - 1, np.zeros(max(0, n - 2), np.int64)]), np.concatenate([i, i[1:]])
-        keep = self._possible(0, p, q, percent)
-        yield p[keep], q[keep]
 
-
-def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of blocks (h, id, n, bits, grp), rows sorted by h."""
     def small(h, ids, sizes, bits, groups):
         """Blocks of up to SMALL rows, all of them at once: each row with the
-        row d places before it in its block (and, in the first round, with the
-        first one)."""
+        row d places before it in its block."""
         order = np.lexsort((ids, sizes, h))
         h, ids, sizes, bits, groups = h[order], ids[order], sizes[order], bits[order], groups[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         place = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))
-        for d in range(1, int(place.max()) + 1 if whole else 2):
+        for d in range(1, int(place.max()) + 1):
             q = np.flatnonzero(place >= d)
             p = q - d
-            if not whole:
-                far = np.flatnonzero(place > 1)
-                p, q = np.concatenate([p, far - place[far]]), np.concatenate([q, far])
             some = (groups[p] != groups[q]) & (sizes[p] * 100 >= sizes[q] * percent)
             p, q = p[some], q[some]
             apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
@@ -265,7 +314,7 @@ def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
     def emit(ids, sizes, bits, groups):
         order = np.lexsort((ids, sizes))
         tree = SignatureTree(sizes[order], bits[order], groups[order])
-        for p, q in tree.pairs(percent) if whole else tree.neighbours(percent):
+        for p, q in tree.pairs(percent):
             a, b = ids[order[p]], ids[order[q]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -300,31 +349,75 @@ def _block_pairs(blocks: DataFrame, percent: int, whole: bool) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _pieces(blocks: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Blocks (h, id, grp, members) of more than PIECE rows as blocks of two
+    pieces each (h, id, grp). Rows of one component share pieces."""
+    own = blocks.groupBy("h", "grp").agg(F.count(F.lit(1)).alias("own"))
+    rows = blocks.join(own, ["h", "grp"]).select(
+        "h", "id", "grp",
+        (F.pmod(F.xxhash64("grp"), F.ceil(F.col("members") / PIECE)) * F.lit(1 << 31)
+         + F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / PIECE))).alias("piece"))
+    rows = checkpointed(rows, "block-pieces")
+    ends = (rows.join(sizes, "id").groupBy("h", "piece")
+            .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("grp").alias("lo"), F.max("grp").alias("hi")))
+    p, q = (ends.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ends.columns[1:]]) for side in "pq")
+    met = (p.join(q, "h").filter("p_piece <= q_piece and not (p_lo = p_hi and q_lo = q_hi and p_lo = q_lo)")
+           .filter((F.col("p_high") * 100 >= F.col("q_low") * percent) & (F.col("q_high") * 100 >= F.col("p_low") * percent))
+           .select("h", F.xxhash64("h", "p_piece", "q_piece").alias("met"),
+                   F.explode(F.array_distinct(F.array("p_piece", "q_piece"))).alias("piece")))
+    return rows.join(met, ["h", "piece"]).select(F.col("met").alias("h"), "id", "grp")
+
+
+def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and bitmaps leave the similarity possible."""
+    def check(batches):
+        for b in batches:
+            sizes = [b.column(c).to_numpy() for c in ("na", "nb")]
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("ba", "bb")]
+            apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            total = sizes[0] + sizes[1]
+            ok = pa.array(100 * (total - apart) >= percent * (total + apart))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+
+    for end in "ab":
+        pairs = pairs.join(signed.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"),
+                                         F.col("bits").alias(f"b{end}")), end)
+    return (pairs.filter((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+            .select("a", "b", "na", "nb", "ba", "bb").mapInArrow(check, "a long, b long").distinct())
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the similarity."""
+    """Pairs whose whole sets reach the similarity. Texts travel, not their
+    sets: they compress."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
-    def sets(batches):
-        shingles = Shingles(size)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array([shingles(t.as_py()).tobytes() for t in b.column("text")], pa.binary())],
-                names=["id", "s"])
-
     def check(batches):
+        shingles = Shingles(size)
+        known, weight = {}, 0
         for b in batches:
             ok = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for pair in zip(b.column("ta"), b.column("tb"), strict=True):
+                sets = []
+                for text in (t.as_py() for t in pair):
+                    if text not in known:
+                        if weight > CACHE_TEXTS:
+                            known, weight = {}, 0
+                        known[text] = shingles(text)
+                        weight += len(text)
+                    sets.append(known[text])
+                x, y = sets
+                if not len(x) or not len(y):
+                    ok.append(False)
+                    continue
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = checkpointed(texts.join(ends, "id", "left_semi").mapInArrow(sets, "id long, s binary"), "shingle-sets")
-    return (pairs.join(found.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-            .join(found.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-            .select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct())
+    found = checkpointed(texts.join(ends, "id", "left_semi"), "candidate-texts")
+    return (pairs.join(found.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+            .join(found.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+            .select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long").distinct())
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -333,32 +426,36 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     texts = _texts(docs, id_col, text_col)
     classes = _class_table(texts, shingle)
     reps = classes.filter("id = rep and n > 0").select("id").distinct()
-    # texts of the representatives only; shuffled once where the list is long
     own = texts.join(reps, "id", "left_semi")
-    frequent = frequent_shingles(texts, shingle)
+    frequent = None if percent >= PARTS_FROM else frequent_shingles(texts, shingle)
     signed = checkpointed(_signatures(own, shingle, percent, frequent), "shingle-signatures")
-    block = Window.partitionBy("h")
-    # a row stays in a block if the next smaller or larger set is near enough
-    # in size; otherwise no set of the block is
-    by_size = Window.partitionBy("h").orderBy("n")
-    shared = checkpointed(
-        signed.select("id", "n", F.explode("prefix").alias("h"))
-        .withColumn("_less", F.lag("n").over(by_size)).withColumn("_more", F.lead("n").over(by_size))
-        .filter((F.col("_less") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("_more") * percent))
-        .select("h", "id"), "shingle-blocks")
+
+    # keys in two documents; the counts are pre-aggregated, and a hot key's
+    # rows meet one row each in a join that Spark splits
+    keys = signed.select("id", F.explode("keys").alias("h"))
+    heads = checkpointed(keys.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+                         .filter("first <> last").select("h", "first"), "block-heads")
+    members = checkpointed(keys.join(heads, "h"), "blocks")
     signed = signed.select("id", "n", "bits")
 
-    first = checkpointed(_block_pairs(
-        shared.join(signed, "id").withColumn("grp", F.col("id")), percent, whole=False), "jaccard-candidates")
+    near = members.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    first = checkpointed(_possible(near, signed, percent), "jaccard-candidates")
     links = checkpointed(_verified(first, texts, shingle, percent), "jaccard-links")
     merged = checkpointed(connected_components(links, "a", "b"), "jaccard-merged")
 
-    grouped = (shared.join(merged.withColumnRenamed("node", "id"), "id", "left")
-               .withColumn("grp", F.coalesce("component", "id")).drop("component"))
-    # blocks of one component have nothing left to find
-    mixed = (grouped.withColumn("_lo", F.min("grp").over(block)).withColumn("_hi", F.max("grp").over(block))
-             .filter("_lo <> _hi").select("h", "id", "grp"))
-    rest = _block_pairs(mixed.join(signed, "id"), percent, whole=True).join(first, ["a", "b"], "left_anti")
+    grouped = (members.select("h", "id").join(merged.withColumnRenamed("node", "id"), "id", "left")
+               .select("h", "id", F.coalesce("component", "id").alias("grp")))
+    # nothing is left to find in blocks of one component or of two rows;
+    # blocks of the same members are one
+    mixed = checkpointed(
+        grouped.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("grp").alias("lo"), F.max("grp").alias("hi"),
+                                 F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+        .filter("members > 2 and lo <> hi").groupBy("members", "x", "y").agg(F.min("h").alias("h"))
+        .select("h", "members"), "mixed-blocks")
+    blocks = checkpointed(grouped.join(mixed, "h"), "mixed-rows")
+    trees = (blocks.filter(F.col("members") <= PIECE).select("h", "id", "grp")
+             .unionByName(_pieces(blocks.filter(F.col("members") > PIECE), signed.select("id", "n"), percent)))
+    rest = _block_pairs(trees.join(signed, "id"), percent).join(first, ["a", "b"], "left_anti")
     more = _verified(checkpointed(rest, "jaccard-candidates"), texts, shingle, percent)
     final = checkpointed(connected_components(links.unionByName(more), "a", "b"), "jaccard-components")
     return (classes.join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -238,6 +238,44 @@ def test_signature_tree_loses_no_pair():
                 assert (a, b) in found
 
 
+@pytest.mark.parametrize("percent", [88, 90, 95])
+def test_parts_lose_no_pair(percent):
+    rng = np.random.default_rng(percent)
+    parts, close = jaccard.Parts(percent), 0
+    for n in [*range(1, 60), *rng.integers(60, 3000, 150).tolist()]:
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        gone, new = rng.integers(0, max(2, n * (100 - percent) // 100), 2)
+        b = np.unique(np.r_[rng.permutation(a)[gone:], rng.integers(0, 2**64, new, np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            close += 1
+            assert len(np.intersect1d(parts(a), parts(b)))
+    assert close > 20
+
+
+@pytest.mark.parametrize("piece", [4, 2048])
+def test_jaccard_large_blocks(llm_spark, monkeypatch, piece):
+    # one block of many rows in several components: variants that share a
+    # long part but are too far apart, each with near copies
+    monkeypatch.setattr(jaccard, "PIECE", piece)
+    rng = random.Random(piece)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        own = [f"v{i % 5}-{j}" for j in range(14)]
+        if i >= 5:
+            own[rng.randrange(14)] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(common + own))
+    df = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, percent in ((3, 90), (5, 80), (5, 70)):
+        sets = [{tuple(w[j:j + size]) for j in range(len(w) - size + 1)} for w in (t.split() for t in texts)]
+        linked = [(a, b) for a in range(40) for b in range(a)
+                  if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        want = brute_components(40, linked)
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, size, percent).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_embeddings(llm_spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16))
