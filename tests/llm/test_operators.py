@@ -323,6 +323,26 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_compact_windows_are_the_tree_nodes():
+    def nodes(h, lo, hi, least):
+        if hi - lo < least:
+            return []
+        c = lo + int(h[lo:hi].argmin())
+        return [(lo, c, hi - 1), *nodes(h, lo, c, least), *nodes(h, c + 1, hi, least)]
+    rng = np.random.default_rng(8)
+    for n in [*range(20), 64, 333, 900]:
+        for top in (2, 9, 2**63):       # with and without ties
+            h = rng.integers(0, top, n).astype(np.uint64)
+            for least in (1, 2, 5, 16, 46):
+                assert sorted(substring_dedup.compact_windows(h, least)) == sorted(nodes(h, 0, n, least))
+
+
+def test_meeting_diagonals():
+    keys = np.array(sorted([4 * 10, 4 * 12 + 1, 4 * 30, 4 * 38 + 1, -4 * 3 + 2, -4 * 2 + 2, -4 * 9 + 1]))
+    assert substring_dedup.meeting_diagonals(keys, 2).tolist() == [-9, -3, -2, 10, 12]
+    assert substring_dedup.meeting_diagonals(keys[:0], 2).tolist() == []
+
+
 def test_compact_windows_cover_every_sequence():
     h = np.random.default_rng(5).permutation(60).astype(np.uint64)
     windows = list(substring_dedup.compact_windows(h, 10))
