@@ -45,7 +45,8 @@ from ..session import checkpointed
 from .common import whole_text, with_group_totals
 from .components import connected_components
 
-BITS = 1024             # bitmap of a set
+BITS = 1024             # bitmap of a set where parts are keys
+WIDE_BITS = 4096        # and where prefixes are: their blocks hold more chance pairs
 PARTS_FROM = 88         # percent; parts as keys from here, prefixes below
 PIECE = 2048            # rows of a block that one signature tree takes
 FREQUENT = 1 << 16      # frequent shingles put last
@@ -150,9 +151,9 @@ class Parts:
         return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(shingles % np.uint64(BITS)).astype(np.int64)] = True
+def bitmap(shingles: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[(shingles % np.uint64(width)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")
 
 
@@ -212,6 +213,7 @@ def _class_table(texts: DataFrame, size: int) -> DataFrame:
 def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray | None) -> DataFrame:
     """id, n, bits and the block keys of each text; without a frequent list
     the keys are parts."""
+    width = BITS if frequent is None else WIDE_BITS
     if frequent is None:
         keys_of = Parts(percent)
     else:
@@ -227,7 +229,7 @@ def _signatures(texts: DataFrame, size: int, percent: int, frequent: np.ndarray
             sets = [shingles(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([bitmap(s, width).tobytes() for s in sets], pa.binary()),
                  pa.array([keys_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
                 names=["id", "n", "bits", "keys"])
     return texts.mapInArrow(run, "id long, n long, bits binary, keys array<long>")
@@ -324,7 +326,7 @@ def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = [batch.column(c).to_numpy() for c in ("h", "id", "n")]
-            rows.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            rows.append(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(batch.num_rows, -1))
             rows.append(batch.column("grp").to_numpy())
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
@@ -372,8 +374,10 @@ def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and bitmaps leave the similarity possible."""
     def check(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             sizes = [b.column(c).to_numpy() for c in ("na", "nb")]
-            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("ba", "bb")]
+            bits = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("ba", "bb")]
             apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
             total = sizes[0] + sizes[1]
             ok = pa.array(100 * (total - apart) >= percent * (total + apart))
