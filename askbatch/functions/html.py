@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Markdown rules, applied in this order.
-# 1. drop script, style, comments, then head (scripts may hold a fake </p>)
+# 1. drop script, style, comments, then head (scripts may hold a fake </p>);
+# one that is never closed reaches to the end of the page
 STRIP_BLOCKS = [
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?s)<!--.*?-->",
+    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
+    r"(?s)<!--.*?(?:-->|\z)",
     r"(?is)<head\b[^>]*>.*?</head\s*>",
 ]
 # 2.-4. images, whitespace, structure, then every remaining tag
