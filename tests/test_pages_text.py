@@ -114,3 +114,12 @@ def test_markdown_tables_and_rules(spark):
     html = "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th><td>d</td></tr></table><hr>end"
     md = html_to_markdown(spark.createDataFrame([("u", html)], "url string, html string")).first().markdown
     assert "a b" in md and "c d" in md and "* * *" in md and md.rstrip().endswith("end")
+
+
+def test_unclosed_blocks_reach_the_end_of_the_page(spark):
+    tails = ["<script>var s='<a href=\"s.pdf\">';", "<style>p { <a href=\"s.pdf\">", "<!-- <a href=\"s.pdf\">c"]
+    pages = spark.createDataFrame(
+        [(f"http://h.org/{i}", f'<html><body><a href="k.pdf">kept</a>{t}') for i, t in enumerate(tails)],
+        "url string, html string")
+    assert [r.href for r in extract_links(pages).collect()] == ["k.pdf"] * 3
+    assert [r.markdown.split("\n")[-1].strip() for r in html_to_markdown(pages).collect()] == ["kept"] * 3
