@@ -122,4 +122,4 @@ def test_unclosed_blocks_reach_the_end_of_the_page(spark):
         [(f"http://h.org/{i}", f'<html><body><a href="k.pdf">kept</a>{t}') for i, t in enumerate(tails)],
         "url string, html string")
     assert [r.href for r in extract_links(pages).collect()] == ["k.pdf"] * 3
-    assert [r.markdown.split("\n")[-1].strip() for r in html_to_markdown(pages).collect()] == ["kept"] * 3
+    assert [r.markdown.split()[2:] for r in html_to_markdown(pages).collect()] == [["kept"]] * 3
