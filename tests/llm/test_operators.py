@@ -323,6 +323,26 @@ def test_substring_dedup(odd, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("least, edit", [(50, "add"), (50, "add two"), (60, "add"), (60, "drop")])
+def test_passages_with_added_or_dropped_words(least, edit):
+    rng = np.random.default_rng(least)
+    words = rng.integers(0, 10**6, least).tolist()
+    half = least // 2
+    edited = {"add": [*words[:half], -1, *words[half:]], "add two": [*words[:half], -1, -2, *words[half:]],
+              "drop": words[:half] + words[half + 1:]}[edit]
+    a, b = ([hash(tuple(w[k:k + 5])) & 2**62 - 1 for k in range(len(w) - 4)] for w in (words, edited))
+    both = len(set(a) & set(b))
+    similar = both >= 0.8 * len(set(a) | set(b)) and min(len(a), len(b)) >= 46
+    pad = [rng.integers(2**62, 2**63, 30).tolist() for _ in range(4)]
+    x, y = np.array([*pad[0], *a, *pad[1]], np.uint64), np.array([*pad[2][:7], *b, *pad[3]], np.uint64)
+    got = substring_dedup.verified_stretches(x, y, [23], 46, 80)
+    assert bool(got) == similar
+    for s, e, other_s, other_e in got:
+        assert s <= 34 and e >= 30 + len(a) - 4 and other_s <= 11 and other_e >= 7 + len(b) - 4
+    repeated = np.full(300, 5, np.uint64)
+    assert substring_dedup.verified_stretches(repeated, repeated, [0], 46, 80) == [(0, 300, 0, 300)]
+
+
 def test_compact_windows_are_the_tree_nodes():
     def nodes(h, lo, hi, least):
         if hi - lo < least:
