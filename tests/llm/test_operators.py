@@ -343,6 +343,29 @@ def test_passages_with_added_or_dropped_words(least, edit):
     assert substring_dedup.verified_stretches(repeated, repeated, [0], 46, 80) == [(0, 300, 0, 300)]
 
 
+@pytest.mark.parametrize("piece", [2048, 16])
+def test_passages_over_a_frequent_line(llm_spark, monkeypatch, piece):
+    """Pairs share a passage around a line that many other documents hold."""
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    rng = random.Random(11)
+    word = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, docs, pairs = word(36), [], {}
+    docs += [[*word(80), *line, *word(80)] for _ in range(60)]
+    for i in range(20):
+        passage = [*word(11), *line, *word(11)]
+        edited = list(passage)
+        if i % 2:
+            edited[5] = "changed"
+        pairs[60 + 2 * i] = 61 + 2 * i
+        docs += [[*word(70), *passage, *word(70)], [*word(65), *edited, *word(75)]]
+    docs += [[*word(80), *line, *word(80)] for _ in range(60)]
+    df = llm_spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    rows = substring_dedup.repeated_passages(df).collect()
+    found = {(r.doc_id, r.other_doc_id) for r in rows}
+    assert found == {p for a, b in pairs.items() for p in ((a, b), (b, a))}
+    assert all(r.class_id == min(r.doc_id, r.other_doc_id) for r in rows)
+
+
 def test_compact_windows_are_the_tree_nodes():
     def nodes(h, lo, hi, least):
         if hi - lo < least:
