@@ -366,6 +366,24 @@ def test_passages_over_a_frequent_line(llm_spark, monkeypatch, piece):
     assert all(r.class_id == min(r.doc_id, r.other_doc_id) for r in rows)
 
 
+def test_windows_of_edited_passages_meet():
+    """Passages of the least length with one word of 50 changed."""
+    rng = np.random.default_rng(21)
+    tokens, missed = substring_dedup.ShingleSequence(5), 0
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    for _ in range(1000):
+        passage = word(50)
+        edited = [*passage[:25], "changed", *passage[26:]]
+        sides = [tokens(" ".join([*word(60), *x, *word(60)]).encode()) for x in (passage, edited)]
+        minima = []
+        for x in sides:
+            hs = [substring_dedup.function(x, k) for k in range(substring_dedup.HASHES)]
+            minima.append({(k, int(h[c])) for k, h in enumerate(hs) for _, c, _ in substring_dedup.compact_windows(h, 46)})
+        missed += len(minima[0] & minima[1]) < substring_dedup.ENOUGH
+    print("missed", missed)
+    assert missed <= 5
+
+
 def test_compact_windows_are_the_tree_nodes():
     def nodes(h, lo, hi, least):
         if hi - lo < least:
