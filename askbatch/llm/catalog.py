@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import ship_package
+from .conversation_repair import repair_audit
 from .embed_dedup import embedding_classes
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_components
 from .langid import languages
+from .merkle_manifest import manifest
 from .mixing import weighted_fair_schedule
 from .quality import quality
 from .substring_dedup import repeated_passages
 from .token_codes import token_digests
+from .vantage_ann import nearest_neighbours
 from .warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +83,18 @@ def op10_language(spark, root):
     return languages(_documents(spark, root))
 
 
+def op11_vantage_ann(spark, root):
+    return nearest_neighbours(_table(spark, root, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_conversation_repair(spark, root):
+    return repair_audit(_table(spark, root, "conversations"))
+
+
+def op13_merkle_manifest(spark, root):
+    return manifest(_documents(spark, root), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_codes": op2_token_codes,
@@ -91,11 +106,84 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_language": op10_language,
+    "op11_vantage_ann": op11_vantage_ann,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+# levels of the Merkle statement: 16^6 leaves a source, and as many sources
+_LEVELS = 6
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """Levels `name`0.. of the nodes (tree, pos, n, d), the roots `name`_r
+    (tree, d) and the digests beside every node, `name`_s0.. ."""
+    ctes = [f"{name}0 AS ({nodes})"]
+    for k in range(_LEVELS):
+        if k:
+            ctes.append(f"""{name}{k} AS (SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n, sha256(string_agg(d, '' ORDER BY pos)) AS d
+                FROM {name}{k - 1} WHERE n > 1 GROUP BY tree, pos // 16, n)""")
+        ctes.append(f"""{name}_s{k} AS (SELECT tree, pos,
+                coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+                FROM {name}{k} WHERE n > 1 WINDOW w AS (PARTITION BY tree, pos // 16 ORDER BY pos))""")
+    roots = " UNION ALL ".join(f"SELECT tree, d FROM {name}{k} WHERE n = 1" for k in range(_LEVELS))
+    return ",\n        ".join([*ctes, f"{name}_r AS ({roots})"])
+
+
+def _up_sql(name: str, source: str, tree: str, pos: str, folded: str, out: str, carried: str) -> str:
+    """Fold `folded` up the tree and collect the digests beside the path."""
+    joins = " ".join(f"LEFT JOIN {name}_s{k} s{k} ON s{k}.tree = {tree} AND s{k}.pos = {pos} // {16 ** k}"
+                     for k in range(_LEVELS))
+    inner = f"SELECT {source}.*, {', '.join(f's{k}.l AS l{k}, s{k}.r AS r{k}' for k in range(_LEVELS))} FROM {source} {joins}"
+    fold = folded
+    for k in range(_LEVELS):
+        inner = f"SELECT *, CASE WHEN l{k} IS NULL THEN {fold} ELSE sha256(l{k} || {fold} || r{k}) END AS f{k} FROM ({inner})"
+        fold = f"f{k}"
+    beside = " || ".join(f"coalesce(l{k} || r{k}, '')" for k in range(_LEVELS))
+    return f"{out} AS (SELECT {carried}, {fold} AS folded_{name}, {beside} AS beside_{name} FROM ({inner}))"
+
+
+def _manifest_sql() -> str:
+    def field(x: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ord(ch)::BIGINT)),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                      lambda d, z: xor(d >> 1, 3988292384 * (d & 1)))))"""
+    return f"""
+        WITH leaves AS (
+          SELECT doc_id, source, {leaf('text')} AS leaf,
+                 CASE WHEN {crc} % 5 = 0 THEN {leaf(f'translate(text, {_AZ})')} END AS changed FROM documents),
+        src AS (SELECT source, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree
+                FROM leaves GROUP BY source),
+        placed AS (SELECT l.*, s.tree, s.n, row_number() OVER (PARTITION BY s.tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+                   FROM leaves l JOIN src s ON l.source IS NOT DISTINCT FROM s.source),
+        {_tree_sql('a', 'SELECT tree, pos, n, leaf AS d FROM placed')},
+        {_tree_sql('b', 'SELECT 0 AS tree, tree AS pos, (SELECT count(*) FROM src) AS n, d FROM a_r')},
+        placed2 AS (SELECT *, coalesce(changed, leaf) AS f FROM placed),
+        {_up_sql('a', 'placed2', 'placed2.tree', 'placed2.pos', 'f', 'up1', 'doc_id, leaf, tree')},
+        {_up_sql('b', 'up1', '0', 'up1.tree', 'folded_a', 'up2', 'doc_id, leaf, tree, beside_a')}
+        SELECT doc_id, leaf, a_r.d AS subroot, b_r.d AS root, sha256(beside_a || beside_b) AS proof_sha256,
+               folded_b AS folded_root, folded_b = b_r.d AS verified
+        FROM up2 JOIN a_r ON a_r.tree = up2.tree CROSS JOIN b_r"""
+
+
 SQL: dict[str, str] = {
+    "op11_vantage_ann": """
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+          SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score,
+                 row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC,
+                                    c.vec_id) AS rank
+          FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        WHERE rank <= 20""",
+    "op13_merkle_manifest": _manifest_sql(),
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
