@@ -70,8 +70,25 @@ def _results(spark, root):
     return scan_search_responses(_searches(spark, root))
 
 
+def _asked_results(spark, root):
+    """All results of the search responses, and some whose fetch fails."""
+    return (_results(spark, root).select("question_id", "pos", "url")
+            .unionByName(derived.failing_results(_pages(spark, root))))
+
+
+def _snapshot(spark, root):
+    pages = _pages(spark, root)
+    return snapshot_from_pages(pages).unionByName(derived.failing_snapshot(pages))
+
+
+def _twice_asked(spark, root):
+    """Every question, and once more under the identifier of its failure rows."""
+    qs = _questions(spark, root)
+    return qs.unionByName(derived.failing_questions(qs))
+
+
 def _fetch(spark, root):
-    return fetch_join(_results(spark, root), snapshot_from_pages(_pages(spark, root)))
+    return fetch_join(_asked_results(spark, root), _snapshot(spark, root))
 
 
 def _memo(spark, root):
@@ -220,9 +237,10 @@ def q_memo_size(spark, root):
 
 def q_stage_counts(spark, root):
     searches = _searches(spark, root)
-    results = scan_search_responses(searches)
-    fetched, fetch_fail = fetch_join(results, snapshot_from_pages(_pages(spark, root)))
-    return stats.stage_counts(searches, results=results, fetched=fetched,
+    results = _asked_results(spark, root)
+    fetched, fetch_fail = fetch_join(results, _snapshot(spark, root))
+    asked = searches.select("question_id").unionByName(results.select("question_id"))
+    return stats.stage_counts(asked, results=results, fetched=fetched,
                               failures=search_failures(searches).unionByName(fetch_fail))
 
 
@@ -308,7 +326,7 @@ def q_prepare_answers(spark, root):
 def q_finish_answers(spark, root):
     conv = _conv(spark, root)
     empty_memo = spark.createDataFrame([], MEMO)
-    done = finish_answers(_questions(spark, root), derived.page_response_envelopes(conv),
+    done = finish_answers(_twice_asked(spark, root), derived.page_response_envelopes(conv),
                           derived.final_response_envelopes(conv), empty_memo)
     return done.answers
 
@@ -330,7 +348,7 @@ def q_refine_search(spark, root):
 def q_format_queries(spark, root):
     conv = _conv(spark, root)
     got, _ = exchange.queries_from_format_responses(
-        _questions(spark, root).select("question_id", "question"), derived.format_response_envelopes(conv))
+        _twice_asked(spark, root).select("question_id", "question"), derived.format_response_envelopes(conv))
     return got.select("question_id", "query")
 
 

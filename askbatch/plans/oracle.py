@@ -168,22 +168,25 @@ QUESTIONS = (f"SELECT CAST(conv_id * {D.TURN_BASE} + turn AS BIGINT) AS question
 QA = (f"SELECT CAST(u.conv_id * {D.TURN_BASE} + u.turn AS BIGINT) AS question_id, u.text AS question, "
       f"a.text AS answer FROM conversations u JOIN conversations a "
       f"ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
+TWICE_ASKED = f"{QUESTIONS} UNION ALL SELECT -1 - question_id, question FROM ({QUESTIONS})"
 MEMO = (f"SELECT question, answer, {C.MEMO_OLD_EPOCH} + question_id AS stored_ts FROM ({QA})")
 
+GOOD_SEARCHES = f"""
+SELECT question_id, 200 AS status, to_json({{'webPages': {{'value': list(v ORDER BY page_id)}}}})::VARCHAR AS body
+FROM (SELECT CAST(page_id // {D.RESULTS_PER_SEARCH} AS BIGINT) AS question_id, page_id,
+             {{'id': 'page-' || CAST(page_id AS VARCHAR),
+               'name': regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+               'url': url,
+               'snippet': {strip_edges("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}}} AS v
+      FROM pages)
+GROUP BY question_id
+"""
 SEARCHES = f"""
-SELECT question_id,
-       CASE WHEN question_id % {D.SEARCH_CASES} = 4 THEN 503 ELSE 200 END AS status,
-       CASE question_id % {D.SEARCH_CASES} WHEN 4 THEN NULL
-            WHEN 5 THEN {q(D.BROKEN_JSON_LEAD)} || body WHEN 6 THEN '{{}}'
-            WHEN 7 THEN '{{"webPages":{{}}}}' ELSE body END AS body
-FROM (SELECT question_id, to_json({{'webPages': {{'value': list(v ORDER BY page_id)}}}})::VARCHAR AS body
-      FROM (SELECT CAST(page_id // {D.RESULTS_PER_SEARCH} AS BIGINT) AS question_id, page_id,
-                   {{'id': 'page-' || CAST(page_id AS VARCHAR),
-                     'name': regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
-                     'url': url,
-                     'snippet': {strip_edges("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}}} AS v
-            FROM pages)
-      GROUP BY question_id)
+SELECT question_id, status, body FROM ({GOOD_SEARCHES})
+UNION ALL
+SELECT -1 - question_id, CASE WHEN question_id % 8 = 4 THEN 503 ELSE 200 END,
+       CASE question_id % 8 WHEN 5 THEN '{{' || body WHEN 6 THEN '{{}}' WHEN 7 THEN '{{"webPages":{{}}}}' END
+FROM ({GOOD_SEARCHES}) WHERE question_id % 8 >= 4
 """
 
 SEARCH_REASON = f"""
@@ -206,8 +209,13 @@ FROM (SELECT question_id, unnest(json_extract(body, '$.webPages.value[*]')) AS i
       WHERE body IS NOT NULL)
 """
 
-SNAPSHOT = ("SELECT page_id, url, html, CASE WHEN contains(lower(html), '</html>') THEN 200 ELSE 206 END "
-            "AS status FROM pages")
+SNAPSHOT = "SELECT page_id, url, html, 200 AS status FROM pages"
+FAILING_SNAPSHOT = (f"{SNAPSHOT} UNION ALL SELECT -1 - page_id, url || '?gone', '<p>gone</p>', 404 "
+                    f"FROM pages WHERE page_id % 7 = 2")
+FAILING_RESULTS = ("SELECT -1 - page_id AS question_id, CAST(0 AS BIGINT) AS pos, "
+                   "url || CASE WHEN page_id % 7 = 2 THEN '?gone' ELSE '?missing' END AS url "
+                   "FROM pages WHERE page_id % 7 IN (2, 5)")
+ALL_RESULTS = f"SELECT question_id, pos, url FROM ({RESULTS}) UNION ALL {FAILING_RESULTS}"
 
 
 def fetch_pick(results: str, snapshot: str) -> str:
@@ -219,11 +227,11 @@ def fetch_pick(results: str, snapshot: str) -> str:
     """
 
 
-FETCHED = f"SELECT question_id, pos, url, html FROM ({fetch_pick(RESULTS, SNAPSHOT)}) WHERE html IS NOT NULL AND status = 200"
+FETCHED = f"SELECT question_id, pos, url, html FROM ({fetch_pick(ALL_RESULTS, FAILING_SNAPSHOT)}) WHERE html IS NOT NULL AND status = 200"
 FETCH_FAILURES = f"""
 SELECT question_id, 'fetch' AS stage, url AS key,
        CASE WHEN status IS NULL THEN 'not_fetched' ELSE 'http_status ' || CAST(status AS VARCHAR) END AS reason
-FROM ({fetch_pick(RESULTS, SNAPSHOT)}) WHERE NOT (html IS NOT NULL AND status = 200)
+FROM ({fetch_pick(ALL_RESULTS, FAILING_SNAPSHOT)}) WHERE NOT (html IS NOT NULL AND status = 200)
 """
 SEARCH_FAILURES = f"""
 SELECT question_id, 'search' AS stage,
@@ -236,23 +244,32 @@ def chat(x: str) -> str:
     return f"to_json({{'choices': [{{'message': {{'content': {x}}}}}]}})::VARCHAR"
 
 
-PAGE_RESPONSES = f"""
-SELECT 'page:' || CAST(question_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS request_id,
-       CASE WHEN c_ = 4 THEN 500 ELSE 200 END AS status,
-       CASE WHEN c_ = 4 THEN NULL WHEN c_ = 7 THEN '{{"choices":[]}}'
-            WHEN c_ = 8 THEN {q(D.BROKEN_JSON_LEAD)} || {chat('line')} ELSE {chat('line')} END AS body
-FROM (SELECT *, ((question_id % {D.TURN_BASE}) + pos) % {D.PAGE_CASES} AS c_
-      FROM (SELECT question_id, unnest(string_split(answer, chr(10))) AS line,
-                   unnest(range(CAST(len(string_split(answer, chr(10))) AS BIGINT))) AS pos FROM ({QA})))
+PAGE_LINES = f"""
+SELECT *, ((question_id % 1000) + pos) % 9 AS c_
+FROM (SELECT question_id, unnest(string_split(answer, chr(10))) AS line,
+             unnest(range(CAST(len(string_split(answer, chr(10))) AS BIGINT))) AS pos FROM ({QA}))
 """
-FINAL_RESPONSES = f"""
-SELECT 'final:' || CAST(question_id AS VARCHAR) AS request_id,
-       CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 3 THEN 500 ELSE 200 END AS status,
-       CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 3 THEN NULL ELSE {chat('answer')} END AS body
-FROM ({QA})
+PAGE_RESPONSES = f"""
+SELECT 'page:' || CAST(question_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS request_id, 200 AS status,
+       {chat('line')} AS body FROM ({PAGE_LINES})
+UNION ALL
+SELECT 'page:' || CAST(-1 - question_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR), CASE WHEN c_ = 4 THEN 500 ELSE 200 END,
+       CASE c_ WHEN 7 THEN '{{"choices":[]}}' WHEN 8 THEN '{{' || {chat('line')} END
+FROM ({PAGE_LINES}) WHERE c_ IN (4, 7, 8)
 """
 
 
+def replies(kind: str, content: str, case: int, status: int) -> str:
+    return f"""
+    SELECT '{kind}:' || CAST(question_id AS VARCHAR) AS request_id, 200 AS status, {chat(content)} AS body FROM ({QA})
+    UNION ALL
+    SELECT '{kind}:' || CAST(-1 - question_id AS VARCHAR), {status}, NULL FROM ({QA}) WHERE (question_id % 1000) % 5 = {case}
+    """
+
+
+FINAL_RESPONSES = replies("final", "answer", 3, 500)
+
+
 def parsed(src: str) -> str:
     return f"""
     SELECT request_id, split_part(request_id, ':', 1) AS kind,
@@ -318,8 +335,8 @@ def _stage_counts() -> str:
     return f"""
     SELECT s.question_id, coalesce(r.n, 0) AS n_results, coalesce(f.n, 0) AS n_fetched,
            coalesce(x.n, 0) AS n_failures
-    FROM (SELECT DISTINCT question_id FROM ({SEARCHES})) s
-    LEFT JOIN (SELECT question_id, count(*) AS n FROM ({RESULTS}) GROUP BY 1) r USING (question_id)
+    FROM (SELECT question_id FROM ({SEARCHES}) UNION SELECT question_id FROM ({ALL_RESULTS})) s
+    LEFT JOIN (SELECT question_id, count(*) AS n FROM ({ALL_RESULTS}) GROUP BY 1) r USING (question_id)
     LEFT JOIN (SELECT question_id, count(*) AS n FROM ({FETCHED}) GROUP BY 1) f USING (question_id)
     LEFT JOIN (SELECT question_id, count(*) AS n FROM ({fails}) GROUP BY 1) x USING (question_id)
     """
@@ -419,7 +436,7 @@ def _finish_answers() -> str:
     finals = (f"SELECT question_id, content AS answer FROM ({parse_ok(FINAL_RESPONSES)}) WHERE kind = 'final'")
     return f"""
     SELECT q.question_id, q.question, f.answer, CAST(coalesce(a.n_answers, 0) AS BIGINT) AS n_pages
-    FROM ({QUESTIONS}) q JOIN ({finals}) f USING (question_id)
+    FROM ({TWICE_ASKED}) q JOIN ({finals}) f USING (question_id)
     LEFT JOIN ({PAGE_ANSWERS}) a USING (question_id)
     """
 
@@ -436,12 +453,9 @@ def _refine_search() -> str:
 
 
 def _format_queries() -> str:
-    env = (f"SELECT 'format:' || CAST(question_id AS VARCHAR) AS request_id, "
-           f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN 502 ELSE 200 END AS status, "
-           f"CASE WHEN (question_id % {D.TURN_BASE}) % {D.FINAL_CASES} = 1 THEN NULL "
-           f"ELSE {chat(normalize('question'))} END AS body FROM ({QA})")
+    env = replies("format", normalize("question"), 1, 502)
     good = f"SELECT question_id, max(content) AS rw FROM ({parse_ok(env)}) WHERE kind = 'format' GROUP BY 1"
-    return (f"SELECT q.question_id, coalesce(g.rw, q.question) AS query FROM ({QUESTIONS}) q "
+    return (f"SELECT q.question_id, coalesce(g.rw, q.question) AS query FROM ({TWICE_ASKED}) q "
             f"LEFT JOIN ({good}) g USING (question_id)")
 
 
