@@ -1,40 +1,66 @@
 """Ranked retrieval (BM25) and passage selection over a corpus table.
 
-Plan shape, chosen for a corpus far larger than the query set:
-
-* Term counts are computed inside each document row (sort the tokens, count
-  runs), so building postings needs no shuffle at all.
-* Query terms are the small side. Their size is measured first: under
-  ``broadcast_rows`` they are broadcast and the postings are never shuffled;
-  above it (see `score_pairs`) the vocabulary alone may still be broadcast
-  as a filter, and the join runs on (term, salt), with the postings of
-  frequent terms spread over ``salt_buckets`` buckets and the matching query
-  rows replicated, so a stop-word posting list does not land in one task.
-* Document frequency comes from the index lexicon when the index was
-  written, else it is aggregated only for query terms, with map-side
-  partial aggregation, so its shuffle carries one row per term per task.
-* Scores are summed per (query, doc) (partial + final aggregate) and cut to
-  the top k with a window whose partial group-limit runs before the shuffle.
+An index is written once and read by every query batch:
+
+* `docs`: per document its token count and (term, tf) runs, computed inside
+  the row (sort the tokens, count runs), without a shuffle.
+* `postings`: one row per (language, block, term) with the documents of the
+  block that hold the term, the query-independent part of their scores and the
+  largest of them. A block is a fixed share of the documents (by hash). The
+  table is partitioned by language and by whether the term is frequent, and
+  bucketed by block, so everything known of a document lies in one bucket.
+* `terms`: the lexicon (document frequency, frequent or not, largest part).
+
+A batch is answered by one plan at every size. The query terms are broadcast
+(batches beyond the limit are answered in blocks of queries), the postings are
+never shuffled, and scores are summed inside the buckets: the only exchange
+carries k rows per query and task.
+
+With `prune`, frequent terms are paired with fewer documents, for more passes
+over the postings: it pays where a batch's frequent terms make up most of its
+pairs. First the k documents best by rare terms are scored in full; the least
+of these scores is a threshold that the k-th best of all cannot fall below. The
+terms of a query whose largest parts together stay
+under half the threshold are late: no document reaches it by them alone. The
+other terms are scored for every document; what late terms can add is bounded
+by the maxima of the document's block, and only documents that may still reach
+the threshold are paired with the late postings, which are the long ones.
+Nothing is capped, and the ranking equals the exhaustive one.
+
+A query with a market reads the partitions of its language only (dynamic
+partition pruning) and is never paired with a document of another.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import ensure_parallelism, fits_broadcast, scratch_path
+from ..session import BROADCAST_BYTES, checkpointed, ensure_parallelism, fits_broadcast, scratch_path
 
 # BM25 parameters (Robertson / Lucene defaults).
 K1 = 1.2
 B = 0.75
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_SALT_BUCKETS = 32
-# a term is "hot" when it occurs in more than this share of documents
+# a term is frequent when it occurs in more than this share of documents
 HOT_DF_SHARE = 0.01
+# documents of a block, on average
+BLOCK_DOCS = 256
+# forward index bytes of a bucket; the number of buckets has a floor, so the
+# same layout runs at every size
+BUCKET_BYTES = 128 << 20
+MIN_BUCKETS, MAX_BUCKETS = 8, 100_000
+# partition of documents without a language (an empty one reads back as null)
+NO_LANG = "_"
+# late terms of a query stay together under this share of its threshold
+LATE_SHARE = 0.5
+# ranks compare scores rounded to this many digits
+DIGITS = 6
 
 
 def with_term_runs(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -61,107 +87,108 @@ def with_term_runs(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     return with_starts.select(*keep, F.size("_toks").cast("long").alias("doc_len"), runs.alias("runs"))
 
 
-# inverted postings are partitioned by term hash: about this much forward
-# index per bucket, at most this many buckets
-TARGET_BUCKET_BYTES = 256 << 20
-MAX_TERM_BUCKETS = 4096
+def _folder_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
-def term_bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+POSTINGS = ("term string, block long, docs array<struct<doc_id: {id_type}, part: double>>, top double, "
+            "lang string, hot boolean")
 
 
 @dataclass
 class CorpusIndex:
-    """Forward index: one row per document with id, token count and
-    (term, tf) runs. Once written, also the inverted postings, partitioned by
-    term bucket `tb`, and the lexicon `term_stats(term, df)`."""
+    """An index over a corpus: `doc_terms` only until `materialize` wrote it."""
 
     doc_terms: DataFrame
     id_col: str = "doc_id"
-    term_stats: DataFrame | None = None
-    inverted: DataFrame | None = None
-    term_buckets: int = 1
-    stats: tuple[int, float] | None = None   # (n_docs, avg_len), fixed once written
+    postings: DataFrame | None = None
+    terms: DataFrame | None = None
+    langs: tuple[str, ...] = (NO_LANG,)
+    n_docs: int = 0
+    path: str | None = None
 
     @property
     def has_lang(self) -> bool:
         return "lang" in self.doc_terms.columns
 
-    def postings(self) -> DataFrame:
-        """(term, doc_id, tf, doc_len[, lang][, tb]) rows."""
-        if self.inverted is not None:
-            return self.inverted
-        # explode_outer + explicit filter: a plain explode lets the optimizer
-        # infer `size(runs) > 0` and push it below the projections, where it
-        # would inline the sorted-token expression into the lambdas
-        extra = ["lang"] if self.has_lang else []
-        return (self.doc_terms
-                .select(F.col(self.id_col).alias("doc_id"), "doc_len", *extra,
-                        F.explode_outer("runs").alias("r"))
-                .filter(F.col("r").isNotNull())
-                .select("r.term", "doc_id", "r.tf", "doc_len", *extra))
-
-    def n_docs(self) -> Column:
-        if self.stats is not None:
-            return F.lit(self.stats[0]).cast("long")
-        return self.doc_terms.select(F.count(F.lit(1))).scalar()
-
-    def avg_len(self) -> Column:
-        if self.stats is not None:
-            return F.lit(self.stats[1]).cast("double")
-        return self.doc_terms.select(F.avg("doc_len")).scalar()
-
-    def materialize(self, path: str | None = None, term_buckets: int | None = None) -> "CorpusIndex":
-        """Write the index once (one tokenising pass) and read it back.
-
-        `docs` is the forward index. `postings` is the inverted one,
-        partitioned by term bucket, so a query batch reads only the buckets
-        of its terms. The bucket count follows the size of the forward index
-        (`TARGET_BUCKET_BYTES` each, at most `MAX_TERM_BUCKETS`) unless
-        given, and each bucket is spread over several files. The lexicon
-        `terms` is aggregated with map-side partial counts, so a frequent
-        term costs one row per task."""
+    def materialize(self, path: str | None = None, block_docs: int = BLOCK_DOCS,
+                    buckets: int | None = None) -> "CorpusIndex":
+        """Write the index (one tokenising pass) and read it back."""
         spark = self.doc_terms.sparkSession
         path = (path or scratch_path(spark, "index")).rstrip("/")
         self.doc_terms.write.mode("overwrite").parquet(f"{path}/docs")
-        forward = CorpusIndex(spark.read.parquet(f"{path}/docs"), self.id_col)
-        if term_buckets is None:
-            size = _folder_bytes(spark, f"{path}/docs")
-            term_buckets = max(1, min(MAX_TERM_BUCKETS, -(-size // TARGET_BUCKET_BYTES)))
-        postings = forward.postings().withColumn("tb", term_bucket(F.col("term"), term_buckets))
-        if term_buckets > 1:
-            per = max(1, spark.sparkContext.defaultParallelism // term_buckets)
-            postings = postings.repartition(term_buckets * per, "tb",
-                                            F.pmod(F.xxhash64("doc_id"), F.lit(per)))
-        postings.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/postings")
-        inverted = spark.read.parquet(f"{path}/postings")
-        terms = inverted.groupBy("tb", "term").agg(F.count(F.lit(1)).alias("df"))
-        if term_buckets > 1:
-            terms = terms.repartition("tb")
-        terms.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/terms")
-        # corpus statistics are fixed once written: one aggregate now instead
-        # of a scan of every document's length per query batch
-        st = forward.doc_terms.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("a")).first()
-        spark.createDataFrame([(term_buckets, self.id_col, int(st["n"]), float(st["a"] or 0.0))],
-                              "term_buckets int, id_col string, n_docs long, avg_len double") \
-            .write.mode("overwrite").json(f"{path}/meta")
+        docs = spark.read.parquet(f"{path}/docs")
+        lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit(NO_LANG)) if self.has_lang else F.lit(NO_LANG)
+        # corpus statistics are fixed from here on: one aggregate
+        per_lang = docs.groupBy(lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_len").alias("len")).collect()
+        n_docs, length = sum(r["n"] for r in per_lang), sum(r["len"] or 0 for r in per_lang)
+        avg_len = length / n_docs if n_docs else 0.0
+        if buckets is None:
+            buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, -(-_folder_bytes(spark, f"{path}/docs") // BUCKET_BYTES)))
+        blocks = max(1, -(-n_docs // block_docs))
+        # explode_outer + explicit filter: a plain explode lets the optimizer
+        # push `size(runs) > 0` below the projection that tokenises
+        runs = docs.select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"),
+                           F.explode_outer("runs").alias("r")).filter(F.col("r").isNotNull())
+        tf, doc_len = F.col("r.tf").cast("double"), F.col("doc_len").cast("double")
+        norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * doc_len / F.lit(avg_len))
+        part = tf * F.lit(K1 + 1.0) / (tf + norm)
+        # frequent terms keep a partial count per task, so the lexicon costs
+        # one row per term and task
+        lexicon = runs.groupBy("r.term").agg(F.count(F.lit(1)).alias("df"), F.max(part).alias("most"))
+        hot = F.col("df") > F.lit(HOT_DF_SHARE) * F.lit(n_docs)
+        lexicon.withColumn("hot", hot).write.mode("overwrite").parquet(f"{path}/terms")
+        terms = spark.read.parquet(f"{path}/terms")
+        # at most (distinct terms of a document) / HOT_DF_SHARE terms are
+        # frequent, whatever the corpus: a proven bound, so they are broadcast
+        frequent = F.broadcast(terms.filter("hot").select(F.col("term").alias("_t"), F.lit(True).alias("hot")))
+        rows = runs.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.col("r.term").alias("term"),
+                           "doc_id", part.alias("part"))
+        # one exchange by block; the groups (at most a block's documents) and
+        # the files of the buckets follow its partitioning
+        grouped = (rows.repartition(buckets, "block").groupBy("lang", "block", "term")
+                   .agg(F.collect_list(F.struct("doc_id", "part")).alias("docs"), F.max("part").alias("top"))
+                   .join(frequent, F.col("term") == F.col("_t"), "left")
+                   .select("term", "block", "docs", "top", "lang", F.coalesce("hot", F.lit(False)).alias("hot")))
+        name = _table_name()
+        (grouped.write.mode("overwrite").format("parquet").partitionBy("lang", "hot").bucketBy(buckets, "block")
+         .option("path", f"{path}/postings").saveAsTable(name))
+        spark.sql(f"DROP TABLE {name}")         # external: the files stay
+        spark.createDataFrame([(self.id_col, n_docs, buckets, sorted(r["lang"] for r in per_lang))],
+                              "id_col string, n_docs long, buckets int, langs array<string>") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
         return CorpusIndex.load(spark, path)
 
     @classmethod
-    def load(cls, spark, path: str) -> "CorpusIndex":
+    def exists(cls, spark: SparkSession, path: str) -> bool:
+        """Written in full: the meta table is written last."""
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/meta/_SUCCESS")
+        return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CorpusIndex":
         """An index written by `materialize`."""
         path = path.rstrip("/")
-        meta = spark.read.json(f"{path}/meta").first()
-        return cls(spark.read.parquet(f"{path}/docs"), meta["id_col"],
-                   spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/postings"),
-                   int(meta["term_buckets"]), (int(meta["n_docs"]), float(meta["avg_len"])))
+        meta = spark.read.parquet(f"{path}/meta").first()
+        docs = spark.read.parquet(f"{path}/docs")
+        postings = _bucketed(spark, f"{path}/postings", docs.schema[meta["id_col"]].dataType.simpleString(), meta["buckets"])
+        return cls(docs, meta["id_col"], postings, spark.read.parquet(f"{path}/terms"),
+                   tuple(meta["langs"]) or (NO_LANG,), int(meta["n_docs"]), path)
 
 
-def _folder_bytes(spark, path: str) -> int:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+def _table_name() -> str:
+    return f"askbatch_postings_{uuid.uuid4().hex[:12]}"
+
+
+def _bucketed(spark: SparkSession, path: str, id_type: str, buckets: int) -> DataFrame:
+    """The postings of a folder with their partitions and buckets: an external
+    table of the session's catalog that names the files in place."""
+    name = _table_name()
+    spark.sql(f"CREATE TABLE {name} ({POSTINGS.format(id_type=id_type)}) USING parquet PARTITIONED BY (lang, hot) "
+              f"CLUSTERED BY (block) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
 
 
 def market_lang(mkt: Column) -> Column:
@@ -173,8 +200,8 @@ def build_index(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 mkt: str | None = None, lang_col: str = "lang") -> CorpusIndex:
     """Index a corpus table; `mkt` (`en-us`) keeps one language (`en`).
 
-    When the corpus has `lang_col`, each document keeps its language, so
-    queries can carry their own market (see `score_pairs`)."""
+    When the corpus has `lang_col`, a language code per document, the postings
+    are partitioned by it and queries can carry their own market."""
     if mkt:
         corpus = corpus.filter(F.col(lang_col) == market_lang(F.lit(mkt)))
     keep = [id_col] + (["lang"] if lang_col in corpus.columns else [])
@@ -192,101 +219,135 @@ def query_terms(queries: DataFrame, qid_col: str, text_col: str,
             .dropDuplicates(["qid", "term"]))
 
 
-def _bm25(tf: Column, doc_len: Column, idf: Column, avg_len: Column) -> Column:
-    norm = F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * doc_len / avg_len)
-    return idf * tf * F.lit(K1 + 1.0) / (tf + norm)
-
-
-def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid",
-                text_col: str = "query", broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salt_buckets: int = DEFAULT_SALT_BUCKETS,
-                vocab_broadcast_rows: int | None = None,
-                mkt_col: str | None = None) -> DataFrame:
-    """BM25 score of every (query, document) pair sharing at least one term.
-
-    Returns (qid, doc_id, score). Three tiers, chosen by measured sizes:
-
-    1. query terms (qid, term) under `broadcast_rows`: everything about the
-       queries is broadcast; postings are filtered and scored in place, with
-       no shuffle of postings.
-    2. too many query terms, but the distinct vocabulary under
-       `vocab_broadcast_rows`: the vocabulary is broadcast as a filter, so
-       only matching postings reach the one salted shuffle join.
-    3. otherwise the postings go straight to the salted shuffle join.
-
-    In tiers 2 and 3 the postings of frequent terms are spread over
-    `salt_buckets` by doc id and the query rows of those terms are
-    replicated. Nothing is capped or sampled.
-
-    With `mkt_col` (e.g. `en-us`) on the queries and a language kept in the
-    index, a query only scores documents of its market's language (a null
-    market scores all); corpus statistics stay corpus-wide.
-    """
+def _weighted_terms(queries: DataFrame, index: CorpusIndex, qid_col: str, text_col: str,
+                    mkt_col: str | None, broadcast_rows: int) -> DataFrame:
+    """(qid, term, lang, idf, hot, most): a row per language that a query may
+    read; `most` is the largest score that the term gives any document.
+    Written as a table: it is measured once and broadcast several times."""
     if mkt_col and not index.has_lang:
         raise ValueError("per-query markets need an index built from a corpus with a language column")
     qt = query_terms(queries, qid_col, text_col, mkt_col)
-    small = fits_broadcast(qt, broadcast_rows)
-    vocab = qt.select("term").distinct()
-    vlimit = broadcast_rows if vocab_broadcast_rows is None else vocab_broadcast_rows
-    vocab_small = small or fits_broadcast(vocab, vlimit)
-    vocab_side = F.broadcast(vocab) if vocab_small else vocab
-
-    postings = index.postings()
-    term_stats = index.term_stats
-    if "tb" in postings.columns and index.term_buckets <= 1:
-        postings = postings.drop("tb")
-        if term_stats is not None and "tb" in term_stats.columns:
-            term_stats = term_stats.drop("tb")
-    elif "tb" in postings.columns:
-        # partition pruning: read only the term buckets of the query terms.
-        # The bucket ids are at most `term_buckets` small ints, whatever the
-        # data size, so they come to the driver as a literal IN list.
-        buckets = sorted(r.tb for r in vocab.select(term_bucket(F.col("term"), index.term_buckets)
-                                                    .alias("tb")).distinct().collect())
-        postings = postings.filter(F.col("tb").isin(buckets)).drop("tb")
-        if term_stats is not None and "tb" in term_stats.columns:
-            term_stats = term_stats.filter(F.col("tb").isin(buckets)).drop("tb")
-    matched = postings.join(F.broadcast(vocab), "term", "left_semi") if vocab_small else postings
-
-    n_docs = index.n_docs()
-    avg_len = index.avg_len()
-    if term_stats is not None:
-        dfreq = term_stats.join(vocab_side, "term", "left_semi")
-    else:
-        # without a lexicon: count postings per term with partial aggregation
-        # (one row per term per task), over query terms only when the
-        # vocabulary filter is broadcast, else over all and filtered after
-        dfreq = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        if not vocab_small:
-            dfreq = dfreq.join(vocab, "term", "left_semi")
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    term_w = dfreq.select("term", "df", idf.alias("idf"))
-
-    if small:
-        qw = qt.join(F.broadcast(term_w), "term")
-        hits = matched.join(F.broadcast(qw), "term")
-    else:
-        hot = F.col("df") > F.lit(HOT_DF_SHARE) * n_docs
-        qw = (qt.join(term_w, "term")
-                .withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                                               .otherwise(F.array(F.lit(0))))))
-        # hot terms number at most (distinct terms per doc) / HOT_DF_SHARE,
-        # whatever the corpus size: a proven bound, so broadcast
-        hot_terms = term_w.filter(hot).select("term", F.lit(True).alias("is_hot"))
-        salted = (matched.join(F.broadcast(hot_terms), "term", "left")
-                  .withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salt_buckets)))
-                                       .otherwise(F.lit(0)))
-                  .drop("is_hot"))
-        hits = salted.join(qw, ["term", "salt"])
-
-    if mkt_col:
-        hits = hits.filter(F.col("q_lang").isNull() | (F.col("q_lang") == F.col("lang")))
-    contrib = _bm25(F.col("tf").cast("double"), F.col("doc_len").cast("double"), F.col("idf"), avg_len)
-    return hits.groupBy("qid", "doc_id").agg(F.sum(contrib).alias("score"))
+    vocabulary = qt.select("term").distinct()
+    if fits_broadcast(vocabulary, broadcast_rows):
+        vocabulary = F.broadcast(vocabulary)
+    df = F.col("df").cast("double")
+    idf = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - df + F.lit(0.5)) / (df + F.lit(0.5)))
+    known = (index.terms.join(vocabulary, "term", "left_semi")
+             .select("term", idf.alias("idf"), "hot", (idf * F.col("most")).alias("most")))
+    every = F.array(*[F.lit(x) for x in index.langs])
+    lang = F.when(F.col("q_lang").isNull(), every).otherwise(F.array("q_lang")) if mkt_col else every
+    return checkpointed(qt.join(known, "term").select("qid", "term", F.explode(lang).alias("lang"), "idf", "hot", "most"),
+                        "query-terms")
+
+
+def _query_blocks(weighted: DataFrame, rows: int) -> list[DataFrame]:
+    """The query terms in blocks of whole queries that fit a broadcast."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in weighted.columns])))
+    got = weighted.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    n = max(-(-got["n"] // max(1, rows)), -(-int(got["b"] or 0) // BROADCAST_BYTES), 1)
+    if n == 1:
+        return [weighted]
+    of = F.pmod(F.xxhash64("qid"), F.lit(n))
+    return [weighted.filter(of == i) for i in range(n)]
+
+
+def _co_located(spark: SparkSession) -> None:
+    """Let a join on (lang, block, term) use buckets of `block` alone: without
+    this, Spark exchanges both sides although the buckets hold the keys."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def _sums(hits: DataFrame) -> DataFrame:
+    """Scores per query and document, within the buckets of `block`."""
+    one = hits.select("qid", "lang", "block", "idf", F.explode("docs").alias("d"))
+    return (one.groupBy("qid", "lang", "block", F.col("d.doc_id").alias("doc_id"))
+            .agg(F.sum(F.col("idf") * F.col("d.part")).alias("score")))
+
+
+def _paired(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    # the comparison is always true; it marks the side as filtered, which is
+    # what dynamic partition pruning asks for
+    return postings.join(F.broadcast(terms.filter(F.col("term") != "")), ["lang", "term"])
+
+
+def _threshold(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(qid, floor): the least full score of the k documents that are best by
+    rare terms alone; the k-th best of all cannot be below it. Only for
+    queries that have k such documents."""
+    rare = _sums(_paired(postings.filter("NOT hot"), terms.filter("NOT hot")))
+    seeds = top_k(rare, k).select("qid", "lang", "block", "doc_id")
+    # k rows a query
+    wanted = F.broadcast(seeds.join(F.broadcast(terms.select("qid", "lang", "term", "idf")), ["qid", "lang"])
+                         .select("lang", "block", "term", "qid", "idf", F.col("doc_id").alias("seed")))
+    part = F.get(F.filter("docs", lambda d: d["doc_id"] == F.col("seed")), F.lit(0))["part"]
+    full = (postings.select("lang", "block", "term", "docs").join(wanted, ["lang", "block", "term"])
+            .groupBy("qid", "lang", "block", "seed").agg(F.sum(F.col("idf") * F.coalesce(part, F.lit(0.0))).alias("score")))
+    best = full.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+    return best.filter(F.col("n") == k).select("qid", "floor")
+
+
+def _split_terms(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """The terms with the query's `floor` and whether they are `late`. Written
+    as a table, so the threshold is computed once."""
+    floor = F.broadcast(_threshold(postings, terms, k))     # a row per query
+    upto = Window.partitionBy("qid", "lang").orderBy("most", "term")
+    late = F.coalesce(F.sum("most").over(upto) <= F.col("floor") * F.lit(LATE_SHARE), F.lit(False))
+    return checkpointed(terms.join(floor, "qid", "left").withColumn("late", late), "query-terms-split")
+
+
+def _essential(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, lang, block, floor, doc_id, score) by the terms that are not late."""
+    mine = terms.filter("NOT late").select("qid", "lang", "term", "idf", "floor")
+    one = _paired(postings, mine).select("qid", "lang", "block", "idf", "floor", F.explode("docs").alias("d"))
+    return (one.groupBy("qid", "lang", "block", "floor", F.col("d.doc_id").alias("doc_id"))
+            .agg(F.sum(F.col("idf") * F.col("d.part")).alias("score")))
+
+
+def _late_rows(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, lang, block, term, found): the scores of the documents that may
+    reach the threshold, by each late term, and with a null term by all others."""
+    late = terms.filter("late")
+    bound = (_paired(postings.select("lang", "block", "term", "top"), late.select("qid", "lang", "term", "idf"))
+             .groupBy("qid", "lang", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("bound")))
+    slack = F.lit(4 * 10.0 ** -DIGITS)          # scores are ranked rounded
+    may = (_essential(postings, terms).join(bound, ["qid", "lang", "block"], "left")
+           .filter(F.col("floor").isNull() | (F.col("score") + F.coalesce("bound", F.lit(0.0)) >= F.col("floor") - slack)))
+    # at most the documents of a block
+    held = may.groupBy("qid", "lang", "block").agg(F.collect_list(F.struct("doc_id", F.col("score").alias("part"))).alias("held"))
+    mine = F.broadcast(late.groupBy("qid", "lang").agg(F.collect_list(F.struct("term", "idf")).alias("late")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("idf")))
+    asked = (held.join(mine, ["qid", "lang"], "left")
+             .withColumn("t", F.explode(F.concat(none, F.coalesce("late", F.array().cast("array<struct<term:string,idf:double>>")))))
+             .select("qid", "lang", "block", "held", "t.term", "t.idf"))
+    found = asked.hint("shuffle_hash").join(postings.select("lang", "block", "term", "docs"), ["lang", "block", "term"], "left")
+    ids = F.transform("held", lambda h: h["doc_id"])
+    kept = F.filter("docs", lambda d: F.array_contains(F.col("ids"), d["doc_id"]))
+    return found.withColumn("ids", ids).select(
+        "qid", "lang", "block", "term", F.when(F.col("term").isNull(), F.col("held")).otherwise(
+            F.transform(kept, lambda d: F.struct(d["doc_id"].alias("doc_id"), (d["part"] * F.col("idf")).alias("part")))).alias("found"))
+
+
+def _best(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    one = _late_rows(postings, _split_terms(postings, terms, k)).select("qid", "lang", "block", F.explode("found").alias("d"))
+    return top_k(one.groupBy("qid", "lang", "block", F.col("d.doc_id").alias("doc_id"))
+                 .agg(F.sum("d.part").alias("score")), k)
+
+
+def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid", text_col: str = "query",
+                broadcast_rows: int = DEFAULT_BROADCAST_ROWS, mkt_col: str | None = None) -> DataFrame:
+    """(qid, doc_id, score) of every query and document that share a term,
+    without pruning. Corpus statistics are corpus-wide, also with a market."""
+    index = index if index.postings is not None else index.materialize()
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
+    out = None
+    for terms in _query_blocks(weighted, broadcast_rows):
+        scored = _sums(_paired(index.postings, terms)).select("qid", "doc_id", "score")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def top_k(scored: DataFrame, k: int, group_col: str = "qid", score_col: str = "score",
-          id_col: str = "doc_id", digits: int = 6) -> DataFrame:
+          id_col: str = "doc_id", digits: int = DIGITS) -> DataFrame:
     """Keep the k best rows per group: score (rounded to `digits` so float
     summation order cannot reorder near-ties) desc, then id asc."""
     w = Window.partitionBy(group_col).orderBy(F.round(F.col(score_col), digits).desc(),
@@ -299,17 +360,48 @@ def retrieve_topk(queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int =
                   mkt: str | None = None, qid_col: str = "qid", text_col: str = "query",
                   doc_id_col: str = "doc_id", doc_text_col: str = "text",
                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                  mkt_col: str | None = None) -> DataFrame:
+                  mkt_col: str | None = None, prune: bool = False) -> DataFrame:
     """Top-k documents per query by BM25: (qid, rank, doc_id, score).
 
     `mkt` restricts the whole batch (an index of one language); `mkt_col`
-    names a per-query market column instead."""
+    names a per-query market column instead. `prune` changes the plan, never
+    the result."""
     index = corpus if isinstance(corpus, CorpusIndex) else \
         build_index(corpus, doc_id_col, doc_text_col, mkt=mkt)
-    scored = score_pairs(queries, index, qid_col, text_col, broadcast_rows, mkt_col=mkt_col)
-    return (top_k(scored, k)
-            .select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
-                    "doc_id", F.round("score", 4).alias("score")))
+    if index.postings is None:
+        index = index.materialize()
+    if prune:
+        _co_located(index.doc_terms.sparkSession)
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
+    out = None
+    for terms in _query_blocks(weighted, broadcast_rows):
+        best = _best(index.postings, terms, k) if prune else top_k(_sums(_paired(index.postings, terms)), k)
+        out = best if out is None else out.unionByName(best)
+    return out.select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
+                      "doc_id", F.round("score", 4).alias("score"))
+
+
+def rows_per_hot_term(queries: DataFrame, index: CorpusIndex, k: int = 5, qid_col: str = "qid",
+                      text_col: str = "query", mkt_col: str | None = None) -> DataFrame:
+    """(term, df, pairs, pairs_read): for each frequent query term the (query,
+    document) pairs that hold it, and how many of them a top-k search forms."""
+    _co_located(index.doc_terms.sparkSession)
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, DEFAULT_BROADCAST_ROWS)
+    out = None
+    for terms in _query_blocks(weighted, DEFAULT_BROADCAST_ROWS):
+        sized = F.sum(F.size("docs")).alias("n")
+        split = _split_terms(index.postings, terms, k)
+        hot = split.filter("hot").select("qid", "term", "lang", "late")
+        every = _paired(index.postings.filter("hot"), hot).groupBy("term", "late").agg(sized)
+        late = _late_rows(index.postings, split).filter(F.col("found").isNotNull()).groupBy("term").agg(F.sum(F.size("found")).alias("n"))
+        part = (every.select("term", "n", F.lit("pairs").alias("kind"))
+                .unionByName(every.filter("NOT late").select("term", "n", F.lit("read").alias("kind")))
+                .unionByName(late.select("term", "n", F.lit("read").alias("kind"))))
+        out = part if out is None else out.unionByName(part)
+    total = out.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name)
+                                      for kind, name in (("pairs", "pairs"), ("read", "pairs_read"))])
+    hot = index.terms.filter("hot").select("term", "df")
+    return total.join(hot, "term").select("term", "df", "pairs", "pairs_read")
 
 
 def extract_passages(pairs: DataFrame, queries: DataFrame, n: int = 1,

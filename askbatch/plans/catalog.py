@@ -8,6 +8,7 @@ responses, a memo) are derived from it by `sources.derived`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from ..sources import derived
 from ..sources.pages import fetch_join, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
 from ..sources.tables import read_table
-from ..session import checkpointed, ensure_parallelism
+from ..session import checkpointed, ensure_checkpoint_dir, ensure_parallelism
 from .answering import finish_answers, prepare_answers, refine_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,37 +107,27 @@ def _benchmark_queries(spark, root):
         F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-# Indexes are derived tables of the corpus: built once per corpus version and
-# reused by every query of the session, as a deployment keeps its index.
-_INDEXES: dict[tuple, retrieval.CorpusIndex] = {}
-
-
-def _fingerprint(spark: SparkSession, path: str) -> tuple:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return (path, fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength())
-
-
-def _shared_index(spark, root, table, kind, build):
-    key = (spark.sparkContext.applicationId, kind,
-           _fingerprint(spark, f"{root.rstrip('/')}/{table}.parquet"))
-    if key not in _INDEXES:
-        _INDEXES[key] = build()
-    return _INDEXES[key]
+def _index(spark, root, kind, build):
+    """The index of a table at its place in the shared folder: written by the
+    first query of the application that asks for it, read by the others."""
+    place = hashlib.md5(f"{spark.sparkContext.applicationId} {root}".encode()).hexdigest()[:16]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/askbatch-index-{kind}-{place}"
+    if retrieval.CorpusIndex.exists(spark, path):
+        return retrieval.CorpusIndex.load(spark, path)
+    return build().materialize(path)
 
 
 def _page_index(spark, root):
     def build():
         md = html_to_markdown(_heavy(_pages(spark, root)))
-        return retrieval.build_index(md, id_col="page_id", text_col="markdown").materialize()
-    return _shared_index(spark, root, "pages", "markdown", build)
+        return retrieval.build_index(md, id_col="page_id", text_col="markdown")
+    return _index(spark, root, "pages", build)
 
 
 def _doc_index(spark, root):
     def build():
-        return retrieval.build_index(_t(spark, root, "documents", ["doc_id", "text"])).materialize()
-    return _shared_index(spark, root, "documents", "all", build)
+        return retrieval.build_index(_t(spark, root, "documents", ["doc_id", "text", "lang"]))
+    return _index(spark, root, "documents", build)
 
 
 # ---- ops ------------------------------------------------------------------
@@ -259,6 +250,18 @@ def _page_links(spark, root):
     return links.extract_links(_heavy(_pages(spark, root)))
 
 
+def q_retrieve_topk_pruned(spark, root):
+    """The same ranking by threshold and block maxima."""
+    return retrieval.retrieve_topk(_benchmark_queries(spark, root), _doc_index(spark, root), k=5, prune=True)
+
+
+def q_retrieve_by_market(spark, root):
+    """Each benchmark item searched in the market of its number."""
+    mkt = F.element_at(F.array(*[F.lit(m) for m in MARKETS]), (F.col("qid") % len(MARKETS) + 1).cast("int"))
+    qs = _benchmark_queries(spark, root).withColumn("mkt", mkt)
+    return retrieval.retrieve_topk(qs, _doc_index(spark, root), k=5, mkt_col="mkt")
+
+
 def q_distinct_links(spark, root):
     return links.distinct_links(links.resolve_links(_page_links(spark, root)))
 
@@ -331,6 +334,9 @@ def q_finish_answers(spark, root):
     return done.answers
 
 
+# Markets of the queries, by number; null: all languages.
+MARKETS = ("en-us", "fr-fr", None, "de-de", "es-es")
+
 # The review-and-search-again query.
 REFINE_FIRST_MKT = "en-us"
 REFINE_MIN_SCORE = 20.0
@@ -339,8 +345,8 @@ REFINE_MIN_SCORE = 20.0
 def q_refine_search(spark, root):
     def build():
         docs = _t(spark, root, "documents", ["doc_id", "text", "lang"])
-        return retrieval.build_index(docs, mkt=REFINE_FIRST_MKT).materialize()
-    narrow = _shared_index(spark, root, "documents", REFINE_FIRST_MKT, build)
+        return retrieval.build_index(docs, mkt=REFINE_FIRST_MKT)
+    narrow = _index(spark, root, "documents-" + REFINE_FIRST_MKT, build)
     return refine_answers(_benchmark_queries(spark, root), [narrow, _doc_index(spark, root)],
                           k=5, min_score=REFINE_MIN_SCORE)
 
@@ -378,6 +384,8 @@ QUERIES: dict[str, Query] = {
     "stage_counts": q_stage_counts,
     "failure_counts": q_failure_counts,
     "retrieve_topk": q_retrieve_topk,
+    "retrieve_topk_pruned": q_retrieve_topk_pruned,
+    "retrieve_by_market": q_retrieve_by_market,
     "distinct_links": q_distinct_links,
     "memo_flush": q_memo_flush,
     "build_requests_format": q_build_requests_format,

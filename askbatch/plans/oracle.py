@@ -140,19 +140,22 @@ def links_sql(pages_src: str = "SELECT url, html FROM pages") -> str:
             f"FROM ({anchors(pages_src)}) WHERE regexp_matches(piece, {q(L.HREF_PRESENT)})")
 
 
-def bm25(queries: str, corpus: str, k: int) -> str:
-    """Top-k (qid, rank, doc_id, score) of queries(qid, query) over corpus(doc_id, text)."""
+def bm25(queries: str, corpus: str, k: int, mkt: bool = False) -> str:
+    """Top-k (qid, rank, doc_id, score) of queries(qid, query[, lang]) over
+    corpus(doc_id, text[, lang]); a query with a language ranks its documents."""
+    q_lang, d_lang = (", lang AS ql", ", lang AS dl_") if mkt else ("", "")
+    own = "WHERE qt_.ql IS NULL OR qt_.ql = po_.lang" if mkt else ""
     return f"""
-    WITH d_ AS (SELECT doc_id, {tokens("coalesce(text, '')")} AS toks FROM ({corpus})),
+    WITH d_ AS (SELECT doc_id, {tokens("coalesce(text, '')")} AS toks{d_lang} FROM ({corpus})),
     st_ AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM d_),
-    po_ AS (SELECT doc_id, any_value(dl) AS doc_len, term, count(*) AS tf
-            FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d_) GROUP BY doc_id, term),
-    qt_ AS (SELECT DISTINCT qid, unnest({tokens('query')}) AS term FROM ({queries})),
+    po_ AS (SELECT doc_id, any_value(dl) AS doc_len, term, count(*) AS tf{", any_value(dl_) AS lang" if mkt else ""}
+            FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term{", dl_" if mkt else ""} FROM d_) GROUP BY doc_id, term),
+    qt_ AS (SELECT DISTINCT qid, unnest({tokens('query')}) AS term{q_lang} FROM ({queries})),
     df_ AS (SELECT term, count(*) AS df FROM po_ WHERE term IN (SELECT term FROM qt_) GROUP BY term),
     sc_ AS (SELECT qt_.qid, po_.doc_id,
                    sum(ln(1 + ((SELECT n_docs FROM st_) - df_.df + 0.5) / (df_.df + 0.5)) * po_.tf * {K1 + 1.0}
                        / (po_.tf + {K1} * ({1.0 - B} + {B} * po_.doc_len / (SELECT avg_len FROM st_)))) AS score
-            FROM qt_ JOIN po_ USING (term) JOIN df_ USING (term)
+            FROM qt_ JOIN po_ USING (term) JOIN df_ USING (term) {own}
             GROUP BY qt_.qid, po_.doc_id),
     rk_ AS (SELECT qid, doc_id, score,
                    row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) AS rank
@@ -496,6 +499,10 @@ def statements() -> dict[str, str]:
                            f"{FETCH_FAILURES} UNION ALL {parse_fail(RESPONSES)}) GROUP BY stage, reason"),
         "retrieve_topk": bm25("SELECT item_id AS qid, text AS query FROM benchmark",
                               "SELECT doc_id, text FROM documents", 5),
+        "retrieve_topk_pruned": bm25("SELECT item_id AS qid, text AS query FROM benchmark",
+                                     "SELECT doc_id, text FROM documents", 5),
+        "retrieve_by_market": bm25("SELECT item_id AS qid, text AS query, ['en', 'fr', NULL, 'de', 'es'][item_id % 5 + 1] AS lang "
+                                   "FROM benchmark", "SELECT doc_id, text, lang FROM documents", 5, mkt=True),
         "distinct_links": (f"SELECT DISTINCT page_url, link_url FROM "
                            f"({resolve_from(links_sql(), 'page_url', 'href', 'page_url')})"),
         "memo_flush": f"SELECT question, answer FROM ({MEMO}) WHERE false",

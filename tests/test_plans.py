@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 from pyspark.sql import functions as F
 
@@ -21,17 +22,41 @@ def plan(df) -> str:
     return buf.getvalue().split("\n\n")[0]
 
 
+def explained(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
 def _docs(spark):
     return spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common") for i in range(50)], "doc_id long, text string")
 
 
-def test_retrieval_streams_postings_past_broadcasts(spark):
+def test_scores_are_summed_inside_the_buckets(spark):
     qs = spark.createDataFrame([(1, "w1 common"), (2, "w2")], "qid long, query string")
-    p = plan(retrieve_topk(qs, build_index(_docs(spark)).materialize(), k=3))
-    assert "BroadcastHashJoin LeftSemi" in p and "BroadcastHashJoin Inner" in p
-    assert "SortMergeJoin" not in p
-    # partial top-k before the shuffle on query id, final after it
+    idx = build_index(_docs(spark)).materialize(block_docs=8)
+    p = plan(retrieve_topk(qs, idx, k=3))
+    # no exchange but that of the k rows per query and task, and broadcasts
+    assert p.count("Exchange") - p.count("BroadcastExchange") == 1 and "SortMergeJoin" not in p
     assert p.count("WindowGroupLimit") == 2
+    # pruned: one more such exchange, in the threshold, which is written first
+    p = plan(retrieve_topk(qs, idx, k=3, prune=True))
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
+    full = explained(retrieve_topk(qs, idx, k=3, prune=True))
+    assert not re.search(r"hashpartitioning\((qid|lang|block)[^)]*doc_id", full)
+    assert all(re.fullmatch(r"hashpartitioning\(qid#\d+L?(, lang#\d+)?, \d+\).*", x)
+               for x in re.findall(r"hashpartitioning.*", full))
+
+
+def test_market_prunes_language_partitions(spark):
+    docs = _docs(spark).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("fr"))
+    qs = spark.createDataFrame([(1, "w1 common", "fr-fr"), (2, "w2", "fr-ca")], "qid long, query string, mkt string")
+    idx = build_index(docs).materialize()
+    df = retrieve_topk(qs, idx, k=3, mkt_col="mkt")
+    assert "dynamicpruning" in explained(df)
+    got = {r.doc_id for r in df.collect()}
+    assert got and all(d % 2 == 1 for d in got)
 
 
 def test_narrow_operators_have_no_exchange(spark):

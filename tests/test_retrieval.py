@@ -4,7 +4,9 @@ import math
 import re
 from collections import Counter
 
-from askbatch.operators.retrieval import B, K1, build_index, extract_passages, retrieve_topk, score_pairs
+from askbatch.operators.retrieval import (B, K1, CorpusIndex, build_index, extract_passages, retrieve_topk,
+                                         rows_per_hot_term, score_pairs, top_k)
+from askbatch.session import scratch_path
 
 DOCS = [(1, "the cat sat on the mat"), (2, "the dog sat"), (3, "cats and dogs and cats"),
         (4, "a cat a cat a cat"), (5, ""), (6, "Über große Straße, straße!"), (7, "the cat sat on the mat")]
@@ -45,17 +47,17 @@ def test_bm25_topk_matches_brute_force(spark):
     assert got == brute(3)
 
 
-def test_bm25_all_join_tiers_agree(spark):
+def test_query_blocks_and_pruning_agree(spark):
     docs, qs = _frames(spark)
-    for idx in (build_index(docs), build_index(docs).materialize()):
-        a = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx).collect())
-        # tier 2: vocabulary broadcast as a filter, salted shuffle join
-        b = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(
-            qs, idx, broadcast_rows=0, vocab_broadcast_rows=1000, salt_buckets=4).collect())
-        # tier 3: straight to the salted shuffle join
-        c = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(
-            qs, idx, broadcast_rows=0, vocab_broadcast_rows=0, salt_buckets=4).collect())
-        assert a == b == c and len(a) > 0
+    lazy = build_index(docs)
+    for idx in (lazy.materialize(), lazy.materialize(block_docs=2, buckets=3)):
+        whole = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx).collect())
+        # one or two query terms at a time: several broadcast blocks
+        blocks = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in score_pairs(qs, idx, broadcast_rows=2).collect())
+        assert whole == blocks and len(whole) > 0
+        for k, rows, prune in ((3, 2, False), (1, 2_000_000, True), (3, 2, True)):
+            got = retrieve_topk(qs, idx, k=k, broadcast_rows=rows, prune=prune)
+            assert sorted((r.qid, r.rank, r.doc_id, r.score) for r in got.collect()) == brute(k)
 
 
 def test_materialized_index_gives_same_ranking(spark):
@@ -99,42 +101,54 @@ def test_per_query_market(spark):
                                "qid long, query string, mkt string")
     idx = build_index(docs)
     for broadcast_rows in (2_000_000, 0):
-        got = sorted((r.qid, r.doc_id) for r in
-                     retrieve_topk(qs, idx, k=5, mkt_col="mkt", broadcast_rows=broadcast_rows).collect())
-        assert got == [(1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3)]
+        for prune in (False, True):
+            got = sorted((r.qid, r.doc_id) for r in retrieve_topk(
+                qs, idx, k=5, mkt_col="mkt", broadcast_rows=broadcast_rows, prune=prune).collect())
+            assert got == [(1, 2), (2, 1), (2, 3), (3, 1), (3, 2), (3, 3)]
 
 
-def test_join_tiers_agree_on_real_corpus_with_hot_terms(spark):
+def _real(spark, root="/root/testdata/sf0.01"):
     from pyspark.sql import functions as F
-    root = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "text", "lang")
     qs = spark.read.parquet(f"{root}/benchmark.parquet").select(F.col("item_id").alias("qid"),
                                                                  F.col("text").alias("query"))
-    idx = build_index(docs).materialize()
-    n_hot = idx.term_stats.filter(F.col("df") > 0.01 * docs.count()).count()
-    assert n_hot > 0  # the salted path really salts something here
-    runs = [score_pairs(qs, idx),
-            score_pairs(qs, idx, broadcast_rows=0, vocab_broadcast_rows=10**9, salt_buckets=8),
-            score_pairs(qs, idx, broadcast_rows=0, vocab_broadcast_rows=0, salt_buckets=8)]
-    got = [sorted((r.qid, r.doc_id, round(r.score, 9)) for r in df.collect()) for df in runs]
-    assert got[0] == got[1] == got[2] and len(got[0]) > 1000
-
-
-def test_bucketed_index_prunes_and_matches(spark):
-    import contextlib
-    import io
-    from askbatch.operators.retrieval import CorpusIndex
-    from askbatch.session import scratch_path
+    return docs, qs
+
+
+def test_pruning_on_real_corpus_with_hot_terms(spark):
+    from pyspark.sql import functions as F
+    docs, qs = _real(spark)
+    idx = build_index(docs).materialize(block_docs=32)
+    assert idx.terms.filter("hot").count() > 0
+    best = top_k(score_pairs(qs, idx), 5)
+    want = sorted((r.qid, r["rank"], r.doc_id, round(r.score, 4)) for r in best.collect())
+    for kw in ({}, {"prune": True}, {"prune": True, "broadcast_rows": 200}):
+        got = retrieve_topk(qs, idx, k=5, **kw)
+        assert sorted((r.qid, r["rank"], r.doc_id, r.score) for r in got.collect()) == want
+    # frequent terms are paired with fewer documents, and the count is reported
+    report = rows_per_hot_term(qs, idx, k=5)
+    held = {r.term: r.df for r in idx.terms.filter("hot").collect()}
+    asked = Counter(t for r in qs.collect() for t in set(toks(r.query)))
+    rows = report.collect()
+    assert all(r.df == held[r.term] and r.pairs == held[r.term] * asked[r.term] for r in rows)
+    assert all(r.pairs_read <= r.pairs for r in rows)
+    assert sum(r.pairs_read for r in rows) < 0.9 * sum(r.pairs for r in rows)
+    assert report.filter(F.col("pairs_read") < F.col("pairs")).count() > 0
+
+
+def test_index_loads_with_its_buckets(spark):
     docs, qs = _frames(spark)
     path = scratch_path(spark, "idx-buckets")
-    idx = build_index(docs).materialize(path, term_buckets=8)
-    assert idx.term_buckets == 8 and CorpusIndex.load(spark, path).term_buckets == 8
-    got = sorted((r.qid, r.rank, r.doc_id, r.score) for r in retrieve_topk(qs, idx, k=3).collect())
-    assert got == brute(3)
-    one = spark.createDataFrame([(1, "cat")], "qid long, query string")
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        retrieve_topk(one, idx, k=3).explain("formatted")
-    pf = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PartitionFilters:") and "tb#" in ln]
-    # one query term: Spark writes the bucket filter as `tb = x`, else `tb IN (...)`
-    assert pf and all(" IN (" in ln or " = " in ln for ln in pf), pf
+    idx = build_index(docs).materialize(path, block_docs=2, buckets=5)
+    assert CorpusIndex.exists(spark, path) and not CorpusIndex.exists(spark, path + "-other")
+    again = CorpusIndex.load(spark, path)
+    assert again.n_docs == len(DOCS)
+    for i in (idx, again):
+        assert sorted((r.qid, r.rank, r.doc_id, r.score) for r in retrieve_topk(qs, i, k=3).collect()) == brute(3)
+
+
+def test_empty_corpus_and_queries(spark):
+    docs, qs = _frames(spark)
+    assert retrieve_topk(qs, docs.filter("false"), k=3).count() == 0
+    assert retrieve_topk(qs.filter("false"), docs, k=3).count() == 0
+    assert retrieve_topk(qs, docs.filter("false"), k=3, prune=True).count() == 0
