@@ -1,8 +1,6 @@
-"""Anchor parsing and RFC 3986 reference resolution as native expressions.
+"""Anchors and RFC 3986 reference resolution as native expressions.
 
-Anchors: scripts and comments are removed first, then the page is split at
-every `<a` + whitespace. Each piece after the first starts with one anchor's
-attributes; its text runs to `</a>` or to the next anchor, which is how an
+The text of an anchor runs to `</a>` or to the next anchor, which is how an
 unclosed anchor ends. `<abbr href>` and `data-href` do not match.
 """
 
@@ -11,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .html import STRIP_BLOCKS, decode_entities, strip_blocks
+from .references import decode_references
+from .tags import ANY_TAG, END, anchors, attribute
 from .text import EDGE_SPACE, collapse_spaces
 
-# Anchor grammar.
-ANCHOR_SPLIT = r"(?i)<a\s"
-HREF_PRESENT = r"(?is)^(?:[^>]*\s)?href\s*="
-HREF_VALUE = r"(?is)^(?:[^>]*\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-QUOTES = r"^[\"']|[\"']$"
-ANCHOR_TEXT_CUT = r"(?is)^[^>]*>|</a\s*>.*$"
-ANY_TAG = r"<[^>]*>"
+ANCHOR_CLOSE = r"(?is)</a\s*>.*$"
 UNNAMED_LINK = "Unnamed link"
-# scripts, styles and comments only: links inside them are not links
-LINK_BLOCKS = STRIP_BLOCKS[:3]
 
 # RFC 3986 appendix B, with each optional part captured together with its
 # delimiter so that "absent" ('') and "present but empty" ('?') differ.
@@ -34,27 +25,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def anchor_pieces(html: Column | str) -> Column:
-    """array<string>: one piece per `<a ...` start, in page order."""
-    parts = F.split(strip_blocks(html, LINK_BLOCKS), ANCHOR_SPLIT)
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+def page_anchors(html: Column | str) -> Column:
+    """array<struct<attrs, rest>>: one per `<a ...>`, in page order."""
+    return F.transform(anchors(_col(html)), lambda x: F.struct(
+        F.substring_index(x, END, 1).alias("attrs"), F.substr(x, F.instr(x, F.lit(END)) + 1).alias("rest")))
 
 
-def piece_has_href(piece: Column) -> Column:
-    return F.regexp_like(piece, F.lit(HREF_PRESENT))
+def anchor_href(attrs: Column) -> Column:
+    """Value of `href`: references decoded, edges trimmed; null without one."""
+    return F.regexp_replace(decode_references(attribute(attrs, "href")), EDGE_SPACE, "")
 
 
-def piece_href(piece: Column) -> Column:
-    """Attribute value: quotes removed, entities decoded, edges trimmed."""
-    raw = F.regexp_extract(piece, HREF_VALUE, 1)
-    return F.regexp_replace(decode_entities(F.regexp_replace(raw, QUOTES, "")),
-                            EDGE_SPACE, "")
-
-
-def piece_text(piece: Column) -> Column:
+def anchor_text(rest: Column) -> Column:
     """Visible link text, whitespace collapsed; empty -> `Unnamed link`."""
-    inner = F.regexp_replace(F.regexp_replace(piece, ANCHOR_TEXT_CUT, ""), ANY_TAG, "")
-    text = collapse_spaces(decode_entities(inner))
+    inner = F.regexp_replace(F.regexp_replace(rest, ANCHOR_CLOSE, ""), ANY_TAG, "")
+    text = collapse_spaces(decode_references(inner))
     return F.when(text == "", F.lit(UNNAMED_LINK)).otherwise(text)
 
 

