@@ -7,8 +7,7 @@
 `prepare` writes `OUT/hits` (answers served from the memo), `OUT/requests`
 (bodies for the model) and `OUT/failures`. The model's replies come back as
 `responses(request_id, status, body)`. `finish` writes `OUT/final_requests`,
-`OUT/answers` and `OUT/failures`, and stores the answers as a new memo
-version. All paths are parquet folders on shared storage.
+`OUT/answers` and `OUT/failures`, and stores the answers in the memo. All paths are parquet folders on shared storage.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from askbatch.operators.markdown import html_to_markdown
-from askbatch.operators.memo import MemoStore
+from askbatch.operators.memo import MemoTable
 from askbatch.operators.retrieval import CorpusIndex, build_index
 from askbatch.plans.answering import finish_answers, prepare_answers
 from askbatch.session import ensure_checkpoint_dir
@@ -51,7 +50,7 @@ def _read_index(spark: SparkSession, path: str) -> CorpusIndex:
 def cmd_prepare(spark: SparkSession, a) -> None:
     questions = spark.read.parquet(a.questions).select("question_id", "question")
     pages = spark.read.parquet(a.pages)
-    store = MemoStore(spark, a.memo)
+    store = MemoTable(spark, a.memo)
     prep = prepare_answers(questions, store.read(), pages, index=_read_index(spark, a.index), k=a.k)
     prep.hits.write.mode("errorifexists").parquet(f"{a.out}/hits")
     prep.page_requests.write.mode("errorifexists").parquet(f"{a.out}/requests")
@@ -63,7 +62,7 @@ def cmd_finish(spark: SparkSession, a) -> None:
     responses = spark.read.parquet(a.responses).select("request_id", "status", "body")
     page = responses.filter(F.col("request_id").startswith("page:"))
     final = responses.filter(F.col("request_id").startswith("final:"))
-    store = MemoStore(spark, a.memo)
+    store = MemoTable(spark, a.memo)
     done = finish_answers(questions, page, final, store.read(),
                           store_without_pages=not a.skip_empty)
     done.final_requests.write.mode("errorifexists").parquet(f"{a.out}/final_requests")

@@ -1,9 +1,11 @@
-"""The answer store as a table (ops 3, 4, 9, 10, 11, 15, 19).
+"""The answer store (ops 3, 4, 9, 10, 11, 15, 19).
 
-`memo(question, answer, stored_at)`: one row per key, the raw question is the
-key (no trimming or case folding), last write wins. Parquet has no in-place
-update, so every change is written as a new version directory next to the
-old ones and the path being read is never overwritten.
+`memo(question, answer, stored_at)`: the raw question is the key (no trimming
+or case folding), last write wins. The functions take any such frame, keys
+repeated or not. `MemoTable` is the store on disk: a plain parquet table
+partitioned by the hash of the question, where a write replaces the partitions
+of its own keys (dynamic partition overwrite) and a lookup reads the partitions
+of its batch only.
 
 Lookups do not shuffle the store while the question batch fits the
 broadcast limit: the batch is the small side, it is broadcast after a size
@@ -13,15 +15,15 @@ per question, move on. A larger batch falls back to a shuffle join.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schemas import MEMO
-from ..session import fits_broadcast
+from ..session import checkpointed, fits_broadcast
 
 DEFAULT_BROADCAST_ROWS = 2_000_000
+MEMO_COLUMNS = MEMO.names
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -38,15 +40,14 @@ def latest(memo: DataFrame) -> DataFrame:
 
 
 def memo_merge(memo: DataFrame, answers: DataFrame, stored_at: Column | None = None,
-               unique_store: bool = True, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+               unique_store: bool = False, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Union the new answers into the store, last write wins (op 3).
 
-    A store written by `MemoStore` holds one row per key, so only keys of
-    the new batch can conflict: those old rows are pulled out with a semi
-    join against the (size-checked, broadcast) batch keys and resolved with
-    the batch; the rest of the store streams through an anti join, with no
-    shuffle and no sort of the whole store. `unique_store=False` resolves
-    every key instead (for a store of unknown provenance).
+    Every key is resolved. With `unique_store` (a frame that is known to hold
+    one row per key) only keys of the new batch can conflict: those old rows
+    are pulled out with a semi join against the (size-checked, broadcast)
+    batch keys and resolved with the batch; the rest of the store streams
+    through an anti join, with no shuffle and no sort of the whole store.
     """
     new = answers.select("question", "answer",
                          (stored_at if stored_at is not None else
@@ -94,108 +95,113 @@ def memo_delete(memo: DataFrame, keys: DataFrame, col: str = "question",
     return memo.join(_small(drop, broadcast_rows), "question", "left_anti")
 
 
-def memo_size(memo: DataFrame, unique_store: bool = True) -> DataFrame:
-    """One row: the number of stored keys (op 15). A store holds one row per
-    key, so a plain count (partial per task, no shuffle of keys) suffices."""
+def memo_size(memo: DataFrame, unique_store: bool = False) -> DataFrame:
+    """One row: the number of stored keys (op 15). With `unique_store` a plain
+    count suffices (partial per task, no shuffle of keys)."""
     n = F.count(F.lit(1)) if unique_store else F.count_distinct("question")
     return memo.select(n.cast("long").alias("n_keys"))
 
 
-def memo_flush(memo: DataFrame) -> DataFrame:
-    """An empty store with the same schema (op 19)."""
-    return memo.sparkSession.createDataFrame([], memo.schema)
-
-
-# Word lists for generated entries (our own short lists).
-FIRST_NAMES = ("Ada Alan Alice Bob Carol Dan Erin Frank Grace Heidi Ivan Judy Ken Laura "
-               "Mallory Nina Oscar Peggy Quinn Rupert").split()
-LAST_NAMES = ("Smith Jones Brown Taylor Wilson Davies Evans Thomas Johnson Roberts Walker "
-              "Wright Robinson Thompson White Hughes Edwards Green Hall Wood").split()
-STREETS = "Oak Pine Maple Cedar Elm Birch Walnut Chestnut Willow Spruce".split()
-CITIES = "Springfield Riverton Lakeside Hillview Fairmont Greenville Westbrook Eastport".split()
+# Fixed value: key of a generated entry.
 ENTRY_KEY_PREFIX = "user:"
 
 
-def generate_entries(spark: SparkSession, n: int) -> DataFrame:
-    """n keyed JSON rows (op 4): key `user:{i}`, value
-    `{"name","email","address","phone_number"}`, every field a pure
-    function of i, so reruns give the same rows."""
-    i = F.col("id")
+def keyed_entries(people: DataFrame, key: Column, name: Column, address: Column, phone: Column) -> DataFrame:
+    """One keyed JSON row per person (op 4): key `user:{key}`, value
+    `{"name","email","address","phone_number"}`; the mail address is the name
+    in lower case with dots for what is no letter or digit."""
+    email = F.concat(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", ".")), F.lit("@example.com"))
+    value = F.to_json(F.struct(name.alias("name"), email.alias("email"), address.alias("address"),
+                               phone.alias("phone_number")))
+    return people.select(F.concat(F.lit(ENTRY_KEY_PREFIX), key.cast("string")).alias("question"), value.alias("answer"))
 
-    def pick(words, idx):
-        return F.element_at(F.array(*[F.lit(w) for w in words]), (idx % len(words) + 1).cast("int"))
 
-    first = pick(FIRST_NAMES, i)
-    last = pick(LAST_NAMES, F.floor(i / len(FIRST_NAMES)))
-    value = F.to_json(F.struct(
-        F.concat_ws(" ", first, last).alias("name"),
-        F.lower(F.concat(first, F.lit("."), last, i.cast("string"), F.lit("@example.com"))).alias("email"),
-        F.concat((i % 9000 + 100).cast("string"), F.lit(" "), pick(STREETS, i), F.lit(" St, "),
-                 pick(CITIES, F.floor(i / len(STREETS)))).alias("address"),
-        F.concat(F.lit("555-"), F.lpad(((i * 7919) % 10000).cast("string"), 4, "0")).alias("phone_number"),
-    ))
-    return spark.range(n).select(F.concat(F.lit(ENTRY_KEY_PREFIX), i.cast("string")).alias("question"),
-                                 value.alias("answer"))
+DEFAULT_PARTITIONS = 256
 
 
-class MemoStore:
-    """Versioned parquet store: `{root}/v=000001`, `v=000002`, ...
+class MemoTable:
+    """The store at `root` (shared storage): one row per key, partitioned by
+    `part`, the hash of the question modulo the number of partitions, which is
+    fixed when the table is made.
 
-    Each write goes to a fresh version directory; readers of an older
-    version are unaffected. `root` must be on shared storage.
+    A write reads and replaces the partitions of its keys and no other. The
+    rows to write are a table in the shared checkpoint folder first, so a
+    writer that dies leaves either the old partitions or all it needs to write
+    again. One writer at a time. A partition whose last key goes keeps a row
+    without a question, since an overwrite cannot leave a partition empty.
     """
 
-    _V = re.compile(r"^v=(\d+)$")
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _listed(self, complete_only: bool) -> list[int]:
-        path, fs = self._fs()
-        if not fs.exists(path):
-            return []
-        out = []
-        for st in fs.listStatus(path):
-            m = self._V.match(st.getPath().getName())
-            if m and (not complete_only or fs.exists(st.getPath().suffix("/_SUCCESS"))):
-                out.append(int(m.group(1)))
-        return sorted(out)
-
-    def versions(self) -> list[int]:
-        """Complete versions only: a write that died midway has no _SUCCESS."""
-        return self._listed(complete_only=True)
-
-    def _path(self, v: int) -> str:
-        return f"{self.root}/v={v:06d}"
-
-    def read(self) -> DataFrame:
-        vs = self.versions()
-        if not vs:
-            return self.spark.createDataFrame([], MEMO)
-        return self.spark.read.schema(MEMO).parquet(self._path(vs[-1]))
-
-    def _write(self, df: DataFrame) -> int:
-        # number past every directory, complete or not, so a retry after a
-        # failed write never collides with its leftovers
-        vs = self._listed(complete_only=False)
-        v = (vs[-1] + 1) if vs else 1
-        df.select("question", "answer", "stored_at").write.mode("errorifexists").parquet(self._path(v))
-        return v
+    def __init__(self, spark: SparkSession, root: str, partitions: int = DEFAULT_PARTITIONS):
+        self.spark, self.root = spark, root.rstrip("/")
+        if self._exists("/_layout/_SUCCESS"):
+            self.partitions = int(spark.read.json(f"{self.root}/_layout").first()["partitions"])
+        else:
+            self.partitions = partitions
+            spark.createDataFrame([(partitions,)], "partitions int").coalesce(1).write.mode("overwrite").json(f"{self.root}/_layout")
+
+    def _exists(self, name: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root + name)
+        return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
+
+    def _part(self, question: Column) -> Column:
+        return F.pmod(F.xxhash64(question), F.lit(self.partitions)).cast("int")
+
+    def _rows(self) -> DataFrame:
+        # the schema is given, so a table without files reads as empty
+        return self.spark.read.schema(T.StructType([*MEMO.fields, T.StructField("part", T.IntegerType())])).parquet(self.root)
+
+    def read(self, parts: list[int] | None = None) -> DataFrame:
+        """The stored rows, of all partitions or of the given ones."""
+        rows = self._rows()
+        if parts is not None:
+            rows = rows.filter(F.col("part").isin(parts))
+        return rows.filter(F.col("question").isNotNull()).select(*MEMO_COLUMNS)
+
+    def parts_of(self, keys: DataFrame, col: str = "question") -> list[int]:
+        """Partitions of the keys: at most `partitions` small numbers."""
+        return sorted(r.part for r in keys.filter(F.col(col).isNotNull()).select(self._part(F.col(col)).alias("part")).distinct().collect())
+
+    def _replace(self, rows: DataFrame, parts: list[int]) -> None:
+        marks = self.spark.createDataFrame([(p,) for p in parts], "part int")
+        kept = rows.select(*MEMO_COLUMNS, self._part(F.col("question")).alias("part"))
+        empty = marks.join(kept.select("part").distinct(), "part", "left_anti").select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in MEMO.fields], "part")
+        (kept.unionByName(empty).repartition("part").write.mode("overwrite").partitionBy("part")
+         .option("partitionOverwriteMode", "dynamic").parquet(self.root))
 
     def store(self, answers: DataFrame, stored_at: Column | None = None) -> int:
-        return self._write(memo_merge(self.read(), answers, stored_at))
+        """Merge the answers (last write wins); returns the partitions written."""
+        when = stored_at if stored_at is not None else (
+            F.col("stored_at") if "stored_at" in answers.columns else F.current_timestamp())
+        new = checkpointed(answers.filter(F.col("question").isNotNull())
+                           .select("question", "answer", when.alias("stored_at")), "memo-new")
+        parts = self.parts_of(new)
+        if parts:
+            self._replace(checkpointed(latest(self.read(parts).unionByName(new)), "memo-merged"), parts)
+        return len(parts)
 
     def delete(self, keys: DataFrame, col: str = "question") -> int:
-        return self._write(memo_delete(self.read(), keys, col))
-
-    def flush(self) -> int:
-        return self._write(memo_flush(self.read()))
+        """Remove keys, unknown ones ignored; returns the partitions written."""
+        held = checkpointed(keys.select(F.col(col).alias("question")).distinct(), "memo-keys")
+        parts = self.parts_of(held)
+        if parts:
+            self._replace(checkpointed(memo_delete(self.read(parts), held), "memo-kept"), parts)
+        return len(parts)
+
+    def flush(self) -> tuple[int, int]:
+        """Empty the store; (keys before, keys after) (op 19)."""
+        before = self.size()
+        parts = sorted(r.part for r in self._rows().select("part").distinct().collect())
+        if parts:
+            self._replace(self.spark.createDataFrame([], MEMO), parts)
+        return before, self.size()
 
     def size(self) -> int:
-        return memo_size(self.read()).first()["n_keys"]
+        return memo_size(self.read(), unique_store=True).first()["n_keys"]
+
+    def lookup(self, questions: DataFrame, col: str = "question") -> tuple[DataFrame, DataFrame]:
+        """(hits, misses) from the partitions of the batch."""
+        return memo_lookup(questions, self.read(self.parts_of(questions, col)), col)
+
+    def exists(self, keys: DataFrame, col: str = "question") -> DataFrame:
+        return memo_exists(keys, self.read(self.parts_of(keys, col)), col)

@@ -21,7 +21,7 @@ from ..sources import derived
 from ..sources.pages import fetch_join, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
 from ..sources.tables import read_table
-from ..session import checkpointed, ensure_checkpoint_dir, ensure_parallelism
+from ..session import checkpointed, ensure_checkpoint_dir, ensure_parallelism, scratch_path
 from .answering import finish_answers, prepare_answers, refine_answers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 MEMO_OLD_EPOCH = 1704067200      # 2024-01-01T00:00:00Z, + question_id seconds
 MEMO_NEW_EPOCH = 1717200000      # a later batch
 MEMO_DRAFT = "draft: "           # the earlier stored answer is marked as a draft
+MEMO_EMPTIED = 7                 # question_id % 7 = 3: emptied later
+MEMO_PARTITIONS = 16
 BLANK_QUESTIONS = [(-1, None), (-2, ""), (-3, "   "), (-4, "\t"), (-5, " \n ")]
 SITE_QUESTIONS = [(-11, "best cake recipe site:example.com"), (-12, "site:a.org"),
                   (-13, "How do I make a cake?")]
@@ -93,9 +95,34 @@ def _fetch(spark, root):
 
 
 def _memo(spark, root):
+    """Rows of a store over time: every key repeated (a draft, then the
+    answer), and some emptied later."""
     qa = derived.qa_pairs(_conv(spark, root))
-    return qa.select("question", "answer",
-                     F.timestamp_seconds(F.lit(MEMO_OLD_EPOCH) + F.col("question_id")).alias("stored_at"))
+
+    def at(answer, seconds):
+        return qa.select("question", answer.alias("answer"), F.timestamp_seconds(
+            F.lit(MEMO_OLD_EPOCH + seconds) + F.col("question_id")).alias("stored_at"), "question_id")
+
+    rows = (at(F.concat(F.lit(MEMO_DRAFT), F.col("answer")), 0).unionByName(at(F.col("answer"), 1))
+            .unionByName(at(F.lit(""), 2).filter(F.col("question_id") % MEMO_EMPTIED == 3)))
+    return rows.drop("question_id")
+
+
+def _new_memo(spark, rows):
+    """A store made from the rows."""
+    table = memo.MemoTable(spark, scratch_path(spark, "memo"), partitions=MEMO_PARTITIONS)
+    table.store(rows)
+    return table
+
+
+def _memo_table(spark, root):
+    """The store of the whole memo, made once per application and read by
+    the queries that do not change it."""
+    path = _place(spark, root, "memo")
+    made = memo.MemoTable(spark, path, partitions=MEMO_PARTITIONS)
+    if not made._exists("/_SUCCESS"):
+        made.store(_memo(spark, root))
+    return made
 
 
 def _page_responses(spark, root):
@@ -107,11 +134,15 @@ def _benchmark_queries(spark, root):
         F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
+def _place(spark, root, kind):
+    place = hashlib.md5(f"{spark.sparkContext.applicationId} {root}".encode()).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/askbatch-{kind}-{place}"
+
+
 def _index(spark, root, kind, build):
     """The index of a table at its place in the shared folder: written by the
     first query of the application that asks for it, read by the others."""
-    place = hashlib.md5(f"{spark.sparkContext.applicationId} {root}".encode()).hexdigest()[:16]
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/askbatch-index-{kind}-{place}"
+    path = _place(spark, root, f"index-{kind}")
     if retrieval.CorpusIndex.exists(spark, path):
         return retrieval.CorpusIndex.load(spark, path)
     return build().materialize(path)
@@ -145,18 +176,19 @@ def q_fetch_failures(spark, root):
 
 
 def q_memo_store(spark, root):
+    """The memo, then a later batch whose keys it holds already."""
+    table = _new_memo(spark, _memo(spark, root))
     qa = derived.qa_pairs(_conv(spark, root))
-    new = (qa.filter(F.col("answer").contains("\n"))
-           .select("question", "answer", F.timestamp_seconds(F.lit(MEMO_NEW_EPOCH)).alias("stored_at")))
-    old = qa.select("question", F.concat(F.lit(MEMO_DRAFT), F.col("answer")).alias("answer"),
-                    F.timestamp_seconds(F.lit(MEMO_OLD_EPOCH) + F.col("question_id")).alias("stored_at"))
-    merged = memo.memo_merge(old, new)
-    return merged.select("question", "answer", F.unix_seconds("stored_at").alias("stored_ts"))
+    table.store(qa.filter(F.col("answer").contains("\n")), F.timestamp_seconds(F.lit(MEMO_NEW_EPOCH)))
+    return table.read().select("question", "answer", F.unix_seconds("stored_at").alias("stored_ts"))
 
 
 def q_generate_entries(spark, root):
-    n = _conv(spark, root).count()
-    return memo.generate_entries(spark, n)
+    """The customers as keyed entries."""
+    c = _t(spark, root, "customer", ["c_custkey", "c_name", "c_mktsegment", "c_nationkey"])
+    address = F.concat(F.col("c_mktsegment"), F.lit(" "), F.col("c_nationkey").cast("string"))
+    phone = F.concat(F.lit("555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+    return memo.keyed_entries(c, F.col("c_custkey"), F.col("c_name"), address, phone)
 
 
 def q_valid_questions(spark, root):
@@ -189,23 +221,22 @@ def q_normalize_query(spark, root):
 
 
 def q_memo_hits(spark, root):
-    return memo.memo_lookup(_questions(spark, root).select("question_id", "question"),
-                            _memo(spark, root))[0]
+    return _memo_table(spark, root).lookup(_questions(spark, root).select("question_id", "question"))[0]
 
 
 def q_memo_misses(spark, root):
-    return memo.memo_lookup(_questions(spark, root).select("question_id", "question"),
-                            _memo(spark, root))[1]
+    return _memo_table(spark, root).lookup(_questions(spark, root).select("question_id", "question"))[1]
 
 
 def q_memo_exists(spark, root):
-    return memo.memo_exists(_questions(spark, root).select("question_id", "question"), _memo(spark, root))
+    return _memo_table(spark, root).exists(_questions(spark, root).select("question_id", "question"))
 
 
 def q_memo_delete(spark, root):
     conv = _conv(spark, root)
-    opening = conv.filter((F.col("role") == "user") & (F.col("turn") == 0)).select(F.col("text").alias("question"))
-    return memo.memo_delete(_memo(spark, root), opening).select("question", "answer")
+    table = _new_memo(spark, _memo(spark, root))
+    table.delete(conv.filter((F.col("role") == "user") & (F.col("turn") == 0)).select(F.col("text").alias("question")))
+    return table.read().select("question", "answer")
 
 
 def q_collect_page_answers(spark, root):
@@ -267,7 +298,9 @@ def q_distinct_links(spark, root):
 
 
 def q_memo_flush(spark, root):
-    return memo.memo_flush(_memo(spark, root)).select("question", "answer")
+    """Keys of the store before and after it is emptied."""
+    before, after = _new_memo(spark, _memo(spark, root)).flush()
+    return spark.createDataFrame([(before, after)], "n_before long, n_after long")
 
 
 def q_build_requests_format(spark, root):

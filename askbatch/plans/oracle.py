@@ -12,7 +12,6 @@ from __future__ import annotations
 from ..functions import links as L
 from ..functions import text as T
 from ..operators import exchange as X
-from ..operators import memo as M
 from ..operators.retrieval import B, K1
 from ..sources import derived as D
 from . import catalog as C
@@ -171,7 +170,9 @@ QA = (f"SELECT CAST(u.conv_id * {D.TURN_BASE} + u.turn AS BIGINT) AS question_id
       f"a.text AS answer FROM conversations u JOIN conversations a "
       f"ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 TWICE_ASKED = f"{QUESTIONS} UNION ALL SELECT -1 - question_id, question FROM ({QUESTIONS})"
-MEMO = (f"SELECT question, answer, {C.MEMO_OLD_EPOCH} + question_id AS stored_ts FROM ({QA})")
+MEMO = (f"SELECT question, 'draft: ' || answer AS answer, 1704067200 + question_id AS stored_ts FROM ({QA}) UNION ALL "
+        f"SELECT question, answer, 1704067201 + question_id FROM ({QA}) UNION ALL "
+        f"SELECT question, '', 1704067202 + question_id FROM ({QA}) WHERE question_id % 7 = 3")
 
 GOOD_SEARCHES = f"""
 SELECT question_id, 200 AS status, to_json({{'webPages': {{'value': list(v ORDER BY page_id)}}}})::VARCHAR AS body
@@ -345,26 +346,16 @@ def _stage_counts() -> str:
 
 
 def _memo_store() -> str:
-    old = (f"SELECT question, {q(C.MEMO_DRAFT)} || answer AS answer, {C.MEMO_OLD_EPOCH} + question_id AS stored_ts "
-           f"FROM ({QA})")
-    new = f"SELECT question, answer, {C.MEMO_NEW_EPOCH} AS stored_ts FROM ({QA}) WHERE contains(answer, chr(10))"
-    return f"SELECT question, answer, CAST(stored_ts AS BIGINT) AS stored_ts FROM ({latest_memo(f'{old} UNION ALL {new}')})"
+    new = f"SELECT question, answer, 1717200000 AS stored_ts FROM ({QA}) WHERE contains(answer, chr(10))"
+    return f"SELECT question, answer, CAST(stored_ts AS BIGINT) AS stored_ts FROM ({latest_memo(f'{MEMO} UNION ALL {new}')})"
 
 
-def _generate_entries() -> str:
-    first, last = list_sql(M.FIRST_NAMES), list_sql(M.LAST_NAMES)
-    streets, cities = list_sql(M.STREETS), list_sql(M.CITIES)
-    nf, ns = len(M.FIRST_NAMES), len(M.STREETS)
-    return f"""
-    SELECT {q(M.ENTRY_KEY_PREFIX)} || CAST(i AS VARCHAR) AS question,
-           to_json({{'name': fn || ' ' || ln,
-                     'email': lower(fn || '.' || ln || CAST(i AS VARCHAR) || '@example.com'),
-                     'address': CAST(i % 9000 + 100 AS VARCHAR) || ' ' || {streets}[i % {len(M.STREETS)} + 1]
-                                || ' St, ' || {cities}[(i // {ns}) % {len(M.CITIES)} + 1],
-                     'phone_number': '555-' || lpad(CAST((i * 7919) % 10000 AS VARCHAR), 4, '0')}})::VARCHAR AS answer
-    FROM (SELECT i, {first}[i % {nf} + 1] AS fn, {last}[(i // {nf}) % {len(M.LAST_NAMES)} + 1] AS ln
-          FROM (SELECT range AS i FROM range((SELECT count(*) FROM conversations))))
-    """
+GENERATED = """
+SELECT 'user:' || CAST(c_custkey AS VARCHAR) AS question,
+       to_json({'name': c_name, 'email': lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '.', 'g')) || '@example.com',
+                'address': c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR),
+                'phone_number': '555-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0')})::VARCHAR AS answer FROM customer
+"""
 
 
 def _values(rows, cols: str) -> str:
@@ -469,7 +460,7 @@ def statements() -> dict[str, str]:
         "fetch_join": FETCHED,
         "fetch_failures": FETCH_FAILURES,
         "memo_store": _memo_store(),
-        "generate_entries": _generate_entries(),
+        "generate_entries": GENERATED,
         "valid_questions": (f"SELECT question_id, question FROM ({QUESTIONS} UNION ALL {blanks}) "
                             f"WHERE NOT (question IS NULL OR {strip_edges('question')} = '')"),
         "search_failures": SEARCH_FAILURES,
@@ -482,7 +473,7 @@ def statements() -> dict[str, str]:
         "memo_misses": f"SELECT question_id, question FROM ({lookup(QUESTIONS, MEMO)}) WHERE answer IS NULL",
         "memo_exists": (f"SELECT q.question_id, q.question, q.question IN (SELECT question FROM ({MEMO})) AS \"exists\" "
                         f"FROM ({QUESTIONS}) q"),
-        "memo_delete": (f"SELECT question, answer FROM ({MEMO}) WHERE question NOT IN "
+        "memo_delete": (f"SELECT question, answer FROM ({latest_memo(MEMO)}) WHERE question NOT IN "
                         f"(SELECT text FROM conversations WHERE role = 'user' AND turn = 0)"),
         "collect_page_answers": (f"SELECT question_id, to_json(answers)::VARCHAR AS answers_json, "
                                  f"CAST(n_answers AS BIGINT) AS n_answers FROM ({PAGE_ANSWERS})"),
@@ -504,7 +495,7 @@ def statements() -> dict[str, str]:
                                    "FROM benchmark", "SELECT doc_id, text, lang FROM documents", 5, mkt=True),
         "distinct_links": (f"SELECT DISTINCT page_url, link_url FROM "
                            f"({resolve_from(links_sql(), 'page_url', 'href', 'page_url')})"),
-        "memo_flush": f"SELECT question, answer FROM ({MEMO}) WHERE false",
+        "memo_flush": f"SELECT CAST(count(DISTINCT question) AS BIGINT) AS n_before, CAST(0 AS BIGINT) AS n_after FROM ({MEMO})",
         "build_requests_format": requests(X.KIND_FORMAT, QUESTIONS, fill(X.FORMAT_PROMPT, question="question"), None),
         "build_requests_page": _build_requests_page(),
         "build_requests_final": _build_requests_final(),

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.links import extract_links, resolve_links
 from ..operators.markdown import html_to_markdown
-from ..operators.memo import MemoStore
+from ..operators.memo import MemoTable
 from ..session import scratch_path
 
 
@@ -47,7 +47,7 @@ def write_available(df: DataFrame, path: str, checkpoint: str | None = None) ->
     return q
 
 
-def memo_upsert(answers: DataFrame, store: MemoStore, checkpoint: str | None = None,
+def memo_upsert(answers: DataFrame, store: MemoTable, checkpoint: str | None = None,
                 available_now: bool = True) -> StreamingQuery:
     """Merge each micro-batch of (question, answer[, stored_at]) into the store."""
     spark = answers.sparkSession

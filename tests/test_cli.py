@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from askbatch.cli import main
-from askbatch.operators.memo import MemoStore
+from askbatch.operators.memo import MemoTable
 from askbatch.plans import catalog as C
 from askbatch.session import scratch_path
 from askbatch.sources import derived
@@ -27,7 +27,7 @@ def test_cli_round_trip(spark):
     main(["finish", "--questions", f"{d}/questions", "--responses", f"{d}/responses",
           "--memo", memo, "--out", f"{d}/done"], spark)
     n_answers = spark.read.parquet(f"{d}/done/answers").count()
-    assert n_answers > 0 and MemoStore(spark, memo).size() == n_answers
+    assert n_answers > 0 and MemoTable(spark, memo).size() == n_answers
     # a second prepare now serves those questions from the memo
     main(["prepare", "--questions", f"{d}/questions", "--pages", f"{SF}/pages.parquet",
           "--index", f"{d}/index", "--memo", memo, "--out", f"{d}/prep2"], spark)

@@ -37,39 +37,84 @@ def test_f13_last_write_wins_empty_answer_and_delete(spark):
     assert ex == {"k": True, "e": True, " k": False}
     keys = spark.createDataFrame([("k",), ("unknown",)], "question string")
     assert sorted(r.question for r in M.memo_delete(memo, keys).collect()) == ["e"]
-    # this raw memo repeats a key; a store written by MemoStore never does
-    assert M.memo_size(memo, unique_store=False).first().n_keys == 2
-    assert M.memo_size(M.latest(memo)).first().n_keys == 2
+    # keys repeat in a raw memo
+    assert M.memo_size(memo).first().n_keys == 2
+    assert M.memo_size(M.latest(memo), unique_store=True).first().n_keys == 2
+    merged = M.memo_merge(memo, spark.createDataFrame([("z", "a")], "question string, answer string"))
+    assert sorted(r.question for r in merged.collect()) == ["e", "k", "z"]
     # invariant: hits + misses = questions
     assert hits.count() + misses.count() == qs.count()
 
 
-def test_store_twice_equals_once_and_versions(spark):
-    store = M.MemoStore(spark, scratch_path(spark, "memo-test"))
-    assert store.versions() == [] and store.read().count() == 0
-    ans = spark.createDataFrame([("q1", "a1"), ("q2", "a2")], "question string, answer string")
-    ts = F.timestamp_seconds(F.lit(100))
-    assert store.store(ans, ts) == 1
+def _files(spark, root):
+    """Name and size of every data file of a table, by partition."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    found, it = {}, p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+    while it.hasNext():
+        f = it.next().getPath()
+        if f.getName().endswith(".parquet"):
+            found.setdefault(f.getParent().getName(), set()).add(f.getName())
+    return found
+
+
+def test_store_replaces_the_partitions_of_its_keys(spark):
+    root = scratch_path(spark, "memo-table")
+    store = M.MemoTable(spark, root, partitions=8)
+    assert store.read().count() == 0 and store.size() == 0 and store.flush() == (0, 0)
+    ans = spark.createDataFrame([(f"q{i}", f"a{i}") for i in range(100)], "question string, answer string")
+    assert store.store(ans, F.timestamp_seconds(F.lit(100))) == 8
     once = sorted((r.question, r.answer) for r in store.read().collect())
-    store.store(ans, ts)
-    assert sorted((r.question, r.answer) for r in store.read().collect()) == once
-    newer = spark.createDataFrame([("q1", "b1")], "question string, answer string")
-    store.store(newer, F.timestamp_seconds(F.lit(200)))
-    assert dict((r.question, r.answer) for r in store.read().collect()) == {"q1": "b1", "q2": "a2"}
-    store.delete(spark.createDataFrame([("q2",)], "question string"))
-    assert store.size() == 1
-    store.flush()
-    assert store.size() == 0 and store.versions() == [1, 2, 3, 4, 5]
-
-
-def test_f16_generate_entries(spark):
-    assert M.generate_entries(spark, 0).count() == 0
-    rows = M.generate_entries(spark, 3).orderBy("question").collect()
-    assert [r.question for r in rows] == ["user:0", "user:1", "user:2"]
-    v = json.loads(rows[0].answer)
-    assert set(v) == {"name", "email", "address", "phone_number"}
-    again = M.generate_entries(spark, 3).orderBy("question").collect()
-    assert [r.answer for r in again] == [r.answer for r in rows]
+    store.store(ans, F.timestamp_seconds(F.lit(100)))
+    assert sorted((r.question, r.answer) for r in store.read().collect()) == once and len(once) == 100
+    before = _files(spark, root)
+    new = spark.createDataFrame([("q1", "b1"), ("q1", "c1"), (None, "x")], "question string, answer string")
+    assert store.store(new, F.timestamp_seconds(F.lit(200))) == 1
+    after = _files(spark, root)
+    assert sum(after[p] != before[p] for p in before) == 1 and set(after) == set(before)
+    assert dict((r.question, r.answer) for r in store.read().collect()) == dict(once) | {"q1": "c1"}
+    # an older write does not win; the number of partitions is the table's
+    again = M.MemoTable(spark, root, partitions=3)
+    assert again.partitions == 8
+    again.store(spark.createDataFrame([("q1", "old")], "question string, answer string"), F.timestamp_seconds(F.lit(1)))
+    assert {r.answer for r in again.read().filter("question = 'q1'").collect()} == {"c1"}
+
+
+def test_lookup_reads_the_partitions_of_its_batch(spark):
+    import contextlib
+    import io
+    store = M.MemoTable(spark, scratch_path(spark, "memo-table"), partitions=8)
+    store.store(spark.createDataFrame([(f"q{i}", "" if i == 7 else f"a{i}") for i in range(50)],
+                                      "question string, answer string"))
+    qs = spark.createDataFrame([(1, "q3"), (2, "q7"), (3, "none"), (4, None)], "question_id long, question string")
+    hits, misses = store.lookup(qs)
+    assert [(r.question_id, r.answer) for r in hits.collect()] == [(1, "a3")]
+    assert sorted(r.question_id for r in misses.collect()) == [2, 3, 4]
+    assert {r.question: r.exists for r in store.exists(qs).collect()} == {"q3": True, "q7": True, "none": False, None: False}
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        store.lookup(qs.filter("question_id = 1"))[0].explain("formatted")
+    assert any(line.startswith("PartitionFilters:") and "part#" in line for line in buf.getvalue().splitlines())
+
+
+def test_delete_and_flush_leave_empty_partitions(spark):
+    store = M.MemoTable(spark, scratch_path(spark, "memo-table"), partitions=4)
+    store.store(spark.createDataFrame([(f"q{i}", f"a{i}") for i in range(20)], "question string, answer string"))
+    store.delete(spark.createDataFrame([(f"q{i}",) for i in range(19)] + [("unknown",), (None,)], "question string"))
+    assert [r.question for r in store.read().collect()] == ["q19"] and store.size() == 1
+    assert store.flush() == (1, 0)
+    store.store(spark.createDataFrame([("q1", "again")], "question string, answer string"))
+    assert [(r.question, r.answer) for r in store.read().collect()] == [("q1", "again")]
+
+
+def test_f16_keyed_entries(spark):
+    people = spark.createDataFrame([(0, "Ann Lee", "1 Oak St", "555-1"), (7, "Bob", None, "555-2")],
+                                   "id long, name string, address string, phone string")
+    rows = M.keyed_entries(people, *[F.col(c) for c in people.columns]).orderBy("question").collect()
+    assert [r.question for r in rows] == ["user:0", "user:7"]
+    assert json.loads(rows[0].answer) == {"name": "Ann Lee", "email": "ann.lee@example.com", "address": "1 Oak St",
+                                          "phone_number": "555-1"}
+    assert M.keyed_entries(people.limit(0), *[F.col(c) for c in people.columns]).count() == 0
 
 
 def test_f15_assemble_document_in_page_order(spark):
@@ -84,18 +129,3 @@ def test_assemble_document_across_chunks(spark):
     pages = spark.createDataFrame(rows, "doc_id long, page_no long, text string")
     r = assemble_document(pages, chunk_pages=4).first()
     assert r.text == "".join(f"<{p}>" for p in range(25)) and r.n_pages == 26
-
-
-def test_store_skips_a_failed_version(spark):
-    root = scratch_path(spark, "memo-failed")
-    store = M.MemoStore(spark, root)
-    ans = spark.createDataFrame([("q1", "a1")], "question string, answer string")
-    store.store(ans)
-    # leftovers of a write that died: a version folder without _SUCCESS
-    spark.createDataFrame([("x", "y")], "question string, answer string").write.json(f"{root}/v=000002")
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{root}/v=000002/_SUCCESS")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
-    assert store.versions() == [1]
-    assert store.store(spark.createDataFrame([("q2", "a2")], "question string, answer string")) == 3
-    assert sorted(r.question for r in store.read().collect()) == ["q1", "q2"]

@@ -83,5 +83,6 @@ def test_memo_lookup_and_merge_do_not_shuffle_the_store(spark):
     qs = spark.createDataFrame([(1, "q")], "question_id long, question string")
     hits, _ = M.memo_lookup(qs, memo)
     assert "BroadcastHashJoin LeftSemi" in plan(hits)
-    merged = plan(M.memo_merge(memo, spark.createDataFrame([("q", "b")], "question string, answer string")))
+    merged = plan(M.memo_merge(memo, spark.createDataFrame([("q", "b")], "question string, answer string"),
+                               unique_store=True))
     assert "BroadcastHashJoin LeftAnti" in merged and "BroadcastHashJoin LeftSemi" in merged

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from askbatch.operators.links import extract_links, resolve_links
-from askbatch.operators.memo import MemoStore
+from askbatch.operators.memo import MemoTable
 from askbatch.session import scratch_path
 from askbatch.streaming.micro import links_stream, memo_upsert, read_stream, write_available
 
@@ -26,7 +26,7 @@ def test_memo_upsert_per_batch(spark):
     src = scratch_path(spark, "answers-src")
     spark.createDataFrame([("q1", "a1", 1), ("q2", "a2", 1)], "question string, answer string, ts long") \
         .select("question", "answer", F.timestamp_seconds("ts").alias("stored_at")).write.parquet(src)
-    store = MemoStore(spark, scratch_path(spark, "memo-stream"))
+    store = MemoTable(spark, scratch_path(spark, "memo-stream"))
     memo_upsert(read_stream(spark, src, "question string, answer string, stored_at timestamp"), store)
     assert dict((r.question, r.answer) for r in store.read().collect()) == {"q1": "a1", "q2": "a2"}
 
