@@ -159,6 +159,19 @@ def response_failures(responses: DataFrame) -> DataFrame:
                     F.col("request_id").alias("key"), "reason"))
 
 
+def judged_responses(responses: DataFrame) -> DataFrame:
+    """(request_id, kind, question_id, pos, content, reason): both kinds of
+    row at once, `reason` null where the response is good (narrow)."""
+    return _parsed(responses).select("request_id", "kind", "question_id", "pos",
+                                     F.when(_reason().isNull(), _content()).alias("content"), _reason().alias("reason"))
+
+
+def judged_failures(judged: DataFrame) -> DataFrame:
+    """failures(question_id, stage, key, reason) of judged responses."""
+    return judged.filter(F.col("reason").isNotNull()).select(
+        "question_id", F.lit(STAGE_MODEL).alias("stage"), F.col("request_id").alias("key"), "reason")
+
+
 def collect_page_answers(content: DataFrame) -> DataFrame:
     """(question_id, answers array<string>, n_answers), answers by `pos`.
 

@@ -381,6 +381,42 @@ def retrieve_topk(queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int =
                       "doc_id", F.round("score", 4).alias("score"))
 
 
+def relaxed_search(queries: DataFrame, index: CorpusIndex, k: int = 5, rounds: int = 12, qid_col: str = "qid",
+                   text_col: str = "query", mkt_col: str | None = None,
+                   broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """(qid, rank, doc_id, score, round): search for pages that hold every term
+    of the query; while there is none, drop the term of lowest idf and search
+    again, at most `rounds` times; then (round `rounds` + 2) any page with a
+    term will do. Terms that no document holds are dropped beforehand.
+
+    The rounds share one scan of the postings: a document keeps what each term
+    gave it, in order of idf, and the leading terms that it holds without a gap
+    say in which round it comes up and with which score."""
+    index = index if index.postings is not None else index.materialize()
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
+    out = None
+    for terms in _query_blocks(weighted, broadcast_rows):
+        by_idf = Window.partitionBy("qid", "lang").orderBy(F.col("idf").desc(), "term")
+        every = Window.partitionBy("qid", "lang")
+        placed = terms.select("qid", "lang", "term", "idf", F.row_number().over(by_idf).alias("nth"),
+                              F.count(F.lit(1)).over(every).alias("terms"))
+        one = _paired(index.postings, placed).select("qid", "lang", "block", "terms", "nth", "idf", F.explode("docs").alias("d"))
+        # at most a query's terms
+        given = (one.groupBy("qid", "lang", "block", "terms", F.col("d.doc_id").alias("doc_id"))
+                 .agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("idf") * F.col("d.part")).alias("part")))).alias("g")))
+        lead = F.size(F.filter("g", lambda x, i: x["nth"] == i + 1))
+        round_ = F.when(F.col("terms") - F.col("lead") <= rounds, F.col("terms") - F.col("lead") + 1).otherwise(rounds + 2)
+        counted = F.when(F.col("round") == rounds + 2, F.col("g")).otherwise(F.slice("g", F.lit(1), F.col("lead")))
+        scored = given.withColumn("lead", lead).withColumn("round", round_.cast("long")).select(
+            "qid", "doc_id", "round", F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+        first = Window.partitionBy("qid").orderBy("round", F.round("score", DIGITS).desc(), "doc_id")
+        best = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
+        best = best.withColumn("_first", F.min("round").over(Window.partitionBy("qid"))).filter("round = _first")
+        out = best if out is None else out.unionByName(best)
+    return out.select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"), "doc_id",
+                      F.round("score", 4).alias("score"), "round")
+
+
 def rows_per_hot_term(queries: DataFrame, index: CorpusIndex, k: int = 5, qid_col: str = "qid",
                       text_col: str = "query", mkt_col: str | None = None) -> DataFrame:
     """(term, df, pairs, pairs_read): for each frequent query term the (query,

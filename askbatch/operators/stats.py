@@ -7,7 +7,7 @@ question with no results or failures shows zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def failure_counts(failures: DataFrame) -> DataFrame:
 def link_counts(links: DataFrame) -> DataFrame:
     """(page_url, n_links): unique links per page."""
     return links.groupBy("page_url").agg(F.count_distinct("link_url").alias("n_links"))
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The frame, counting its rows while whatever job runs it runs:
+    (frame, observation), the count under `rows` once the job is done. Nothing
+    is computed again for the count."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen

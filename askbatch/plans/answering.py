@@ -7,25 +7,28 @@ join (2) -> markdown (21) -> `page` requests (20).
 finish_answers: page responses (7) -> ordered page answers (12) -> `final`
 requests (20); final responses (7) -> answers -> memo (3).
 
-The model runs between the two as a batch file exchange. Each output is a
-lazy DataFrame; the caller runs one action per sink.
+The model runs between the two as a batch file exchange. What several outputs
+need (looked-up questions, results, picked pages, judged responses) is written
+once as a narrow table in the shared folder, so every input is scanned once;
+`write_sinks` writes all outputs of a step in one job.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exchange import (KIND_FINAL, KIND_PAGE, build_final_requests, build_page_requests,
-                                  collect_page_answers, parse_responses, queries_from_format_responses,
-                                  response_failures)
+                                  collect_page_answers, judged_failures, judged_responses,
+                                  queries_from_format_responses)
 from ..operators.markdown import html_to_markdown
 from ..operators.memo import memo_lookup, memo_merge
 from ..operators.questions import normalize_query, valid_questions
 from ..operators.retrieval import CorpusIndex, retrieve_topk
-from ..schemas import FAILURES, STAGE_QUESTION
+from ..functions.text import is_blank
+from ..schemas import STAGE_QUESTION
 from ..session import checkpointed
 from ..sources.pages import fetch_join
 from ..sources.search import scan_search_responses, search_failures
@@ -39,10 +42,16 @@ class Prepared:
     failures: DataFrame       # (question_id, stage, key, reason)
 
 
-def _question_failures(questions: DataFrame, valid: DataFrame) -> DataFrame:
-    return (questions.join(valid.select("question_id"), "question_id", "left_anti")
-            .select("question_id", F.lit(STAGE_QUESTION).alias("stage"),
-                    F.lit(None).cast("string").alias("key"), F.lit("blank").alias("reason")))
+def _looked_up(questions: DataFrame, memo: DataFrame) -> DataFrame:
+    """The questions with `_valid` and the stored `answer` (null: none),
+    written once."""
+    valid = valid_questions(questions)
+    hits, misses = memo_lookup(valid, memo)
+    invalid = questions.filter(is_blank(F.col("question")))
+    rows = (hits.withColumn("_valid", F.lit(True))
+            .unionByName(misses.withColumn("answer", F.lit(None).cast("string")).withColumn("_valid", F.lit(True)))
+            .unionByName(invalid.withColumn("answer", F.lit(None).cast("string")).withColumn("_valid", F.lit(False))))
+    return checkpointed(rows, "looked-up")
 
 
 def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
@@ -57,16 +66,16 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
     rewrite, or the model's rewrite when `format_responses` is given (a
     failed rewrite falls back to the question and is recorded).
     """
-    valid = valid_questions(questions)
-    hits, misses = memo_lookup(valid, memo)
-    # the new-question batch feeds retrieval, its size check and the
-    # requests: write it once as a table in the shared folder (lineage cut)
-    misses = checkpointed(misses)
-    failures = _question_failures(questions, valid)
+    looked = _looked_up(questions, memo)
+    hits = looked.filter("_valid AND answer IS NOT NULL").drop("_valid")
+    misses = looked.filter("_valid AND answer IS NULL").drop("_valid", "answer")
+    failures = looked.filter("NOT _valid").select(
+        "question_id", F.lit(STAGE_QUESTION).alias("stage"), F.lit(None).cast("string").alias("key"),
+        F.lit("blank").alias("reason"))
     if searches is not None:
         # every result that a response holds; `k` belongs to the index route
         asked = searches.join(misses.select("question_id"), "question_id", "left_semi")
-        results = scan_search_responses(asked).select("question_id", "pos", "url")
+        results = checkpointed(scan_search_responses(asked).select("question_id", "pos", "url"), "results")
         failures = failures.unionByName(search_failures(asked))
     else:
         if index is None:
@@ -115,27 +124,55 @@ def finish_answers(questions: DataFrame, page_responses: DataFrame,
     is stored is `store_without_pages`. Of repeated final responses the
     largest content counts.
     """
-    _, misses = memo_lookup(valid_questions(questions), memo)
-    qs = misses.select("question_id", "question")
-    page_content = parse_responses(page_responses).filter(F.col("kind") == KIND_PAGE)
-    page_answers = collect_page_answers(page_content)
+    looked = _looked_up(questions, memo)
+    qs = looked.filter("_valid AND answer IS NULL").select("question_id", "question")
+    judged = judged_responses(page_responses)
+    if final_responses is not None:
+        judged = judged.unionByName(judged_responses(final_responses))
+    judged = checkpointed(judged, "judged")
+    good = judged.filter(F.col("reason").isNull())
+    page_answers = collect_page_answers(good.filter(F.col("kind") == KIND_PAGE))
     final_requests = build_final_requests(qs, page_answers)
-    failures = response_failures(page_responses)
-    empty = questions.sparkSession.createDataFrame([], FAILURES)
+    failures = judged_failures(judged)
     if final_responses is None:
         answers = questions.sparkSession.createDataFrame(
             [], "question_id long, question string, answer string, n_pages long")
-        return Finished(final_requests, answers, memo, failures.unionByName(empty))
-    finals = (parse_responses(final_responses).filter(F.col("kind") == KIND_FINAL)
-              .groupBy("question_id").agg(F.max("content").alias("answer")))
+        return Finished(final_requests, answers, memo, failures)
+    finals = good.filter(F.col("kind") == KIND_FINAL).groupBy("question_id").agg(F.max("content").alias("answer"))
     answers = (qs.join(finals, "question_id")
                .join(page_answers.select("question_id", "n_answers"), "question_id", "left")
                .select("question_id", "question", "answer",
                        F.coalesce("n_answers", F.lit(0)).cast("long").alias("n_pages")))
     to_store = answers if store_without_pages else answers.filter(F.col("n_pages") > 0)
     new_memo = memo_merge(memo, to_store.select("question", "answer"))
-    return Finished(final_requests, answers, new_memo,
-                    failures.unionByName(response_failures(final_responses)))
+    return Finished(final_requests, answers, new_memo, failures)
+
+
+# the columns of all outputs that are written together
+SINK_SCHEMA = ("question_id long, question string, mkt string, answer string, n_pages long, pos long, url string, "
+               "request_id string, kind string, body string, stage string, key string, reason string")
+
+
+def write_sinks(step: "Prepared | Finished", path: str, sinks: tuple[str, ...] = ()) -> None:
+    """Write the outputs of a step in one job: every row tagged with its sink,
+    one write partitioned by it (`path/sink=hits`, ...). All outputs but the
+    memo, or those named."""
+    columns = [c.split() for c in SINK_SCHEMA.split(", ")]
+    rows = None
+    for f in fields(step):
+        if f.name == "memo" or (sinks and f.name not in sinks):
+            continue
+        df = getattr(step, f.name)
+        part = df.select(F.lit(f.name).alias("sink"), *[
+            (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
+        rows = part if rows is None else rows.unionByName(part)
+    rows.write.mode("errorifexists").partitionBy("sink").parquet(path)
+
+
+def read_sink(spark: SparkSession, path: str, sink: str, columns: list[str]) -> DataFrame:
+    """One output of `write_sinks` (empty if it got no rows)."""
+    return (spark.read.schema(SINK_SCHEMA + ", sink string").parquet(path)
+            .filter(F.col("sink") == sink).select(*columns))
 
 
 def refine_answers(queries: DataFrame, indexes: list[CorpusIndex], k: int = 5,

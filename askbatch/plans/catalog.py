@@ -18,11 +18,11 @@ from ..operators import documents, exchange, links, listing, memo, questions, re
 from ..operators.markdown import html_to_markdown
 from ..schemas import MEMO
 from ..sources import derived
-from ..sources.pages import fetch_join, snapshot_from_pages
+from ..sources.pages import fetch_failures, fetch_join, fetched_picks, pick_pages, snapshot_from_pages
 from ..sources.search import scan_search_responses, search_failures
 from ..sources.tables import read_table
-from ..session import checkpointed, ensure_checkpoint_dir, ensure_parallelism, scratch_path
-from .answering import finish_answers, prepare_answers, refine_answers
+from ..session import checkpointed, ensure_checkpoint_dir, ensure_parallelism, fits_broadcast, scratch_path
+from .answering import finish_answers, prepare_answers, read_sink, refine_answers, write_sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,6 +90,35 @@ def _twice_asked(spark, root):
     return qs.unionByName(derived.failing_questions(qs))
 
 
+def _prepared(spark, root, by_search=False):
+    """The first step over all questions, with blank ones beside them; pages
+    come from the index, or from the search responses of the questions."""
+    qs = _questions(spark, root).select("question_id", "question")
+    if by_search:
+        searches = _searches(spark, root)
+        asked = searches.select("question_id", F.concat(F.lit("question "), F.col("question_id").cast("string")).alias("question"))
+        return prepare_answers(asked, _memo_of_searches(asked), _snapshot(spark, root), searches=searches)
+    blanks = spark.createDataFrame(BLANK_QUESTIONS, "question_id long, question string")
+    return prepare_answers(qs.unionByName(blanks), _memo_table(spark, root).read(), _snapshot(spark, root),
+                           index=_page_index(spark, root), k=5)
+
+
+def _memo_of_searches(asked):
+    """A memo that answers every fourth of the questions, some with nothing."""
+    return (asked.filter(F.pmod("question_id", F.lit(4)) == 1)
+            .select("question", F.when(F.pmod("question_id", F.lit(8)) == 5, F.lit("")).otherwise(F.lit("stored")).alias("answer"),
+                    F.timestamp_seconds(F.lit(MEMO_OLD_EPOCH)).alias("stored_at")))
+
+
+def _finished(spark, root):
+    """The second step on a filled memo, final responses given twice."""
+    conv = _conv(spark, root)
+    finals = derived.final_response_envelopes(conv)
+    return finish_answers(_twice_asked(spark, root).select("question_id", "question"),
+                          derived.page_response_envelopes(conv), finals.unionByName(finals),
+                          _memo_table(spark, root).read())
+
+
 def _fetch(spark, root):
     return fetch_join(_asked_results(spark, root), _snapshot(spark, root))
 
@@ -259,8 +288,11 @@ def q_memo_size(spark, root):
 
 def q_stage_counts(spark, root):
     searches = _searches(spark, root)
-    results = _asked_results(spark, root)
-    fetched, fetch_fail = fetch_join(results, _snapshot(spark, root))
+    # the narrow tables of the flow: results, and the page picked for each
+    results = checkpointed(_asked_results(spark, root), "results")
+    picks = checkpointed(pick_pages(results, _snapshot(spark, root)), "picks")
+    fetch_fail = fetch_failures(picks)
+    fetched = fetched_picks(picks)
     asked = searches.select("question_id").unionByName(results.select("question_id"))
     return stats.stage_counts(asked, results=results, fetched=fetched,
                               failures=search_failures(searches).unionByName(fetch_fail))
@@ -348,15 +380,34 @@ def q_extract_passages(spark, root):
     qs = _benchmark_queries(spark, root)
     docs = _t(spark, root, "documents", ["doc_id", "text"])
     top = retrieval.retrieve_topk(qs, _doc_index(spark, root), k=5)
-    pairs = top.join(docs, "doc_id").select("qid", "doc_id", "text")
+    # k rows a query meet the scan of the texts; no text is shuffled for it
+    top = checkpointed(top.select("qid", "doc_id"), "top")
+    pairs = docs.join(F.broadcast(top) if fits_broadcast(top) else top, "doc_id").select("qid", "doc_id", "text")
     return retrieval.extract_passages(pairs, qs, n=1)
 
 
 def q_prepare_answers(spark, root):
-    pages = snapshot_from_pages(_pages(spark, root))
-    prepared = prepare_answers(_questions(spark, root), _memo(spark, root), pages,
-                               index=_page_index(spark, root), k=5)
-    return prepared.page_requests
+    return _prepared(spark, root).page_requests
+
+
+def _sink(spark, step, sink, columns):
+    """One output of a step, read from the write of all of them."""
+    path = scratch_path(spark, "sinks")
+    write_sinks(step, path)
+    return read_sink(spark, path, sink, columns)
+
+
+def q_prepare_hits(spark, root):
+    return _sink(spark, _prepared(spark, root), "hits", ["question_id", "question", "answer"])
+
+
+def q_prepare_failures(spark, root):
+    return _sink(spark, _prepared(spark, root, by_search=True), "failures", ["question_id", "stage", "key", "reason"])
+
+
+def q_prepare_from_searches(spark, root):
+    return _sink(spark, _prepared(spark, root, by_search=True), "page_requests",
+                 ["request_id", "question_id", "kind", "pos", "body"])
 
 
 def q_finish_answers(spark, root):
@@ -367,6 +418,14 @@ def q_finish_answers(spark, root):
     return done.answers
 
 
+def q_finish_requests(spark, root):
+    return _sink(spark, _finished(spark, root), "final_requests", ["request_id", "question_id", "kind", "pos", "body"])
+
+
+def q_finish_memo(spark, root):
+    return _finished(spark, root).memo.select("question", "answer")
+
+
 # Markets of the queries, by number; null: all languages.
 MARKETS = ("en-us", "fr-fr", None, "de-de", "es-es")
 
@@ -384,6 +443,14 @@ def q_refine_search(spark, root):
                           k=5, min_score=REFINE_MIN_SCORE)
 
 
+# Fixed value: terms that a relaxed query drops before any page will do.
+RELAX_ROUNDS = 20
+
+
+def q_relaxed_search(spark, root):
+    return retrieval.relaxed_search(_benchmark_queries(spark, root), _doc_index(spark, root), k=5, rounds=RELAX_ROUNDS)
+
+
 def q_format_queries(spark, root):
     conv = _conv(spark, root)
     got, _ = exchange.queries_from_format_responses(
@@ -430,8 +497,14 @@ QUERIES: dict[str, Query] = {
     "extract_links": q_extract_links,
     "extract_passages": q_extract_passages,
     "prepare_answers": q_prepare_answers,
+    "prepare_hits": q_prepare_hits,
+    "prepare_failures": q_prepare_failures,
+    "prepare_from_searches": q_prepare_from_searches,
     "finish_answers": q_finish_answers,
+    "finish_requests": q_finish_requests,
+    "finish_memo": q_finish_memo,
     "refine_search": q_refine_search,
+    "relaxed_search": q_relaxed_search,
     "pdf_link_counts": q_pdf_link_counts,
     "format_queries": q_format_queries,
 }

@@ -162,6 +162,33 @@ def bm25(queries: str, corpus: str, k: int, mkt: bool = False) -> str:
     """
 
 
+def relaxed(queries: str, corpus: str, k: int, rounds: int) -> str:
+    """(qid, rank, doc_id, score, round) of conjunctive search with terms
+    dropped by idf, then of any match."""
+    return f"""
+    WITH d_ AS (SELECT doc_id, {tokens("coalesce(text, '')")} AS toks FROM ({corpus})),
+    st_ AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avg_len FROM d_),
+    po_ AS (SELECT doc_id, any_value(dl) AS doc_len, term, count(*) AS tf
+            FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d_) GROUP BY doc_id, term),
+    df_ AS (SELECT term, count(*) AS df FROM po_ GROUP BY term),
+    qt_ AS (SELECT qid, term, df, row_number() OVER (PARTITION BY qid ORDER BY df, term) AS nth,
+                   count(*) OVER (PARTITION BY qid) AS terms
+            FROM (SELECT DISTINCT qid, unnest({tokens('query')}) AS term FROM ({queries})) JOIN df_ USING (term)),
+    pa_ AS (SELECT qid, doc_id, nth, terms, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * {K1 + 1.0}
+                   / (tf + {K1} * ({1.0 - B} + {B} * doc_len / avg_len)) AS part FROM qt_ JOIN po_ USING (term), st_),
+    le_ AS (SELECT qid, doc_id, any_value(terms) AS terms, list({{'nth': nth, 'part': part}} ORDER BY nth) AS g
+            FROM pa_ GROUP BY qid, doc_id),
+    ro_ AS (SELECT *, len(list_filter(g, lambda x, i: x.nth = i)) AS lead FROM le_),
+    sc_ AS (SELECT *, CASE WHEN terms - lead <= {rounds} THEN terms - lead + 1 ELSE {rounds} + 2 END AS round FROM ro_),
+    va_ AS (SELECT qid, doc_id, round, coalesce(list_sum([x.part for x in CASE WHEN round = {rounds} + 2 THEN g ELSE g[1:lead] END]), 0) AS score
+            FROM sc_),
+    rk_ AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round, round(score, 6) DESC, doc_id) AS rank,
+                   min(round) OVER (PARTITION BY qid) AS first FROM va_)
+    SELECT qid, CAST(rank AS BIGINT) AS rank, doc_id, round(score, 4) AS score, CAST(round AS BIGINT) AS round
+    FROM rk_ WHERE rank <= {k} AND round = first
+    """
+
+
 # ---- derived inputs ---------------------------------------------------------
 
 QUESTIONS = (f"SELECT CAST(conv_id * {D.TURN_BASE} + turn AS BIGINT) AS question_id, text AS question "
@@ -418,6 +445,48 @@ def _prepare_answers() -> str:
     return requests(X.KIND_PAGE, src, fill(X.PAGE_PROMPT, question="question", page="markdown"), "pos")
 
 
+def _page_requests(picked: str, questions: str) -> str:
+    src = (f"SELECT f.question_id, f.pos, {md_doc('f.url', 'f.html')} AS markdown, m.question "
+           f"FROM ({picked}) f JOIN ({questions}) m USING (question_id) WHERE f.html IS NOT NULL AND f.status = 200")
+    return requests(X.KIND_PAGE, src, fill(X.PAGE_PROMPT, question="question", page="markdown"), "pos")
+
+
+SEARCHED = f"SELECT question_id, 'question ' || CAST(question_id AS VARCHAR) AS question FROM ({SEARCHES})"
+# every fourth question is stored, every other of these with an empty answer
+SEARCHED_MISSES = (f"SELECT * FROM ({SEARCHED}) WHERE ((question_id % 4) + 4) % 4 <> 1 OR ((question_id % 8) + 8) % 8 = 5")
+
+
+def _prepare_from_searches(failures: bool) -> str:
+    asked = f"question_id IN (SELECT question_id FROM ({SEARCHED_MISSES}))"
+    picked = fetch_pick(f"SELECT question_id, pos, url FROM ({RESULTS}) WHERE {asked}", FAILING_SNAPSHOT)
+    if not failures:
+        return _page_requests(picked, SEARCHED_MISSES)
+    return f"""
+    SELECT * FROM ({SEARCH_FAILURES}) WHERE {asked}
+    UNION ALL SELECT question_id, 'fetch', url,
+        CASE WHEN status IS NULL THEN 'not_fetched' ELSE 'http_status ' || CAST(status AS VARCHAR) END
+    FROM ({picked}) WHERE NOT (html IS NOT NULL AND status = 200)"""
+
+
+def _finish_new() -> str:
+    """Questions that the filled memo does not answer."""
+    return f"SELECT question_id, question FROM ({lookup(TWICE_ASKED, MEMO)}) WHERE answer IS NULL"
+
+
+def _finish_memo() -> str:
+    finals = f"SELECT question_id, max(content) AS answer FROM ({parse_ok(FINAL_RESPONSES)}) WHERE kind = 'final' GROUP BY 1"
+    new = f"SELECT n.question, f.answer FROM ({_finish_new()}) n JOIN ({finals}) f USING (question_id)"
+    return (f"SELECT question, answer FROM ({latest_memo(MEMO)}) WHERE question NOT IN (SELECT question FROM ({new})) "
+            f"UNION ALL SELECT question, max(answer) FROM ({new}) GROUP BY 1")
+
+
+def _finish_requests() -> str:
+    src = (f"SELECT q.question_id, q.question, coalesce(a.answers, []::VARCHAR[]) AS answers "
+           f"FROM ({_finish_new()}) q LEFT JOIN ({PAGE_ANSWERS}) a USING (question_id)")
+    prompt = fill(X.FINAL_PROMPT, question="question", answers="to_json(answers)::VARCHAR")
+    return requests(X.KIND_FINAL, src, prompt, None)
+
+
 def _build_requests_final() -> str:
     src = (f"SELECT q.question_id, q.question, coalesce(a.answers, []::VARCHAR[]) AS answers "
            f"FROM ({QUESTIONS}) q LEFT JOIN ({PAGE_ANSWERS}) a USING (question_id)")
@@ -505,8 +574,15 @@ def statements() -> dict[str, str]:
         "extract_links": links_sql(),
         "extract_passages": _extract_passages(),
         "prepare_answers": _prepare_answers(),
+        "prepare_hits": (f"SELECT question_id, question, answer FROM ({lookup(QUESTIONS, MEMO)}) WHERE answer IS NOT NULL"),
+        "prepare_failures": _prepare_from_searches(failures=True),
+        "prepare_from_searches": _prepare_from_searches(failures=False),
         "finish_answers": _finish_answers(),
+        "finish_requests": _finish_requests(),
+        "finish_memo": _finish_memo(),
         "refine_search": _refine_search(),
+        "relaxed_search": relaxed("SELECT item_id AS qid, text AS query FROM benchmark",
+                                  "SELECT doc_id, text FROM documents", 5, 20),
         "pdf_link_counts": (f"SELECT page_url, count(DISTINCT link_url) AS n_links FROM ({_find_pdf_links()}) "
                             f"GROUP BY page_url"),
         "format_queries": _format_queries(),

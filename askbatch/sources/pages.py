@@ -7,11 +7,11 @@ status is not 200, is a failed fetch and becomes a `failures` row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import STAGE_FETCH
-from ..session import fits_broadcast
+from ..session import checkpointed, fits_broadcast
 
 # Fetch failure reasons.
 REASON_NOT_FETCHED = "not_fetched"
@@ -34,36 +34,70 @@ def snapshot_from_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.lit(200).alias("status"))
 
 
+def _versions(pages: DataFrame) -> DataFrame:
+    """The snapshot with `version`, which of several crawls of a URL counts:
+    the highest page_id, or, where the table has none, a digest of the page."""
+    version = F.coalesce("page_id", F.lit(-1 << 63)) if "page_id" in pages.columns else F.xxhash64("html")
+    return pages.withColumn("version", version.cast("long"))
+
+
+def pick_pages(results: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """(question_id, pos, url, version, status, found, copies), one row per
+    result: the crawl of its URL that counts. Only narrow columns of the
+    snapshot are read and shuffled, and a URL without a row stays, with nulls."""
+    keys = results.select("question_id", "pos", "url")
+    seen = _versions(pages).select("url", "version", "status", F.col("html").isNotNull().alias("found"))
+    matched = seen.join(F.broadcast(keys) if fits_broadcast(keys, broadcast_rows) else keys, "url")
+    crawls = (matched.groupBy("question_id", "pos", "url", "version")
+              .agg(F.max("status").alias("status"), F.max("found").alias("found"), F.count(F.lit(1)).alias("copies")))
+    none = keys.select("question_id", "pos", "url", F.lit(None).cast("long").alias("version"),
+                       F.lit(None).cast("int").alias("status"), F.lit(False).alias("found"), F.lit(0).cast("long").alias("copies"))
+    best = F.max_by(F.struct("url", "version", "status", "found", "copies"),
+                    F.struct((F.col("copies") > 0).alias("a"), "version", "url"))
+    return (crawls.select(*none.columns).unionByName(none).groupBy("question_id", "pos").agg(best.alias("b"))
+            .select("question_id", "pos", "b.*"))
+
+
+def fetched_picks(picks: DataFrame) -> DataFrame:
+    """The picks that were downloaded."""
+    return picks.filter((F.col("status") == 200) & F.col("found"))
+
+
+def fetch_picked(picks: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """(question_id, pos, url, html) of the picks that were downloaded: one
+    scan of the page texts, filtered by the picks."""
+    wanted = fetched_picks(picks).select("question_id", "pos", "url", "version", "copies")
+    texts = _versions(pages).filter(F.col("html").isNotNull()).select("url", "version", "html")
+
+    def fetched(rows: DataFrame) -> DataFrame:
+        side = F.broadcast(rows) if fits_broadcast(rows, broadcast_rows) else rows
+        return texts.join(side, ["url", "version"]).select("question_id", "pos", "url", "html")
+
+    # of rows that repeat a URL and a page_id the largest text counts; there
+    # are none in a sound crawl, and only these are grouped
+    repeated = wanted.filter("copies > 1").drop("copies")
+    once = fetched(wanted.filter("copies = 1").drop("copies"))
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(fetched(repeated).groupBy("question_id", "pos", "url").agg(F.max("html").alias("html")))
+
+
+def fetch_failures(picks: DataFrame) -> DataFrame:
+    return (picks.filter(~((F.coalesce(F.col("status"), F.lit(0)) == 200) & F.col("found")))
+            .select("question_id", F.lit(STAGE_FETCH).alias("stage"), F.col("url").alias("key"),
+                    F.when(F.col("status").isNull(), F.lit(REASON_NOT_FETCHED))
+                     .otherwise(F.concat(F.lit(REASON_HTTP + " "), F.col("status").cast("string")))
+                     .alias("reason")))
+
+
 def fetch_join(results: DataFrame, pages: DataFrame,
                broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(fetched, failures) for result rows `(question_id, pos, url, ...)`.
 
-    The result side is small next to a crawl: under `broadcast_rows` it is
-    broadcast and the pages are filtered by a hash probe with no shuffle of
-    HTML; above it the join shuffles on url (AQE splits a skewed URL). A
-    URL crawled twice keeps the highest `page_id` (or any, when there is
-    none); that choice keeps one row per result in each map partition before
-    its shuffle.
+    The crawl of each URL that counts is picked on narrow columns and written
+    down (a row per result); then the page texts are scanned once. The result
+    side is small next to a crawl: under `broadcast_rows` it is broadcast in
+    both steps and no page text is shuffled.
     """
-    keys = results.select("question_id", "pos", "url")
-    has_id = "page_id" in pages.columns
-    pg = pages.select("url", "html", "status",
-                      (F.col("page_id") if has_id else F.lit(None).cast("long")).alias("page_id"))
-    # inner join (keys broadcast when small), plus a placeholder per result so
-    # that an unfetched URL survives without an outer join on the big side
-    matched = pg.join(F.broadcast(keys) if fits_broadcast(keys, broadcast_rows) else keys, "url")
-    placeholders = keys.select("url", F.lit(None).cast("string").alias("html"),
-                               F.lit(None).cast("int").alias("status"),
-                               F.lit(None).cast("long").alias("page_id"), "question_id", "pos")
-    cand = matched.select(*placeholders.columns).unionByName(placeholders)
-    w = Window.partitionBy("question_id", "pos").orderBy(
-        F.col("status").isNull().asc(), F.col("page_id").desc_nulls_last())
-    one = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    ok = F.col("html").isNotNull() & (F.col("status") == 200)
-    fetched = one.filter(ok).select("question_id", "pos", "url", "html")
-    failures = (one.filter(~ok)
-                .select("question_id", F.lit(STAGE_FETCH).alias("stage"), F.col("url").alias("key"),
-                        F.when(F.col("status").isNull(), F.lit(REASON_NOT_FETCHED))
-                         .otherwise(F.concat(F.lit(REASON_HTTP + " "), F.col("status").cast("string")))
-                         .alias("reason")))
-    return fetched, failures
+    picks = checkpointed(pick_pages(results, pages, broadcast_rows), "picks")
+    return fetch_picked(picks, pages, broadcast_rows), fetch_failures(picks)

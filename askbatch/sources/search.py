@@ -36,8 +36,9 @@ def _reason() -> F.Column:
     v = F.col("_v")
     return (F.when(F.col("status").isNull() | (F.col("status") != 200), F.lit(REASON_HTTP))
              .when(v.isNull(), F.lit(REASON_BAD_JSON))
-             .when(F.to_json(v).isin(*FALSY_JSON), F.lit(REASON_EMPTY))
-             .when(F.try_variant_get(v, "$.webPages", "variant").isNull(), F.lit(REASON_NO_WEBPAGES))
+             # only a body without the key can be empty, so no other is written out
+             .when(F.try_variant_get(v, "$.webPages", "variant").isNull(),
+                   F.when(F.to_json(v).isin(*FALSY_JSON), F.lit(REASON_EMPTY)).otherwise(F.lit(REASON_NO_WEBPAGES)))
              .when(_items().isNull(), F.lit(REASON_NO_VALUE)))
 
 

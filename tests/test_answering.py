@@ -6,7 +6,8 @@ from askbatch.operators.memo import memo_lookup
 from askbatch.operators.questions import valid_questions
 from askbatch.plans import catalog as C
 from askbatch.schemas import MEMO
-from askbatch.plans.answering import finish_answers, prepare_answers
+from askbatch.plans.answering import finish_answers, prepare_answers, read_sink, write_sinks
+from askbatch.session import scratch_path
 from askbatch.sources import derived
 from askbatch.sources.pages import snapshot_from_pages
 
@@ -83,3 +84,36 @@ def test_prepare_with_model_rewrites(spark):
     n_fmt_fail = fmt.filter(F.col("status") != 200).count()
     assert prep.failures.filter(F.col("stage") == "model").count() == n_fmt_fail
     assert prep.results.count() > 0
+
+
+def test_all_outputs_in_one_job(spark):
+    """One write gives every output, and the inputs were read once each."""
+    from askbatch.operators.stats import counted
+    qs, memo = C._questions(spark, SF).select("question_id", "question"), C._memo_table(spark, SF).read()
+    pages = snapshot_from_pages(C._pages(spark, SF))
+    qs, n_qs = counted(qs, "questions")
+    prep = prepare_answers(qs, memo, pages, index=C._page_index(spark, SF), k=5)
+    prep.page_requests, n_req = counted(prep.page_requests, "requests")
+    path = scratch_path(spark, "sinks")
+    write_sinks(prep, path)
+    # counts taken while the flow's own jobs ran
+    assert n_qs.get["rows"] == C._questions(spark, SF).count()
+    rows = spark.read.parquet(path).groupBy("sink").count().collect()
+    by = {r.sink: r["count"] for r in rows}
+    assert by["hits"] == prep.hits.count() and by["results"] == prep.results.count()
+    assert by["page_requests"] == n_req.get["rows"] > 0
+    got = read_sink(spark, path, "hits", ["question_id", "answer"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, prep.hits.select("question_id", "answer").collect()))
+    assert read_sink(spark, path, "failures", ["question_id", "reason"]).count() == prep.failures.count()
+
+
+def test_failed_question_and_status_rows(spark):
+    qs = spark.createDataFrame([(1, "known"), (2, " "), (3, None), (4, "new")], "question_id long, question string")
+    memo = spark.createDataFrame([("known", "kept"), ("known", "kept")], "question string, answer string") \
+        .withColumn("stored_at", F.timestamp_seconds(F.lit(1)))
+    searches = spark.createDataFrame([(4, 500, None), (1, 200, "{}")], "question_id long, status int, body string")
+    pages = spark.createDataFrame([(1, "http://a", "x")], "page_id long, url string, html string")
+    prep = prepare_answers(qs, memo, pages, searches=searches)
+    assert [(r.question_id, r.answer) for r in prep.hits.collect()] == [(1, "kept")]
+    assert sorted((r.question_id, r.stage, r.reason) for r in prep.failures.collect()) == [
+        (2, "question", "blank"), (3, "question", "blank"), (4, "search", "http_status")]

@@ -11,7 +11,7 @@ from askbatch.operators import memo as M
 from askbatch.operators.links import extract_links, resolve_links
 from askbatch.operators.markdown import html_to_markdown
 from askbatch.operators.retrieval import build_index, retrieve_topk
-from askbatch.sources.pages import fetch_join
+from askbatch.sources.pages import fetch_join, pick_pages
 from askbatch.sources.search import scan_search_responses
 
 
@@ -68,13 +68,36 @@ def test_narrow_operators_have_no_exchange(spark):
         assert "Exchange" not in plan(df)
 
 
-def test_fetch_join_broadcasts_results_not_pages(spark):
+def test_no_page_text_moves_before_the_pick(spark):
     results = spark.createDataFrame([(1, 0, "http://a")], "question_id long, pos long, url string")
     pages = spark.createDataFrame([(1, "http://a", "<p>a</p>", 200)], "page_id long, url string, html string, status int")
-    fetched, _ = fetch_join(results, pages)
-    p = plan(fetched)
-    assert "BroadcastHashJoin Inner" in p and "SortMergeJoin" not in p and "Outer" not in p
-    assert p.count("WindowGroupLimit") == 2
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # whatever is shuffled has the columns of a pick, not the page
+        picked = explained(pick_pages(results, pages))
+        assert "hashpartitioning" in picked
+        assert not [x for x in re.findall(r"Exchange.*\nInput \[\d+\]: \[(.*)\]", picked) if "html" in x]
+        # under the limits the page texts meet the broadcast picks where they are
+        p = plan(fetch_join(results, pages)[0])
+        assert "BroadcastHashJoin Inner" in p and p.count("Exchange") == p.count("BroadcastExchange")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_repeated_crawls(spark):
+    results = spark.createDataFrame([(1, i, f"http://{u}") for i, u in enumerate("abcde")], "question_id long, pos long, url string")
+    pages = spark.createDataFrame(
+        [(1, "http://a", "old", 200), (2, "http://a", "new", 200), (3, "http://b", "x", 200), (3, "http://b", "y", 200),
+         (4, "http://c", "was", 200), (5, "http://c", "gone", 404), (6, "http://d", None, 200)],
+        "page_id long, url string, html string, status int")
+    fetched, failed = fetch_join(results, pages)
+    assert sorted((r.pos, r.html) for r in fetched.collect()) == [(0, "new"), (1, "y")]
+    assert sorted((r.key, r.reason) for r in failed.collect()) == [
+        ("http://c", "http_status 404"), ("http://d", "http_status 200"), ("http://e", "not_fetched")]
+    # without page ids a digest decides, the same on every run
+    bare = pages.filter("url = 'http://a'").drop("page_id")
+    assert len({fetch_join(results, bare.orderBy(F.rand()))[0].first().html for _ in range(2)}) == 1
 
 
 def test_memo_lookup_and_merge_do_not_shuffle_the_store(spark):

@@ -152,3 +152,41 @@ def test_empty_corpus_and_queries(spark):
     assert retrieve_topk(qs, docs.filter("false"), k=3).count() == 0
     assert retrieve_topk(qs.filter("false"), docs, k=3).count() == 0
     assert retrieve_topk(qs, docs.filter("false"), k=3, prune=True).count() == 0
+
+
+def test_relaxed_search_drops_terms_until_a_page_holds_the_rest(spark):
+    import contextlib
+    import io
+    from askbatch.operators.retrieval import relaxed_search
+    docs = spark.createDataFrame([(1, "cat sat mat"), (2, "cat sat"), (3, "cat dog"), (4, "dog dog cow"), (5, "cat cat cat cow")],
+                                 "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "cat sat mat"), (2, "sat dog cat"), (3, "mat cow dog cat"), (4, "zebra cat sat"), (5, "yak")],
+                               "qid long, query string")
+    idx = build_index(docs).materialize(block_docs=2)
+    df = {t: sum(t in toks(x) for x in ("cat sat mat", "cat sat", "cat dog", "dog dog cow", "cat cat cat cow"))
+          for t in ("cat", "sat", "mat", "dog", "cow")}
+    held = {1: "cat sat mat", 2: "cat sat", 3: "cat dog", 4: "dog dog cow", 5: "cat cat cat cow"}
+    for rounds in (0, 1, 9):
+        want = {}
+        for r in qs.collect():
+            terms = sorted((t for t in toks(r.query) if t in df), key=lambda t: (df[t], t))
+            for dropped in range(rounds + 1):
+                left = terms[:len(terms) - dropped]
+                hit = [d for d, x in held.items() if left and all(t in toks(x) for t in left)]
+                if hit:
+                    want[r.qid] = (dropped + 1, sorted(hit))
+                    break
+            else:
+                hit = [d for d, x in held.items() if set(terms) & set(toks(x))]
+                if hit:
+                    want[r.qid] = (rounds + 2, sorted(hit))
+        found = relaxed_search(qs, idx, k=5, rounds=rounds)
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.qid, (r["round"], []))[1].append(r.doc_id)
+        assert {q: (n, sorted(d)) for q, (n, d) in got.items()} == want
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        found.explain()
+    scans = [x for x in buf.getvalue().split("== Initial Plan ==")[0].splitlines() if "askbatch_postings" in x]
+    assert len(scans) == 1          # all rounds share one scan of the postings
