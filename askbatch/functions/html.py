@@ -37,13 +37,14 @@ MARKUP_RULES = [
     (r"</?[A-Za-z][^>]*>", ""),
 ]
 STRUCTURE = r"(?i)<(/?(?:ol|ul|li|pre|blockquote))>"
-# tidy lines; spaces that must stay are KEPT until the end
+# tidy lines; LINE and KEPT stand for line ends and spaces that the rules above
+# must not collapse
 TIDY_RULES = [
     (r"[ \t]*\n[ \t]*", "\n"),
     (r"\n{3,}", "\n\n"),
     (r"^\s+|\s+$", ""),
 ]
-KEPT = "\x03"
+KEPT, LINE = "\x03", "\x04"
 # source line format (space before the newline)
 SOURCE_PREFIX = "source: "
 SOURCE_SUFFIX = " \n"
@@ -74,9 +75,9 @@ def _contexts(tags: Column) -> Column:
         kept = F.when(tag == "pre", pre + 1).when(tag == "/pre", F.greatest(pre - 1, F.lit(0))).otherwise(pre)
         bullet = F.when(top["kind"] == "ol", F.concat((top["n"] + 1).cast("string"), F.lit(". "))).otherwise(F.lit("* "))
         indent = F.repeat(F.lit(KEPT * 2), F.greatest(depth - 1, F.lit(0)))
-        outer = F.when(depth + F.when(opens, 0).otherwise(-1) > 0, F.lit("")).otherwise(F.lit("\n\n"))
-        lead = (F.when(tag == "li", F.concat(F.lit("\n"), indent, bullet))
-                .when(tag == "/li", F.lit("")).when(opens | closes, outer).otherwise(F.lit("\n\n")))
+        outer = F.when(depth + F.when(opens, 0).otherwise(-1) > 0, F.lit("")).otherwise(F.lit(LINE * 2))
+        lead = (F.when(tag == "li", F.concat(F.lit(LINE), indent, bullet))
+                .when(tag == "/li", F.lit("")).when(opens | closes, outer).otherwise(F.lit(LINE * 2)))
         context = F.struct(lead.alias("lead"), quoted.alias("quotes"), kept.alias("pre"))
         return F.struct(now.alias("lists"), quoted.alias("quotes"), kept.alias("pre"),
                         F.concat(state["out"], F.array(context)).alias("out")).cast(STATE)
@@ -95,24 +96,33 @@ def _kept(text: Column) -> Column:
     """Text of a `pre` block: lines and spaces as they are, indented by four."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?i)<br>", "\n"), r"</?[A-Za-z][^>]*>", "")
     spaced = F.replace(F.regexp_replace(plain, r"\r\n?", "\n"), F.lit("\t"), F.lit(KEPT * 4))
-    return F.replace(F.concat(F.lit("\n"), F.replace(spaced, F.lit(" "), F.lit(KEPT))), F.lit("\n"), F.lit("\n" + KEPT * 4))
+    return F.replace(F.concat(F.lit("\n"), F.replace(spaced, F.lit(" "), F.lit(KEPT))), F.lit("\n"), F.lit(LINE + KEPT * 4))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def markdown_body(html: Column | str) -> Column:
     """Markdown text of an HTML string (null stays null)."""
     page = F.regexp_replace(bare_tags(_col(html)), HEAD, "")
-    pieces = F.split(F.regexp_replace(page, STRUCTURE, f"{MARK}$1{END}"), MARK)
-    rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    tags = F.transform(rest, lambda x: F.lower(F.substring_index(x, END, 1)))
+    cut = F.split(F.regexp_replace(page, STRUCTURE, f"{MARK}$1{END}"), MARK)
 
     def piece(x: Column, c: Column) -> Column:
         text = F.substr(x, F.instr(x, F.lit(END)) + 1)
-        body = F.concat(c["lead"], F.when(c["pre"] > 0, _kept(text)).otherwise(_written(text)))
-        marks = F.concat(F.lit("\n"), F.repeat(F.lit(">" + KEPT), c["quotes"]))
-        return F.when(c["quotes"] > 0, F.replace(body, F.lit("\n"), marks)).otherwise(body)
-
-    out = F.concat(_written(F.get(pieces, F.lit(0))), F.array_join(F.zip_with(rest, _contexts(tags), piece), ""))
-    out = decode_references(out)
+        marks = F.concat(F.lit(LINE), F.repeat(F.lit(">" + KEPT), c["quotes"]))
+        plain = F.concat(c["lead"], F.when(c["pre"] > 0, _kept(text)).otherwise(text))
+        quoted = F.concat(c["lead"], F.when(c["pre"] > 0, _kept(text)).otherwise(
+            F.replace(_written(text), F.lit("\n"), F.lit(LINE))))
+        return F.when(c["quotes"] > 0, F.replace(quoted, F.lit(LINE), marks)).otherwise(plain)
+
+    def joined(pieces: Column) -> Column:
+        rest = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+        tags = F.transform(rest, lambda x: F.lower(F.substring_index(x, END, 1)))
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.zip_with(rest, _contexts(tags), piece), ""))
+
+    out = F.replace(decode_references(_written(_let(cut, joined))), F.lit(LINE), F.lit("\n"))
     for pattern, replacement in TIDY_RULES:
         out = F.regexp_replace(out, pattern, replacement)
     return F.replace(out, F.lit(KEPT), F.lit(" "))

@@ -75,6 +75,10 @@ def _numbered(code: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """The text with its character references decoded (null stays null)."""
+    return F.get(F.transform(F.array(text), _decode), F.lit(0))      # the text is computed once
+
+
+def _decode(text: Column) -> Column:
     names, bare, longest = _tables()
     every, short = _map(names), _map(bare)
     parts = F.split(text, "&")

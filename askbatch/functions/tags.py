@@ -29,7 +29,7 @@ NAMES = rf"(?is){SILENT}|<({TAG_NAME}){ATTRS}>|<[!?][^>]*+>"
 ANY_TAG = rf"(?is){OTHER}"
 # marks of our own; the page's own are dropped first
 MARK, END = "\x01", "\x02"
-MARKS = "\x01\x02\x03"
+MARKS = "\x01\x02\x03\x04"
 
 
 def without_marks(html: Column) -> Column:

@@ -143,6 +143,11 @@ class MemoTable:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root + name)
         return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
 
+    def is_new(self) -> bool:
+        """Nothing was ever written to it."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/part=*")
+        return len(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p) or []) == 0
+
     def _part(self, question: Column) -> Column:
         return F.pmod(F.xxhash64(question), F.lit(self.partitions)).cast("int")
 

@@ -55,6 +55,8 @@ BLOCK_DOCS = 256
 # same layout runs at every size
 BUCKET_BYTES = 128 << 20
 MIN_BUCKETS, MAX_BUCKETS = 8, 100_000
+# blocks of a bucket at least, so that buckets come out even
+BUCKET_BLOCKS = 8
 # partition of documents without a language (an empty one reads back as null)
 NO_LANG = "_"
 # late terms of a query stay together under this share of its threshold
@@ -126,7 +128,7 @@ class CorpusIndex:
         avg_len = length / n_docs if n_docs else 0.0
         if buckets is None:
             buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, -(-_folder_bytes(spark, f"{path}/docs") // BUCKET_BYTES)))
-        blocks = max(1, -(-n_docs // block_docs))
+        blocks = max(BUCKET_BLOCKS * buckets, -(-n_docs // block_docs))
         # explode_outer + explicit filter: a plain explode lets the optimizer
         # push `size(runs) > 0` below the projection that tokenises
         runs = docs.select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"),

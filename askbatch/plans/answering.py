@@ -29,7 +29,7 @@ from ..operators.questions import normalize_query, valid_questions
 from ..operators.retrieval import CorpusIndex, retrieve_topk
 from ..functions.text import is_blank
 from ..schemas import STAGE_QUESTION
-from ..session import checkpointed
+from ..session import checkpointed, ensure_parallelism
 from ..sources.pages import fetch_join
 from ..sources.search import scan_search_responses, search_failures
 
@@ -99,7 +99,8 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
         results = checkpointed(ranked.join(urls, "doc_id")
                                .select("question_id", (F.col("rank") - 1).alias("pos"), "url"))
     snapshot = pages if "status" in pages.columns else pages.withColumn("status", F.lit(200))
-    fetched, fetch_fail = fetch_join(results, snapshot)
+    # a snapshot of few files is dealt out before markdown is made of it
+    fetched, fetch_fail = fetch_join(results, ensure_parallelism(snapshot))
     pages_md = html_to_markdown(fetched)
     requests = build_page_requests(pages_md, misses)
     return Prepared(hits, results, requests, failures.unionByName(fetch_fail))

@@ -149,7 +149,7 @@ def _memo_table(spark, root):
     the queries that do not change it."""
     path = _place(spark, root, "memo")
     made = memo.MemoTable(spark, path, partitions=MEMO_PARTITIONS)
-    if not made._exists("/_SUCCESS"):
+    if made.is_new():
         made.store(_memo(spark, root))
     return made
 
@@ -347,7 +347,7 @@ def q_build_requests_page(spark, root):
     results = checkpointed(
         ranked.join(pages.select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
               .select(F.col("qid").alias("question_id"), (F.col("rank") - 1).alias("pos"), "url"))
-    fetched, _ = fetch_join(results, pages.withColumn("status", F.lit(200)))
+    fetched, _ = fetch_join(results, _heavy(pages.withColumn("status", F.lit(200))))
     questions_df = qs.select(F.col("qid").alias("question_id"), F.col("query").alias("question"))
     return exchange.build_page_requests(html_to_markdown(fetched), questions_df)
 
