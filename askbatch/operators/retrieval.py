@@ -53,7 +53,7 @@ HOT_DF_SHARE = 0.01
 BLOCK_DOCS = 256
 # forward index bytes of a bucket; the number of buckets has a floor, so the
 # same layout runs at every size
-BUCKET_BYTES = 128 << 20
+BUCKET_BYTES = 16 << 20
 MIN_BUCKETS, MAX_BUCKETS = 8, 100_000
 # blocks of a bucket at least, so that buckets come out even
 BUCKET_BLOCKS = 8
@@ -145,11 +145,14 @@ class CorpusIndex:
         # at most (distinct terms of a document) / HOT_DF_SHARE terms are
         # frequent, whatever the corpus: a proven bound, so they are broadcast
         frequent = F.broadcast(terms.filter("hot").select(F.col("term").alias("_t"), F.lit(True).alias("hot")))
-        rows = runs.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.col("r.term").alias("term"),
-                           "doc_id", part.alias("part"))
-        # one exchange by block; the groups (at most a block's documents) and
-        # the files of the buckets follow its partitioning
-        grouped = (rows.repartition(buckets, "block").groupBy("lang", "block", "term")
+        # whole documents are exchanged by block, then taken apart: the groups (at
+        # most a block's documents) and the files of the buckets follow from it
+        block = F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(blocks))
+        dealt = (docs.select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"), block.alias("block"), "runs")
+                 .repartition(buckets, "block"))
+        rows = dealt.select("lang", "block", "doc_id", "doc_len", F.explode("runs").alias("r")).select(
+            "lang", "block", F.col("r.term").alias("term"), "doc_id", part.alias("part"))
+        grouped = (rows.groupBy("lang", "block", "term")
                    .agg(F.collect_list(F.struct("doc_id", "part")).alias("docs"), F.max("part").alias("top"))
                    .join(frequent, F.col("term") == F.col("_t"), "left")
                    .select("term", "block", "docs", "top", "lang", F.coalesce("hot", F.lit(False)).alias("hot")))
