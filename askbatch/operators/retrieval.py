@@ -4,11 +4,11 @@ An index is written once and read by every query batch:
 
 * `docs`: per document its token count and (term, tf) runs, computed inside
   the row (sort the tokens, count runs), without a shuffle.
-* `postings`: one row per (language, block, term) with the documents of the
-  block that hold the term, the query-independent part of their scores and the
-  largest of them. A block is a fixed share of the documents (by hash). The
-  table is partitioned by language and by whether the term is frequent, and
-  bucketed by block, so everything known of a document lies in one bucket.
+* `postings`: one row per document and term with the query-independent part of
+  its score. The table is partitioned by language and by whether the term is
+  frequent, and bucketed by block, a fixed share of the documents (by hash), so
+  everything known of a document lies in one bucket.
+* `tops`: per language, block and frequent term the largest part, bucketed alike.
 * `terms`: the lexicon (document frequency, frequent or not, largest part).
 
 A batch is answered by one plan at every size. The query terms are broadcast
@@ -94,8 +94,8 @@ def _folder_bytes(spark: SparkSession, path: str) -> int:
     return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
 
 
-POSTINGS = ("term string, block long, docs array<struct<doc_id: {id_type}, part: double>>, top double, "
-            "lang string, hot boolean")
+POSTINGS = "term string, block long, doc_id {id_type}, part double, lang string, hot boolean"
+TOPS = "term string, block long, top double, lang string"
 
 
 @dataclass
@@ -105,6 +105,7 @@ class CorpusIndex:
     doc_terms: DataFrame
     id_col: str = "doc_id"
     postings: DataFrame | None = None
+    tops: DataFrame | None = None
     terms: DataFrame | None = None
     langs: tuple[str, ...] = (NO_LANG,)
     n_docs: int = 0
@@ -145,21 +146,21 @@ class CorpusIndex:
         # at most (distinct terms of a document) / HOT_DF_SHARE terms are
         # frequent, whatever the corpus: a proven bound, so they are broadcast
         frequent = F.broadcast(terms.filter("hot").select(F.col("term").alias("_t"), F.lit(True).alias("hot")))
-        # whole documents are exchanged by block, then taken apart: the groups (at
-        # most a block's documents) and the files of the buckets follow from it
+        # whole documents are exchanged by block, then taken apart: the files of
+        # the buckets follow from it
         block = F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(blocks))
         dealt = (docs.select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"), block.alias("block"), "runs")
                  .repartition(buckets, "block"))
-        rows = dealt.select("lang", "block", "doc_id", "doc_len", F.explode("runs").alias("r")).select(
-            "lang", "block", F.col("r.term").alias("term"), "doc_id", part.alias("part"))
-        grouped = (rows.groupBy("lang", "block", "term")
-                   .agg(F.collect_list(F.struct("doc_id", "part")).alias("docs"), F.max("part").alias("top"))
-                   .join(frequent, F.col("term") == F.col("_t"), "left")
-                   .select("term", "block", "docs", "top", "lang", F.coalesce("hot", F.lit(False)).alias("hot")))
-        name = _table_name()
-        (grouped.write.mode("overwrite").format("parquet").partitionBy("lang", "hot").bucketBy(buckets, "block")
-         .option("path", f"{path}/postings").saveAsTable(name))
-        spark.sql(f"DROP TABLE {name}")         # external: the files stay
+        rows = (dealt.select("lang", "block", "doc_id", "doc_len", F.explode("runs").alias("r"))
+                .select("lang", "block", F.col("r.term").alias("term"), "doc_id", part.alias("part"))
+                .join(frequent, F.col("term") == F.col("_t"), "left")
+                .select("term", "block", "doc_id", "part", "lang", F.coalesce("hot", F.lit(False)).alias("hot")))
+        id_type = docs.schema[self.id_col].dataType.simpleString()
+        _write_bucketed(rows, f"{path}/postings", buckets, ["lang", "hot"])
+        postings = _bucketed(spark, f"{path}/postings", POSTINGS.format(id_type=id_type), buckets, "lang, hot")
+        # read back by bucket: no exchange
+        tops = postings.filter("hot").groupBy("lang", "block", "term").agg(F.max("part").alias("top"))
+        _write_bucketed(tops.select("term", "block", "top", "lang"), f"{path}/tops", buckets, ["lang"])
         spark.createDataFrame([(self.id_col, n_docs, buckets, sorted(r["lang"] for r in per_lang))],
                               "id_col string, n_docs long, buckets int, langs array<string>") \
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -177,8 +178,9 @@ class CorpusIndex:
         path = path.rstrip("/")
         meta = spark.read.parquet(f"{path}/meta").first()
         docs = spark.read.parquet(f"{path}/docs")
-        postings = _bucketed(spark, f"{path}/postings", docs.schema[meta["id_col"]].dataType.simpleString(), meta["buckets"])
-        return cls(docs, meta["id_col"], postings, spark.read.parquet(f"{path}/terms"),
+        postings = POSTINGS.format(id_type=docs.schema[meta["id_col"]].dataType.simpleString())
+        return cls(docs, meta["id_col"], _bucketed(spark, f"{path}/postings", postings, meta["buckets"], "lang, hot"),
+                   _bucketed(spark, f"{path}/tops", TOPS, meta["buckets"], "lang"), spark.read.parquet(f"{path}/terms"),
                    tuple(meta["langs"]) or (NO_LANG,), int(meta["n_docs"]), path)
 
 
@@ -186,11 +188,18 @@ def _table_name() -> str:
     return f"askbatch_postings_{uuid.uuid4().hex[:12]}"
 
 
-def _bucketed(spark: SparkSession, path: str, id_type: str, buckets: int) -> DataFrame:
-    """The postings of a folder with their partitions and buckets: an external
+def _write_bucketed(rows: DataFrame, path: str, buckets: int, partitions: list[str]) -> None:
+    name = _table_name()
+    (rows.write.mode("overwrite").format("parquet").partitionBy(*partitions).bucketBy(buckets, "block")
+     .option("path", path).saveAsTable(name))
+    rows.sparkSession.sql(f"DROP TABLE {name}")         # external: the files stay
+
+
+def _bucketed(spark: SparkSession, path: str, columns: str, buckets: int, partitions: str) -> DataFrame:
+    """The rows of a folder with their partitions and buckets: an external
     table of the session's catalog that names the files in place."""
     name = _table_name()
-    spark.sql(f"CREATE TABLE {name} ({POSTINGS.format(id_type=id_type)}) USING parquet PARTITIONED BY (lang, hot) "
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY ({partitions}) "
               f"CLUSTERED BY (block) INTO {buckets} BUCKETS LOCATION '{path}'")
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
     return spark.table(name)
@@ -264,9 +273,7 @@ def _co_located(spark: SparkSession) -> None:
 
 def _sums(hits: DataFrame) -> DataFrame:
     """Scores per query and document, within the buckets of `block`."""
-    one = hits.select("qid", "lang", "block", "idf", F.explode("docs").alias("d"))
-    return (one.groupBy("qid", "lang", "block", F.col("d.doc_id").alias("doc_id"))
-            .agg(F.sum(F.col("idf") * F.col("d.part")).alias("score")))
+    return hits.groupBy("qid", "lang", "block", "doc_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
 
 
 def _paired(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -283,36 +290,34 @@ def _threshold(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     seeds = top_k(rare, k).select("qid", "lang", "block", "doc_id")
     # k rows a query
     wanted = F.broadcast(seeds.join(F.broadcast(terms.select("qid", "lang", "term", "idf")), ["qid", "lang"])
-                         .select("lang", "block", "term", "qid", "idf", F.col("doc_id").alias("seed")))
-    part = F.get(F.filter("docs", lambda d: d["doc_id"] == F.col("seed")), F.lit(0))["part"]
-    full = (postings.select("lang", "block", "term", "docs").join(wanted, ["lang", "block", "term"])
-            .groupBy("qid", "lang", "block", "seed").agg(F.sum(F.col("idf") * F.coalesce(part, F.lit(0.0))).alias("score")))
+                         .select("lang", "block", "term", "qid", "idf", "doc_id"))
+    full = _sums(postings.select("lang", "block", "term", "doc_id", "part").join(wanted, ["lang", "block", "term", "doc_id"]))
     best = full.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
     return best.filter(F.col("n") == k).select("qid", "floor")
 
 
 def _split_terms(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """The terms with the query's `floor` and whether they are `late`. Written
-    as a table, so the threshold is computed once."""
+    """The terms with the query's `floor` and whether they are `late`, which
+    only frequent terms are. Written as a table, so the threshold is computed
+    once."""
     floor = F.broadcast(_threshold(postings, terms, k))     # a row per query
-    upto = Window.partitionBy("qid", "lang").orderBy("most", "term")
-    late = F.coalesce(F.sum("most").over(upto) <= F.col("floor") * F.lit(LATE_SHARE), F.lit(False))
+    upto = Window.partitionBy("qid", "lang", "hot").orderBy("most", "term")
+    late = F.col("hot") & F.coalesce(F.sum("most").over(upto) <= F.col("floor") * F.lit(LATE_SHARE), F.lit(False))
     return checkpointed(terms.join(floor, "qid", "left").withColumn("late", late), "query-terms-split")
 
 
 def _essential(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, lang, block, floor, doc_id, score) by the terms that are not late."""
     mine = terms.filter("NOT late").select("qid", "lang", "term", "idf", "floor")
-    one = _paired(postings, mine).select("qid", "lang", "block", "idf", "floor", F.explode("docs").alias("d"))
-    return (one.groupBy("qid", "lang", "block", "floor", F.col("d.doc_id").alias("doc_id"))
-            .agg(F.sum(F.col("idf") * F.col("d.part")).alias("score")))
+    return (_paired(postings, mine).groupBy("qid", "lang", "block", "floor", "doc_id")
+            .agg(F.sum(F.col("idf") * F.col("part")).alias("score")))
 
 
-def _late_rows(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def _late_rows(postings: DataFrame, tops: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, lang, block, term, found): the scores of the documents that may
     reach the threshold, by each late term, and with a null term by all others."""
     late = terms.filter("late")
-    bound = (_paired(postings.select("lang", "block", "term", "top"), late.select("qid", "lang", "term", "idf"))
+    bound = (_paired(tops, late.select("qid", "lang", "term", "idf"))
              .groupBy("qid", "lang", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("bound")))
     slack = F.lit(4 * 10.0 ** -DIGITS)          # scores are ranked rounded
     may = (_essential(postings, terms).join(bound, ["qid", "lang", "block"], "left")
@@ -324,16 +329,16 @@ def _late_rows(postings: DataFrame, terms: DataFrame) -> DataFrame:
     asked = (held.join(mine, ["qid", "lang"], "left")
              .withColumn("t", F.explode(F.concat(none, F.coalesce("late", F.array().cast("array<struct<term:string,idf:double>>")))))
              .select("qid", "lang", "block", "held", "t.term", "t.idf"))
-    found = asked.hint("shuffle_hash").join(postings.select("lang", "block", "term", "docs"), ["lang", "block", "term"], "left")
-    ids = F.transform("held", lambda h: h["doc_id"])
-    kept = F.filter("docs", lambda d: F.array_contains(F.col("ids"), d["doc_id"]))
-    return found.withColumn("ids", ids).select(
-        "qid", "lang", "block", "term", F.when(F.col("term").isNull(), F.col("held")).otherwise(
-            F.transform(kept, lambda d: F.struct(d["doc_id"].alias("doc_id"), (d["part"] * F.col("idf")).alias("part")))).alias("found"))
+    lists = postings.filter("hot").select("lang", "block", "term", "doc_id", "part")
+    found = asked.hint("shuffle_hash").join(lists, ["lang", "block", "term"], "left")
+    mine = F.array_contains(F.transform("held", lambda h: h["doc_id"]), F.col("doc_id"))
+    one = F.array(F.struct("doc_id", (F.col("part") * F.col("idf")).alias("part")))
+    return found.select("qid", "lang", "block", "term",
+                        F.when(F.col("term").isNull(), F.col("held")).when(mine, one).alias("found"))
 
 
-def _best(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    one = _late_rows(postings, _split_terms(postings, terms, k)).select("qid", "lang", "block", F.explode("found").alias("d"))
+def _best(postings: DataFrame, tops: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    one = _late_rows(postings, tops, _split_terms(postings, terms, k)).select("qid", "lang", "block", F.explode("found").alias("d"))
     return top_k(one.groupBy("qid", "lang", "block", F.col("d.doc_id").alias("doc_id"))
                  .agg(F.sum("d.part").alias("score")), k)
 
@@ -380,7 +385,7 @@ def retrieve_topk(queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int =
     weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
     out = None
     for terms in _query_blocks(weighted, broadcast_rows):
-        best = _best(index.postings, terms, k) if prune else top_k(_sums(_paired(index.postings, terms)), k)
+        best = _best(index.postings, index.tops, terms, k) if prune else top_k(_sums(_paired(index.postings, terms)), k)
         out = best if out is None else out.unionByName(best)
     return out.select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
                       "doc_id", F.round("score", 4).alias("score"))
@@ -405,10 +410,9 @@ def relaxed_search(queries: DataFrame, index: CorpusIndex, k: int = 5, rounds: i
         every = Window.partitionBy("qid", "lang")
         placed = terms.select("qid", "lang", "term", "idf", F.row_number().over(by_idf).alias("nth"),
                               F.count(F.lit(1)).over(every).alias("terms"))
-        one = _paired(index.postings, placed).select("qid", "lang", "block", "terms", "nth", "idf", F.explode("docs").alias("d"))
         # at most a query's terms
-        given = (one.groupBy("qid", "lang", "block", "terms", F.col("d.doc_id").alias("doc_id"))
-                 .agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("idf") * F.col("d.part")).alias("part")))).alias("g")))
+        given = (_paired(index.postings, placed).groupBy("qid", "lang", "block", "terms", "doc_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("idf") * F.col("part")).alias("part")))).alias("g")))
         lead = F.size(F.filter("g", lambda x, i: x["nth"] == i + 1))
         round_ = F.when(F.col("terms") - F.col("lead") <= rounds, F.col("terms") - F.col("lead") + 1).otherwise(rounds + 2)
         counted = F.when(F.col("round") == rounds + 2, F.col("g")).otherwise(F.slice("g", F.lit(1), F.col("lead")))
@@ -430,11 +434,12 @@ def rows_per_hot_term(queries: DataFrame, index: CorpusIndex, k: int = 5, qid_co
     weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, DEFAULT_BROADCAST_ROWS)
     out = None
     for terms in _query_blocks(weighted, DEFAULT_BROADCAST_ROWS):
-        sized = F.sum(F.size("docs")).alias("n")
+        sized = F.count(F.lit(1)).alias("n")
         split = _split_terms(index.postings, terms, k)
         hot = split.filter("hot").select("qid", "term", "lang", "late")
         every = _paired(index.postings.filter("hot"), hot).groupBy("term", "late").agg(sized)
-        late = _late_rows(index.postings, split).filter(F.col("found").isNotNull()).groupBy("term").agg(F.sum(F.size("found")).alias("n"))
+        late = (_late_rows(index.postings, index.tops, split).filter("term IS NOT NULL AND found IS NOT NULL")
+                .groupBy("term").agg(sized))
         part = (every.select("term", "n", F.lit("pairs").alias("kind"))
                 .unionByName(every.filter("NOT late").select("term", "n", F.lit("read").alias("kind")))
                 .unionByName(late.select("term", "n", F.lit("read").alias("kind"))))
