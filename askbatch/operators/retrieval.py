@@ -271,9 +271,9 @@ def _co_located(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
 
 
-def _sums(hits: DataFrame) -> DataFrame:
+def _sums(hits: DataFrame, *more: str) -> DataFrame:
     """Scores per query and document, within the buckets of `block`."""
-    return hits.groupBy("qid", "lang", "block", "doc_id").agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
+    return hits.groupBy("qid", "block", "doc_id", *more).agg(F.sum(F.col("idf") * F.col("part")).alias("score"))
 
 
 def _paired(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def _threshold(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """(qid, floor): the least full score of the k documents that are best by
     rare terms alone; the k-th best of all cannot be below it. Only for
     queries that have k such documents."""
-    rare = _sums(_paired(postings.filter("NOT hot"), terms.filter("NOT hot")))
+    rare = _sums(_paired(postings.filter("NOT hot"), terms.filter("NOT hot")), "lang")
     seeds = top_k(rare, k).select("qid", "lang", "block", "doc_id")
     # k rows a query
     wanted = F.broadcast(seeds.join(F.broadcast(terms.select("qid", "lang", "term", "idf")), ["qid", "lang"])
