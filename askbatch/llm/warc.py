@@ -42,6 +42,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE_URN = "urn:page:"
 
 ARCHIVE_BYTES = 64 << 20    # an archive is closed when it has this size
+TASK_BYTES = 64 << 20       # bytes of archives that a reading task takes on average
 SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 512, 8192, 32 << 10
 SALTS = 256
 READ_BYTES = 128 << 10
@@ -238,8 +239,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     return checkpointed(records.mapInArrow(run, "path string, n_records long, n_bytes long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = False, batch_bytes: int = 16 << 20) -> DataFrame:
-    """One row per record of the archives that a manifest names."""
+def read_archives(manifest: DataFrame, with_payload: bool = False, batch_bytes: int = 16 << 20,
+                  read_bytes: int = TASK_BYTES) -> DataFrame:
+    """One row per record of the archives that a manifest names. One task reads
+    about `read_bytes` of archives, at least one of them."""
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
              "record_type": pa.string(), "refers_to": pa.int64()}
     if with_payload:
@@ -262,7 +265,10 @@ def read_archives(manifest: DataFrame, with_payload: bool = False, batch_bytes:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     spark_type = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return (manifest.select("path").repartition(F.col("path"))
+    # a stated number of partitions, which adaptive execution does not merge by
+    # the few bytes of the manifest
+    total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
+    return (manifest.select("path").repartition(-(-total // read_bytes) or 1)
             .mapInArrow(run, ", ".join(f"{k} {spark_type[t]}" for k, t in kinds.items())))
 
 
