@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ VERSION = 1
 CHUNK_BITS = 8
 BLOCK = 512
 SHARD_IDS = 8 << 20     # a shard is closed when it holds this many ids
+JOINED = 128            # units of one call of the library
+READ_IDS = 4 << 20      # ids that a reading task takes on average
 
 
 def pack_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -164,16 +167,18 @@ def library_encoder(path: str) -> UnitEncoder:
         space inside go through one call per group, joined by newlines."""
         out: list[bytes | None] = [None] * len(units)
         inline = [i for i, u in enumerate(units) if lone.fullmatch(u)]
-        for at in range(0, len(inline), 4096):
-            some = inline[at:at + 4096]
-            ids = np.array(t.encode_batch_fast(["\n".join([units[i] for i in some])],
-                                               add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == newline[0])
-            if len(newline) != 1 or len(cuts) != len(some) - 1:
-                continue        # a vocabulary that merges newlines
-            begin, end = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-            for i, a, b in zip(some, begin, end, strict=True):
-                out[i] = ids[a:b].tobytes()
+        groups = [inline[at:at + JOINED] for at in range(0, len(inline), JOINED)]
+        for at in range(0, len(groups), 32):
+            some = groups[at:at + 32]
+            lines = t.encode_batch_fast(["\n".join([units[i] for i in g]) for g in some], add_special_tokens=False)
+            for g, e in zip(some, lines, strict=True):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == newline[0])
+                if len(newline) != 1 or len(cuts) != len(g) - 1:
+                    continue        # a vocabulary that merges newlines
+                raw = ids.tobytes()
+                for i, a, b in zip(g, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
+                    out[i] = raw[a:b]
         rest = [i for i, v in enumerate(out) if v is None]
         for at in range(0, len(rest), 4096):
             for i, v in zip(rest[at:at + 4096], one_by_one([units[i] for i in rest[at:at + 4096]]), strict=True):
@@ -218,8 +223,9 @@ def write_token_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: st
                         "token-manifest")
 
 
-def read_token_shards(manifest: DataFrame) -> DataFrame:
-    """Documents of the shards a manifest names: doc_id, start, n_tokens, ids."""
+def read_token_shards(manifest: DataFrame, read_ids: int = READ_IDS) -> DataFrame:
+    """Documents of the shards a manifest names: doc_id, start, n_tokens, ids.
+    One task reads about `read_ids` ids, at least a shard."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 
@@ -231,16 +237,21 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
                 at = 0
                 while at < len(shard.doc_ids):      # batches of bounded size
                     end = max(at + 1, int(np.searchsorted(shard.offsets, shard.offsets[at] + (1 << 20), "right")) - 1)
-                    spans = list(zip(shard.offsets[at:end].tolist(), shard.offsets[at + 1:end + 1].tolist(), strict=True))
+                    cuts = shard.offsets[at:end + 1]
+                    ids = shard.read(int(cuts[0]), int(cuts[-1])).astype("<u4").tobytes()
+                    spans = ((cuts - cuts[0]) * 4).tolist()
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard.doc_ids[at:end], pa.int64()),
-                         pa.array([row["start"] + s for s, _ in spans], pa.int64()),
-                         pa.array([e - s for s, e in spans], pa.int64()),
-                         pa.array([shard.read(s, e).astype("<u4").tobytes() for s, e in spans], pa.binary())],
+                         pa.array(row["start"] + cuts[:-1], pa.int64()),
+                         pa.array(np.diff(cuts), pa.int64()),
+                         pa.array([ids[a:b] for a, b in pairwise(spans)], pa.binary())],
                         names=["doc_id", "start", "n_tokens", "ids"])
                     at = end
 
-    return (shards.repartition(F.col("path"))
+    # a stated number of partitions, which adaptive execution does not merge by
+    # the few bytes of the manifest
+    total = manifest.agg(F.sum("n_ids")).first()[0] or 0
+    return (shards.repartition(-(-total // read_ids) or 1)
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -445,3 +446,16 @@ def test_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_files_are_read_in_many_tasks(llm_spark, tmp_path):
+    docs = llm_spark.range(400).selectExpr("id as doc_id", "concat('word ', id) as text")
+    shards = token_codes.write_token_shards(docs, catalog.vocabulary(), str(tmp_path / "t"), shard_ids=20)
+    assert shards.count() > 20
+    back = token_codes.read_token_shards(shards, read_ids=100)
+    ran = back.select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    assert len({r.p for r in ran}) > 4 and len(ran) == 400
+    pages = docs.selectExpr("doc_id as page_id", "'u' as url", "text as html")
+    archives = warc.write_archives(pages, str(tmp_path / "w"), archive_bytes=500)
+    ran = warc.read_archives(archives, read_bytes=2000).select(F.spark_partition_id().alias("p"), "page_id").collect()
+    assert len({r.p for r in ran}) > 4 and len(ran) == 400
