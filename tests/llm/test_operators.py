@@ -69,6 +69,23 @@ def test_exact_dedup(odd, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_meets_in_the_sort(llm_spark, odd):
+    """Ordinary copies are one run of the sort; salted groups are merged."""
+    rows = [(r.doc_id, fold_az(r.text)) for r in odd.collect()]
+    sizes = Counter(t for _, t in rows)
+    runs = exact_dedup.content_runs(odd).collect()
+    assert all(r._parts is None for r in runs)
+    assert sorted(r._run_n for r in runs if r._rn == 1) == sorted(sizes.values())
+    hot = llm_spark.range(900).selectExpr("if(id % 9 = 0, null, id % 700) as doc_id",
+                                          "if(id % 3 = 0, 'Copy', if(id % 3 = 1, 'cOpy', concat('t', id))) as text")
+    plain = sorted(map(str, exact_dedup.exact_dedup(hot).collect()))
+    for groups in (100, 0):
+        cut = exact_dedup.content_runs(hot, large=50, broadcast_groups=groups).collect()
+        assert len({r._salt for r in cut if r._parts is not None}) > 4 and any(r._parts is None for r in cut)
+        assert sorted(map(str, exact_dedup.exact_dedup(hot, large=50, broadcast_groups=groups).collect())) == plain
+    assert sum("kept=True" in r for r in plain) == 301
+
+
 def test_mixing(odd, empty):
     got = mixing.weighted_fair_schedule(odd).collect()
     assert len(got) == odd.count()
