@@ -83,18 +83,20 @@ class LanguageModel:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 32, rate: float = 0.1,
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword buckets of a whole text and their shares."""
+    words = words_of(text)
+    found, counts = np.unique(subwords(words)[0], return_counts=True) if words else (np.zeros(0, np.int64), np.zeros(0))
+    return found.astype(np.int64), (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 5, batch: int = 32, rate: float = 0.1,
           reject_rate: float = 0.01, seed: int = 7) -> LanguageModel | None:
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
-    bags = []
-    for t in texts:
-        words = words_of(t)
-        found, counts = np.unique(subwords(words)[0], return_counts=True) if words else (np.zeros(0, int), np.zeros(0))
-        bags.append((found, (counts / max(1, counts.sum())).astype(np.float32)))
     usable = np.array([i for i, b in enumerate(bags) if len(b[0])], int)
     order = rng.permutation(usable)
     held = order[:len(order) // 5] if len(order) >= 5 * len(names) else order
@@ -184,13 +186,24 @@ class Scorer:
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                     folds: int = 4, held_out: int = 2, per_class: int = PER_CLASS, **kw) -> LanguageModel | None:
+    """A model of at most `per_class` documents a language. Their bags are
+    computed on the executors; a bag has at most BUCKETS entries."""
     usable = docs.filter((fold(id_col, folds) != held_out) & F.col(text_col).isNotNull())
     sample = stratified_sample(usable, id_col, lang_col, per_class)
     rows = (usable.select(id_col, lang_col, text_col)
             .join(F.broadcast(sample.select(id_col, lang_col)), [id_col, lang_col])
-            .select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).collect())
-    rows = sorted((r["l"], r["t"]) for r in rows)
-    return train([t for _, t in rows], [x for x, _ in rows], **kw)
+            .select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
+
+    def run(batches):
+        for b in batches:
+            for langs, texts in bounded(b.column("l"), b.column("t")):
+                bags = [bag(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [langs, pa.array([i.tobytes() for i, _ in bags], pa.binary()),
+                     pa.array([v.tobytes() for _, v in bags], pa.binary())], names=["l", "idx", "val"])
+    got = sorted((r["l"], bytes(r["idx"]), bytes(r["val"]))
+                 for r in rows.mapInArrow(run, "l string, idx binary, val binary").collect())
+    return train([(np.frombuffer(i, np.int64), np.frombuffer(v, np.float32)) for _, i, v in got], [x for x, _, _ in got], **kw)
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id",
