@@ -163,12 +163,12 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .groupBy("_mid", "_msource", "_msize")
             .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"),
                  F.min("_f0").alias("_f0"), F.min("_lap").alias("_lap")))
-    cols = docs.columns
-    sized = docs.select(*[F.col(f"`{c}`") for c in cols],
+    # the row as one struct: its own columns may have any names
+    sized = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_did"), F.col(source_col).alias("_dsource"),
                         F.regexp_count(whole_text(F.col(text_col)), F.lit(WORD)).cast("long").alias("_dsize"))
-    same = (F.col(id_col).eqNullSafe(F.col("_mid")) & F.col(source_col).eqNullSafe(F.col("_msource"))
+    same = (F.col("_did").eqNullSafe(F.col("_mid")) & F.col("_dsource").eqNullSafe(F.col("_msource"))
             & (F.col("_dsize") == F.col("_msize")))
-    nth = Window.partitionBy("_mid", "_msource", "_msize").orderBy(text_col)
+    nth = Window.partitionBy("_mid", "_msource", "_msize").orderBy(F.col("_doc").getField(text_col))
     share = F.floor((F.col("_copies") + F.col("_rows") - F.col("_nth")) / F.col("_rows")).cast("int")
     return (
         sized.join(plan, same)
@@ -176,5 +176,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(1)))))
         .filter(F.col("_epoch") <= share)
         .withColumn("_finish", F.col("_f0") + (F.col("_epoch") - 1) * F.col("_lap"))
-        .orderBy("_finish", id_col)
-        .select(*[F.col(f"`{c}`") for c in cols]))
+        .orderBy("_finish", "_did")
+        .select("_doc.*"))

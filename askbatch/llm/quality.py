@@ -7,7 +7,9 @@ The pairwise part uses the sum-of-squares identity, so a document costs time
 linear in its features. Features: hashed words and hashed word shapes with the
 square root of their share, and one indicator per statistic for the bin it
 falls in (length, word length, shares of capitals, digits, marks, repeated
-neighbours, distinct words, distinct lines). The model is trained with AdaGrad
+neighbours, distinct words, distinct lines). Of the metadata of a document only its length
+in characters says something of quality; it is read from the text itself (the
+statistic `length`), so a missing or wrong `n_chars` changes no score. The model is trained with AdaGrad
 on a bounded sample: at most `per_class` labelled documents of each class,
 weighted to the class sizes of the whole table. Their features are computed on
 the executors; a document has at most DIMS of them.
@@ -45,7 +47,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def word_shape(word: str) -> str:
     """Capitals A, other letters a, digits 0; runs collapse to one."""
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    s = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(r"\1", s)
 
 
@@ -193,10 +195,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def score_quality(docs: DataFrame, model: FactorisationMachine | float, id_col: str = "doc_id",
                   text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """Per document its score; with `keep_columns` the documents as they came
-    plus the column `_quality_score`."""
+    """Per document `_quality_score` and its identifier or, with
+    `keep_columns`, the whole row as the struct `_doc`, so that no column of the
+    documents can clash."""
     if keep_columns:
-        src = docs.withColumn("_quality_text", whole_text(F.col(text_col)))
+        src = docs.select(F.struct("*").alias("_doc"), whole_text(F.col(text_col)).alias("_quality_text"))
     else:
         src = docs.select(F.col(id_col), whole_text(F.col(text_col)).alias("_quality_text"))
 

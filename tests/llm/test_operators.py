@@ -481,6 +481,13 @@ def test_pipeline(llm_spark, odd):
         if name == "exact dedup":
             texts = [fold_az(r.text) for r in at.collect()]
             assert len(set(texts)) == len(texts) == len({fold_az(r.text) for r in before.collect()})
+    names = ("_key", "_sha", "_rn", "_doc", "_dsize", "_did", "_copies", "_quality_text", "_quality_score", "component_id")
+    clash = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:  # a clashing name keeps its values
+        if name != "tokens":
+            got = stage(llm_spark, clash, ROOT)
+            assert got.columns == clash.columns
+            assert all(r[n] == n for r in got.select(*names).collect() for n in names)
     for _, stage in corpus_pipeline.STAGES:     # odd rows crash no stage
         assert stage(llm_spark, odd, ROOT).count() >= 0
         assert stage(llm_spark, odd.filter("false"), ROOT).count() == 0
