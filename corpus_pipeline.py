@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is
 written as Parquet and read again as the next stage's docs. All stages but the
 last return the columns of documents; each works on all that its predecessor
-kept, and its decisions take effect.
+kept, and its decisions take effect. Further columns pass through whatever their
+names are: the stages hold a row as one struct beside their own columns.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     model = quality.train_quality(docs, labels)
     scored = quality.score_quality(docs, model, keep_columns=True)
-    return scored.filter("_quality_score >= 0.5").select(*_columns(docs))
+    return scored.filter("_quality_score >= 0.5").select("_doc.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +38,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"),
                     F.col("text_sha256").alias("_sha")))
     text = whole_text(F.col("text"))
-    keyed = (docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-             .withColumn("_sha", F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256)))
-    one = Window.partitionBy("_key", "_sha").orderBy("text", "source", "lang")
+    keyed = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_key"),
+                        F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256).alias("_sha"))
+    one = Window.partitionBy("_key", "_sha").orderBy("_doc.text", "_doc.source", "_doc.lang")
     return (keyed.join(kept, ["_key", "_sha"]).withColumn("_rn", F.row_number().over(one))
-            .filter("_rn = 1").select(*_columns(docs)))
+            .filter("_rn = 1").select("_doc.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
