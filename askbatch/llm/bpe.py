@@ -3,8 +3,11 @@
 The symbols of many distinct words stand in one flat array. Each round looks
 up the rank of every adjacent pair by binary search over the sorted pair keys,
 takes the lowest rank of each word, merges all its occurrences from the left,
-and retires words without a known pair. Decoding joins the byte strings of the
-ids and replaces invalid UTF-8 as the tokenizer does.
+and retires words without a known pair. Words of more than LONG_WORD bytes
+(text without a space) take rounds of one rank each instead: the places of a
+rank are kept, and a round looks only at these and at their neighbours, so the
+work stays near n log n. Decoding joins the byte strings of the ids and replaces
+invalid UTF-8 as the tokenizer does.
 
 Edge cases: null counts as empty and has no ids; a text of any length is
 encoded whole, slice by slice at places where no merge can cross; strings of
@@ -16,6 +19,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -37,6 +41,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 STABLE = re.compile("[\x00-ԯ]*")
 NO_RANK = np.int64(1) << 40
 WORDS_PER_ROUND = 1 << 16
+LONG_WORD = 256         # bytes; rounds over longer words look at changed places only
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +51,17 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+def from_the_left(chosen: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of overlapping pairs (a a a) every second one, from the left; pairs
+    begin at the ascending places `chosen`, whose next symbols are `after`."""
+    run = np.r_[True, chosen[1:] != after[:-1]] if len(chosen) else np.zeros(0, bool)
+    if run.all():
+        return chosen
+    first = np.flatnonzero(run)
+    begin = np.repeat(first, np.diff(np.r_[first, len(chosen)]))
+    return chosen[(np.arange(len(chosen)) - begin) % 2 == 0]
+
+
 class ByteBPE:
     def __init__(self, path: str):
         import regex
@@ -86,8 +102,80 @@ class ByteBPE:
             self._library_split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
         return [unit[a:b] for _, (a, b) in self._library_split.pre_tokenize_str(unit)]
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK for unknown ones."""
+        key = (left << self.shift) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each non-empty word, by merge rounds over all of them."""
+        """Ids of each non-empty word."""
+        long = np.fromiter((len(w) > LONG_WORD for w in words), bool, len(words))
+        if not long.any():
+            return self.merge_short(words)
+        out: list = [None] * len(words)
+        for some, how in ((~long, self.merge_short), (long, self.merge_long)):
+            at = np.flatnonzero(some).tolist()
+            for i, ids in zip(at, how([words[i] for i in at]) if at else [], strict=True):
+                out[i] = ids
+        return out
+
+    def merge_long(self, words: list[bytes]) -> list[np.ndarray]:
+        """By rounds of one rank, lowest first, over the places that have it.
+        Symbols are linked to their neighbours; a merge changes the pairs that
+        begin at its place and at the one before, no others."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        sym = np.r_[self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)], 0]
+        n = len(sym) - 1                     # place n stands for no neighbour
+        ends = np.cumsum(lengths)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1] = n
+        before[np.r_[0, ends[:-1]]] = n
+        rank, alive = np.full(n + 1, NO_RANK), np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            at = at[at < n]
+            at = at[after[at] < n]
+            found = self.pair_ranks(sym[at], sym[after[at]])
+            rank[at] = found
+            known = found < NO_RANK
+            at, found = at[known], found[known]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            firsts = found[np.r_[0, cuts]].tolist() if len(found) else []
+            for r, a, b in zip(firsts, [0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=False):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(waiting, r)
+                places[r].append(at[a:b])
+
+        look(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            chosen = places.pop(r)
+            chosen = np.unique(np.concatenate(chosen)) if len(chosen) > 1 else np.sort(chosen[0])
+            chosen = chosen[rank[chosen] == r]
+            if not len(chosen):
+                continue
+            chosen = from_the_left(chosen, after[chosen])
+            gone = after[chosen]
+            sym[chosen] = self.merged[r]
+            rank[chosen] = rank[gone] = NO_RANK
+            alive[gone] = False
+            after[chosen] = after[gone]
+            before[after[chosen]] = chosen
+            left = before[chosen]
+            rank[left] = NO_RANK
+            look(np.concatenate([left, chosen]))
+        word = np.repeat(np.arange(len(words)), lengths)[alive]
+        cut = np.cumsum(np.bincount(word, minlength=len(words)))
+        return np.split(sym[:n][alive].astype("<u4"), cut[:-1])
+
+    def merge_short(self, words: list[bytes]) -> list[np.ndarray]:
+        """By merge rounds over all words, the lowest rank of each word."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         sym = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lengths)
@@ -96,10 +184,7 @@ class ByteBPE:
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             rank = np.full(len(sym), NO_RANK)
             inside = np.flatnonzero(word[1:] == word[:-1])
-            key = (sym[inside] << self.shift) | sym[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            rank[inside[known]] = self.ranks[at[known]]
+            rank[inside] = self.pair_ranks(sym[inside], sym[inside + 1])
             sizes = np.diff(np.r_[first, len(sym)])
             best = np.repeat(np.minimum.reduceat(rank, first), sizes)
             ended = best == NO_RANK
@@ -107,12 +192,8 @@ class ByteBPE:
                 done_sym.append(sym[ended])
                 done_word.append(word[ended])
             take = (rank == best) & ~ended
-            # of overlapping pairs (a a a) every second one, from the left
             chosen = np.flatnonzero(take)
-            run = np.r_[True, chosen[1:] != chosen[:-1] + 1] if len(chosen) else np.zeros(0, bool)
-            if len(chosen) and not run.all():
-                begin = np.repeat(np.flatnonzero(run), np.diff(np.r_[np.flatnonzero(run), len(chosen)]))
-                chosen = chosen[(np.arange(len(chosen)) - begin) % 2 == 0]
+            chosen = from_the_left(chosen, chosen + 1)
             sym[chosen] = self.merged[rank[chosen]]
             stay = ~ended
             stay[chosen + 1] = False
