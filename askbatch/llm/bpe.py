@@ -155,8 +155,7 @@ class ByteBPE:
         look(np.arange(n))
         while waiting:
             r = heapq.heappop(waiting)
-            chosen = places.pop(r)
-            chosen = np.unique(np.concatenate(chosen)) if len(chosen) > 1 else np.sort(chosen[0])
+            chosen = np.unique(np.concatenate(places.pop(r)))
             chosen = chosen[rank[chosen] == r]
             if not len(chosen):
                 continue
