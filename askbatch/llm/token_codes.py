@@ -22,9 +22,10 @@ table writes no file and gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +34,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, scratch_path
-from .bpe import bounded
+from .bpe import PATTERN, STABLE, bounded, byte_symbols
 from .common import numpy_threads_off, whole_text
 from .files import fresh_file, open_input, write_file
-from .units import SPACE, UnitEncoder
+from .units import CACHE_UNITS, SPACE, Recent, UnitEncoder
 
 MAGIC = b"DACTOKEN"
 VERSION = 1
 CHUNK_BITS = 8
 BLOCK = 512
 SHARD_IDS = 8 << 20     # a shard is closed when it holds this many ids
-JOINED = 128            # units of one call of the library
+TOGETHER = 1 << 15      # units cut into words together
+BETWEEN = b"\xff" * 4   # no id: identifiers stay below 2 ** 24
+LONE = re.compile(f" ?[^{SPACE}]+")
 READ_IDS = 4 << 20      # ids that a reading task takes on average
 
 
@@ -149,40 +152,68 @@ class TokenShard:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> UnitEncoder:
-    """Distinct units encoded by the tokenizers library."""
+    """Distinct units encoded by the tokenizers library. Its model is asked once
+    for each distinct word that the pre-tokenizer cuts; units with letters on
+    which Unicode versions may differ, and vocabularies with another
+    pre-tokenizer, go through the whole library instead."""
     numpy_threads_off()
+    import regex
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-
-    newline = t.encode("\n", add_special_tokens=False).ids
-    lone = re.compile(f" ?[^{SPACE}]+")
-
-    def one_by_one(units: list[str]) -> list[bytes]:
+    model, split_words = t.model, regex.compile(PATTERN).findall
+    symbols = dict(enumerate(byte_symbols()))
+    spec = json.loads(t.to_str())
+    cut = spec.get("pre_tokenizer") or {}
+    known_cut = (spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
+                 and not cut.get("add_prefix_space"))
+
+    words = Recent(CACHE_UNITS // 2)
+
+    def learn(wanted: set[str]) -> None:
+        """Have the ids of all wanted words in `words`."""
+        new = words.missing(wanted)
+        lines = [w for w in new if "\n" not in w]
+        shown = "\n".join(lines).encode().decode("latin-1").translate({**symbols, 10: "\n"}).split("\n") if lines else []
+        for w in new:
+            if "\n" in w:
+                lines.append(w)
+                shown.append(w.encode().decode("latin-1").translate(symbols))
+        tokens = list(map(model.tokenize, shown))
+        raw = np.fromiter((t.id for t in chain.from_iterable(tokens)), "<u4").tobytes()
+        ends = (4 * np.cumsum([0, *map(len, tokens)])).tolist()
+        words.update((w, raw[a:b]) for w, (a, b) in zip(lines, pairwise(ends), strict=True))
+
+    def by_words(units: list[str]) -> list[bytes]:
+        """Units without white space but for a space before them are cut
+        together, joined by newlines, which end a word and never begin one."""
+        joined = split_words("\n".join(units))
+        learn(set(joined) - {"\n"})
+        ids = words.__getitem__
+        return b"".join([BETWEEN if w == "\n" else ids(w) for w in joined]).split(BETWEEN)
+
+    def with_space(units: list[str]) -> list[bytes]:
+        parts = list(map(split_words, units))
+        learn(set(chain.from_iterable(parts)))
+        return [b"".join(map(words.__getitem__, p)) for p in parts]
+
+    def by_library(units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode_units(units: list[str]) -> list[bytes]:
-        """A newline ends a word for the pre-tokenizer, so units without white
-        space inside go through one call per group, joined by newlines."""
-        out: list[bytes | None] = [None] * len(units)
-        inline = [i for i, u in enumerate(units) if lone.fullmatch(u)]
-        groups = [inline[at:at + JOINED] for at in range(0, len(inline), JOINED)]
-        for at in range(0, len(groups), 32):
-            some = groups[at:at + 32]
-            lines = t.encode_batch_fast(["\n".join([units[i] for i in g]) for g in some], add_special_tokens=False)
-            for g, e in zip(some, lines, strict=True):
-                ids = np.array(e.ids, "<u4")
-                cuts = np.flatnonzero(ids == newline[0])
-                if len(newline) != 1 or len(cuts) != len(g) - 1:
-                    continue        # a vocabulary that merges newlines
-                raw = ids.tobytes()
-                for i, a, b in zip(g, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                    out[i] = raw[a:b]
-        rest = [i for i, v in enumerate(out) if v is None]
-        for at in range(0, len(rest), 4096):
-            for i, v in zip(rest[at:at + 4096], one_by_one([units[i] for i in rest[at:at + 4096]]), strict=True):
-                out[i] = v
+        out: list[bytes] = [b""] * len(units)
+        for at in range(0, len(units), TOGETHER):
+            some = units[at:at + TOGETHER]
+            stable = known_cut and (STABLE.fullmatch("".join(some)) or list(map(STABLE.fullmatch, some)))
+            lone = list(map(LONE.fullmatch, some))
+            kinds: dict = {by_words: [], with_space: [], by_library: []}
+            for i, u in enumerate(some):
+                kinds[by_library if not stable or (type(stable) is list and not stable[i])
+                      else by_words if lone[i] else with_space].append(i)
+            for how, which in kinds.items():
+                for i, ids in zip(which, how([some[i] for i in which]) if which else [], strict=True):
+                    out[at + i] = ids
         return out
     return UnitEncoder(encode_units, {a.content: i for i, a in t.get_added_tokens_decoder().items()})
 

@@ -52,3 +52,25 @@ def test_time_of_unbroken_text_is_near_linear(both):
     got = ids_of(coder, text)
     assert time.perf_counter() - begin < 5      # 0.35 s alone; 27 s by rounds over the whole word
     assert got == library(text)
+
+
+def test_units_through_the_model_equal_the_whole_library(both):
+    """White space and letters of every kind, at the cuts between units."""
+    from askbatch.llm import token_codes
+    _, library = both
+    coder = token_codes.library_encoder(catalog.vocabulary())
+    rng = random.Random(3)
+    alphabet = [*"abAé \n\t\r'’.,;0١٣ \x85 　日本ЖꙀԯ԰½_-\x1c\x0b", "'s", "'ll", " the", "<|endoftext|>", " ", "\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library(text)
+
+
+def test_letter_classes_of_stable_code_points(both):
+    """Each code point cuts as the library cuts it, alone and between letters."""
+    from askbatch.llm import token_codes
+    _, library = both
+    coder = token_codes.library_encoder(catalog.vocabulary())
+    texts = [a + chr(c) + b for c in range(0x560) for a, b in (("", ""), ("x", "y"), (" 1", " "), ("\n", ".z"))]
+    for text, got in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library(text)
