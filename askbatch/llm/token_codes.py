@@ -46,6 +46,13 @@ BLOCK = 512
 SHARD_IDS = 8 << 20     # a shard is closed when it holds this many ids
 TOGETHER = 1 << 15      # units cut into words together
 BETWEEN = b"\xff" * 4   # no id: identifiers stay below 2 ** 24
+# The split pattern for code points that STABLE admits, in classes of `re`: its
+# word characters include numbers that are no decimal digits, and its white
+# space four control characters, so both are named.
+NUMBERS = r"\d²³¹¼-¾"
+STABLE_WORDS = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\w{SPACE}]|_)+")
+                          .replace(r"\p{L}+", rf"[^\W_{NUMBERS}]+").replace(r"\p{N}+", f"[{NUMBERS}]+")
+                          .replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 LONE = re.compile(f" ?[^{SPACE}]+")
 READ_IDS = 4 << 20      # ids that a reading task takes on average
 
@@ -157,17 +164,16 @@ def library_encoder(path: str) -> UnitEncoder:
     which Unicode versions may differ, and vocabularies with another
     pre-tokenizer, go through the whole library instead."""
     numpy_threads_off()
-    import regex
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-    model, split_words = t.model, regex.compile(PATTERN).findall
+    model, split_words = t.model, STABLE_WORDS.findall
     symbols = dict(enumerate(byte_symbols()))
     spec = json.loads(t.to_str())
     cut = spec.get("pre_tokenizer") or {}
     known_cut = (spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
-                 and not cut.get("add_prefix_space"))
+                 and not cut.get("add_prefix_space") and max(t.get_vocab().values()) < 1 << 24)
 
     words = Recent(CACHE_UNITS // 2)
 
