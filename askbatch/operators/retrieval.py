@@ -13,19 +13,20 @@ An index is written once and read by every query batch:
 
 A batch is answered by one plan at every size. The query terms are broadcast
 (batches beyond the limit are answered in blocks of queries), the postings are
-never shuffled, and scores are summed inside the buckets: the only exchange
-carries k rows per query and task.
-
-With `prune`, frequent terms are paired with fewer documents, for more passes
-over the postings: it pays where a batch's frequent terms make up most of its
-pairs. First the k documents best by rare terms are scored in full; the least
-of these scores is a threshold that the k-th best of all cannot fall below. The
-terms of a query whose largest parts together stay
-under half the threshold are late: no document reaches it by them alone. The
-other terms are scored for every document; what late terms can add is bounded
-by the maxima of the document's block, and only documents that may still reach
-the threshold are paired with the late postings, which are the long ones.
-Nothing is capped, and the ranking equals the exhaustive one.
+never shuffled: those that the batch asks for are put together block by block
+inside the buckets, and a task scores them as matrices (`scoring`). No row per
+query and document is formed; the only exchange carries k rows per query and
+Arrow batch of a bucket.
+
+With `prune`, late terms are met by fewer documents, for one more pass over the
+postings. First the k documents best by rare terms are scored in full; the
+least of these scores is a threshold that the k-th best of all cannot fall
+below. The terms of a query whose largest parts together stay under half the
+threshold are late: no document reaches it by them alone. The other terms are
+scored for every document; what late terms can add is bounded by the maxima of
+the document's block, and only documents that may still reach the threshold
+meet the late terms. Nothing is capped, and the ranking equals the exhaustive
+one.
 
 A query with a market reads the partitions of its language only (dynamic
 partition pruning) and is never paired with a document of another.
@@ -34,13 +35,16 @@ partition pruning) and is never paired with a document of another.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import BROADCAST_BYTES, checkpointed, ensure_parallelism, fits_broadcast, scratch_path
+from ..session import BROADCAST_BYTES, checkpointed, ensure_parallelism, fits_broadcast, scratch_path, ship_package
+from . import scoring
 
 # BM25 parameters (Robertson / Lucene defaults).
 K1 = 1.2
@@ -234,9 +238,10 @@ def query_terms(queries: DataFrame, qid_col: str, text_col: str,
 
 
 def _weighted_terms(queries: DataFrame, index: CorpusIndex, qid_col: str, text_col: str,
-                    mkt_col: str | None, broadcast_rows: int) -> DataFrame:
-    """(qid, term, lang, idf, hot, most): a row per language that a query may
-    read; `most` is the largest score that the term gives any document.
+                    mkt_col: str | None, broadcast_rows: int, by_lang: bool = True) -> DataFrame:
+    """(qid, term, lang, idf, hot, most, key): a row per language that a query
+    may read (without `by_lang` one row for all); `most` is the largest score
+    that the term gives any document, `key` a number for term and language.
     Written as a table: it is measured once and broadcast several times."""
     if mkt_col and not index.has_lang:
         raise ValueError("per-query markets need an index built from a corpus with a language column")
@@ -247,11 +252,42 @@ def _weighted_terms(queries: DataFrame, index: CorpusIndex, qid_col: str, text_c
     df = F.col("df").cast("double")
     idf = F.log(F.lit(1.0) + (F.lit(float(index.n_docs)) - df + F.lit(0.5)) / (df + F.lit(0.5)))
     known = (index.terms.join(vocabulary, "term", "left_semi")
-             .select("term", idf.alias("idf"), "hot", (idf * F.col("most")).alias("most")))
-    every = F.array(*[F.lit(x) for x in index.langs])
+             .select("term", idf.alias("idf"), "hot", (idf * F.col("most")).alias("most"),
+                     F.monotonically_increasing_id().alias("key")))
+    # the numbers hold from here on
+    known = checkpointed(known, "query-vocabulary")
+    langs = index.langs if by_lang or mkt_col else (NO_LANG,)
+    every = F.array(*[F.lit(x) for x in langs])
     lang = F.when(F.col("q_lang").isNull(), every).otherwise(F.array("q_lang")) if mkt_col else every
-    return checkpointed(qt.join(known, "term").select("qid", "term", F.explode(lang).alias("lang"), "idf", "hot", "most"),
-                        "query-terms")
+    nth = F.coalesce(F.array_position(every, F.col("lang")), F.lit(0))     # 0: a language without documents
+    return checkpointed(qt.join(known, "term").select("qid", "term", F.explode(lang).alias("lang"), "idf", "hot", "most", "key")
+                        .withColumn("key", F.col("key") * F.lit(len(langs) + 1) + nth), "query-terms")
+
+
+def _vocabulary(terms: DataFrame, by_lang: bool) -> DataFrame:
+    """(term, key) of a batch, with `by_lang` (lang, term, key); a table."""
+    return checkpointed(terms.select(*(["lang"] if by_lang else []), "term", "key").distinct(), "query-keys")
+
+
+def _held(postings: DataFrame, vocabulary: DataFrame, *more: str) -> DataFrame:
+    """(block, held) with the postings of a block that a batch asks for: blocks
+    are put together inside the buckets."""
+    on = [c for c in ("lang", "term") if c in vocabulary.columns]
+    asked = postings.join(F.broadcast(vocabulary.filter(F.col("term") != "")), on)
+    return asked.groupBy(*more, "block").agg(F.collect_list(F.struct("doc_id", "key", "part")).alias("held"))
+
+
+def _shipped(terms: DataFrame, *columns: str) -> Broadcast:
+    """A block of query terms for the tasks; it fits a broadcast."""
+    ship_package(terms.sparkSession)
+    return terms.sparkSession.sparkContext.broadcast(
+        scoring.Queries(terms.select("qid", "key", "idf", *columns).toArrow()))
+
+
+def _found(rows: DataFrame, task: Callable, terms: DataFrame, postings: DataFrame, more: str = "") -> DataFrame:
+    """What a task finds in its buckets: k rows per query and Arrow batch."""
+    qid, doc_id = (df.schema[c].dataType.simpleString() for df, c in ((terms, "qid"), (postings, "doc_id")))
+    return rows.mapInArrow(task, f"qid {qid}, doc_id {doc_id}, score double{more}")
 
 
 def _query_blocks(weighted: DataFrame, rows: int) -> list[DataFrame]:
@@ -282,28 +318,24 @@ def _paired(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(terms.filter(F.col("term") != "")), ["lang", "term"])
 
 
-def _threshold(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def _threshold(postings: DataFrame, terms: DataFrame, k: int, vocabulary: DataFrame) -> DataFrame:
     """(qid, floor): the least full score of the k documents that are best by
     rare terms alone; the k-th best of all cannot be below it. Only for
     queries that have k such documents."""
-    rare = _sums(_paired(postings.filter("NOT hot"), terms.filter("NOT hot")), "lang")
-    seeds = top_k(rare, k).select("qid", "lang", "block", "doc_id")
-    # k rows a query
-    wanted = F.broadcast(seeds.join(F.broadcast(terms.select("qid", "lang", "term", "idf")), ["qid", "lang"])
-                         .select("lang", "block", "term", "qid", "idf", "doc_id"))
-    full = _sums(postings.select("lang", "block", "term", "doc_id", "part").join(wanted, ["lang", "block", "term", "doc_id"]))
-    best = full.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+    task = scoring.threshold_task(_shipped(terms, "hot"), k)
+    rare = _found(_held(postings, vocabulary, "lang"), task, terms, postings, ", full double")
+    best = top_k(rare, k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("floor"))
     return best.filter(F.col("n") == k).select("qid", "floor")
 
 
-def _split_terms(postings: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+def _split_terms(postings: DataFrame, terms: DataFrame, k: int, vocabulary: DataFrame) -> DataFrame:
     """The terms with the query's `floor` and whether they are `late`, which
     only frequent terms are. Written as a table, so the threshold is computed
     once."""
-    floor = F.broadcast(_threshold(postings, terms, k))     # a row per query
+    floor = _threshold(postings, terms, k, vocabulary)      # a row per query
     upto = Window.partitionBy("qid", "lang", "hot").orderBy("most", "term")
     late = F.col("hot") & F.coalesce(F.sum("most").over(upto) <= F.col("floor") * F.lit(LATE_SHARE), F.lit(False))
-    return checkpointed(terms.join(floor, "qid", "left").withColumn("late", late), "query-terms-split")
+    return checkpointed(terms.join(F.broadcast(floor), "qid", "left").withColumn("late", late), "query-terms-split")
 
 
 def _essential(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -337,10 +369,15 @@ def _late_rows(postings: DataFrame, tops: DataFrame, terms: DataFrame) -> DataFr
                         F.when(F.col("term").isNull(), F.col("held")).when(mine, one).alias("found"))
 
 
-def _best(postings: DataFrame, tops: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    one = _late_rows(postings, tops, _split_terms(postings, terms, k)).select("qid", "lang", "block", F.explode("found").alias("d"))
-    return top_k(one.groupBy("qid", "lang", "block", F.col("d.doc_id").alias("doc_id"))
-                 .agg(F.sum("d.part").alias("score")), k)
+def _best(postings: DataFrame, tops: DataFrame, terms: DataFrame, k: int, vocabulary: DataFrame) -> DataFrame:
+    split = _split_terms(postings, terms, k, vocabulary)
+    # the maxima of a block meet its postings in their bucket
+    on = [c for c in ("lang", "term") if c in vocabulary.columns]
+    maxima = (tops.join(F.broadcast(vocabulary.filter(F.col("term") != "")), on)
+              .groupBy("lang", "block").agg(F.collect_list(F.struct("key", "top")).alias("tops")))
+    rows = _held(postings, vocabulary, "lang").hint("shuffle_hash").join(maxima, ["lang", "block"], "left")
+    task = scoring.pruned_task(_shipped(split, "late", "floor"), k)
+    return top_k(_found(rows, task, terms, postings), k)
 
 
 def score_pairs(queries: DataFrame, index: CorpusIndex, qid_col: str = "qid", text_col: str = "query",
@@ -382,10 +419,15 @@ def retrieve_topk(queries: DataFrame, corpus: DataFrame | CorpusIndex, k: int =
         index = index.materialize()
     if prune:
         _co_located(index.doc_terms.sparkSession)
-    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows, by_lang=False)
+    vocabulary = _vocabulary(weighted, bool(mkt_col))
     out = None
     for terms in _query_blocks(weighted, broadcast_rows):
-        best = _best(index.postings, index.tops, terms, k) if prune else top_k(_sums(_paired(index.postings, terms)), k)
+        if prune:
+            best = _best(index.postings, index.tops, terms, k, vocabulary)
+        else:
+            task = scoring.topk_task(_shipped(terms), k)
+            best = top_k(_found(_held(index.postings, vocabulary), task, terms, index.postings), k)
         out = best if out is None else out.unionByName(best)
     return out.select(F.col("qid").alias(qid_col), F.col("rank").cast("long").alias("rank"),
                       "doc_id", F.round("score", 4).alias("score"))
@@ -403,21 +445,14 @@ def relaxed_search(queries: DataFrame, index: CorpusIndex, k: int = 5, rounds: i
     gave it, in order of idf, and the leading terms that it holds without a gap
     say in which round it comes up and with which score."""
     index = index if index.postings is not None else index.materialize()
-    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows)
+    weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, broadcast_rows, by_lang=False)
+    vocabulary = _vocabulary(weighted, bool(mkt_col))
     out = None
     for terms in _query_blocks(weighted, broadcast_rows):
         by_idf = Window.partitionBy("qid", "lang").orderBy(F.col("idf").desc(), "term")
-        every = Window.partitionBy("qid", "lang")
-        placed = terms.select("qid", "lang", "term", "idf", F.row_number().over(by_idf).alias("nth"),
-                              F.count(F.lit(1)).over(every).alias("terms"))
-        # at most a query's terms
-        given = (_paired(index.postings, placed).groupBy("qid", "lang", "block", "terms", "doc_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("idf") * F.col("part")).alias("part")))).alias("g")))
-        lead = F.size(F.filter("g", lambda x, i: x["nth"] == i + 1))
-        round_ = F.when(F.col("terms") - F.col("lead") <= rounds, F.col("terms") - F.col("lead") + 1).otherwise(rounds + 2)
-        counted = F.when(F.col("round") == rounds + 2, F.col("g")).otherwise(F.slice("g", F.lit(1), F.col("lead")))
-        scored = given.withColumn("lead", lead).withColumn("round", round_.cast("long")).select(
-            "qid", "doc_id", "round", F.aggregate(counted, F.lit(0.0), lambda a, x: a + x["part"]).alias("score"))
+        placed = terms.withColumn("nth", F.row_number().over(by_idf))
+        task = scoring.relaxed_task(_shipped(placed, "nth", *(["lang"] if mkt_col else [])), k, rounds, whole=not mkt_col)
+        scored = _found(_held(index.postings, vocabulary, "lang"), task, terms, index.postings, ", round long")
         first = Window.partitionBy("qid").orderBy("round", F.round("score", DIGITS).desc(), "doc_id")
         best = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
         best = best.withColumn("_first", F.min("round").over(Window.partitionBy("qid"))).filter("round = _first")
@@ -432,10 +467,12 @@ def rows_per_hot_term(queries: DataFrame, index: CorpusIndex, k: int = 5, qid_co
     document) pairs that hold it, and how many of them a top-k search forms."""
     _co_located(index.doc_terms.sparkSession)
     weighted = _weighted_terms(queries, index, qid_col, text_col, mkt_col, DEFAULT_BROADCAST_ROWS)
+    # a key per term and language, as the rows of `weighted`
+    vocabulary = _vocabulary(weighted, by_lang=True)
     out = None
     for terms in _query_blocks(weighted, DEFAULT_BROADCAST_ROWS):
         sized = F.count(F.lit(1)).alias("n")
-        split = _split_terms(index.postings, terms, k)
+        split = _split_terms(index.postings, terms, k, vocabulary)
         hot = split.filter("hot").select("qid", "term", "lang", "late")
         every = _paired(index.postings.filter("hot"), hot).groupBy("term", "late").agg(sized)
         late = (_late_rows(index.postings, index.tops, split).filter("term IS NOT NULL AND found IS NOT NULL")
