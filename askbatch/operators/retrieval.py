@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import BROADCAST_BYTES, checkpointed, ensure_parallelism, fits_broadcast, scratch_path, ship_package
+from ..session import BROADCAST_BYTES, COMPRESSION, checkpointed, ensure_parallelism, fits_broadcast, scratch_path, ship_package
 from . import scoring
 
 # BM25 parameters (Robertson / Lucene defaults).
@@ -124,7 +124,7 @@ class CorpusIndex:
         """Write the index (one tokenising pass) and read it back."""
         spark = self.doc_terms.sparkSession
         path = (path or scratch_path(spark, "index")).rstrip("/")
-        self.doc_terms.write.mode("overwrite").parquet(f"{path}/docs")
+        self.doc_terms.write.mode("overwrite").parquet(f"{path}/docs", compression=COMPRESSION)
         docs = spark.read.parquet(f"{path}/docs")
         lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit(NO_LANG)) if self.has_lang else F.lit(NO_LANG)
         # corpus statistics are fixed from here on: one aggregate
@@ -153,9 +153,14 @@ class CorpusIndex:
         # whole documents are exchanged by block, then taken apart: the files of
         # the buckets follow from it
         block = F.pmod(F.xxhash64(F.col(self.id_col)), F.lit(blocks))
-        dealt = (docs.select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"), block.alias("block"), "runs")
+        # the runs travel as one text of terms (a term holds no space) and an
+        # array of counts, a fraction of the bytes of an array of structs
+        dealt = (docs.filter(F.size("runs") > 0)
+                 .select(F.col(self.id_col).alias("doc_id"), "doc_len", lang.alias("lang"), block.alias("block"),
+                         F.array_join("runs.term", " ").alias("term"), F.col("runs.tf").cast("array<int>").alias("tf"))
                  .repartition(buckets, "block"))
-        rows = (dealt.select("lang", "block", "doc_id", "doc_len", F.explode("runs").alias("r"))
+        rows = (dealt.withColumn("term", F.split("term", " "))
+                .select("lang", "block", "doc_id", "doc_len", F.explode(F.arrays_zip("term", "tf")).alias("r"))
                 .select("lang", "block", F.col("r.term").alias("term"), "doc_id", part.alias("part"))
                 .join(frequent, F.col("term") == F.col("_t"), "left")
                 .select("term", "block", "doc_id", "part", "lang", F.coalesce("hot", F.lit(False)).alias("hot")))
@@ -194,7 +199,7 @@ def _table_name() -> str:
 
 def _write_bucketed(rows: DataFrame, path: str, buckets: int, partitions: list[str]) -> None:
     name = _table_name()
-    (rows.write.mode("overwrite").format("parquet").partitionBy(*partitions).bucketBy(buckets, "block")
+    (rows.write.mode("overwrite").format("parquet").option("compression", COMPRESSION).partitionBy(*partitions).bucketBy(buckets, "block")
      .option("path", path).saveAsTable(name))
     rows.sparkSession.sql(f"DROP TABLE {name}")         # external: the files stay
 

@@ -29,7 +29,7 @@ from ..operators.questions import normalize_query, valid_questions
 from ..operators.retrieval import CorpusIndex, retrieve_topk
 from ..functions.text import is_blank
 from ..schemas import STAGE_QUESTION
-from ..session import checkpointed, ensure_parallelism
+from ..session import COMPRESSION, checkpointed, ensure_parallelism
 from ..sources.pages import fetch_join
 from ..sources.search import scan_search_responses, search_failures
 
@@ -167,7 +167,7 @@ def write_sinks(step: "Prepared | Finished", path: str, sinks: tuple[str, ...] =
         part = df.select(F.lit(f.name).alias("sink"), *[
             (F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns])
         rows = part if rows is None else rows.unionByName(part)
-    rows.write.mode("errorifexists").partitionBy("sink").parquet(path)
+    rows.write.mode("errorifexists").partitionBy("sink").parquet(path, compression=COMPRESSION)
 
 
 def read_sink(spark: SparkSession, path: str, sink: str, columns: list[str]) -> DataFrame:

@@ -99,3 +99,18 @@ def test_no_row_per_query_and_document(spark):
     assert not re.search(r"Keys \[\d+\]: \[qid[^\]]*doc_id", buf.getvalue())
     assert np.isclose(retrieve_topk(qs, idx, k=3, prune=True).agg({"score": "sum"}).first()[0],
                       retrieve_topk(qs, idx, k=3).agg({"score": "sum"}).first()[0])
+
+
+def test_index_exchanges_terms_as_one_text(spark, tmp_path, monkeypatch):
+    from askbatch.operators import retrieval
+    seen = []
+    write = retrieval._write_bucketed
+    monkeypatch.setattr(retrieval, "_write_bucketed", lambda rows, *a: (seen.append(rows), write(rows, *a)))
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c " * 40_000 + "é")], "doc_id long, text string")
+    idx = build_index(docs).materialize(str(tmp_path / "idx"))
+    assert sorted((r.doc_id, r.term) for r in idx.postings.collect()) == [(1, "a"), (1, "b"), (4, "c"), (4, "é")]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        seen[0].explain("formatted")
+    assert "array_join" in buf.getvalue()       # no array of structs travels
+    assert list((tmp_path / "idx" / "docs").glob("*.zstd.parquet"))
