@@ -23,9 +23,9 @@ table writes no file and gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, scratch_path
-from .bpe import PATTERN, STABLE, bounded, byte_symbols
+from .bpe import bounded, byte_symbols, cut_stable
 from .common import numpy_threads_off, whole_text
 from .files import fresh_file, open_input, write_file
-from .units import CACHE_UNITS, SPACE, Recent, UnitEncoder
+from .units import UnitEncoder
 
 MAGIC = b"DACTOKEN"
 VERSION = 1
 CHUNK_BITS = 8
 BLOCK = 512
 SHARD_IDS = 8 << 20     # a shard is closed when it holds this many ids
-TOGETHER = 1 << 15      # units cut into words together
-BETWEEN = b"\xff" * 4   # no id: identifiers stay below 2 ** 24
-# The split pattern for code points that STABLE admits, in classes of `re`: its
-# word characters include numbers that are no decimal digits, and its white
-# space four control characters, so both are named.
-NUMBERS = r"\d²³¹¼-¾"
-STABLE_WORDS = re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\w{SPACE}]|_)+")
-                          .replace(r"\p{L}+", rf"[^\W_{NUMBERS}]+").replace(r"\p{N}+", f"[{NUMBERS}]+")
-                          .replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
-LONE = re.compile(f" ?[^{SPACE}]+")
 READ_IDS = 4 << 20      # ids that a reading task takes on average
 
 
@@ -159,8 +149,8 @@ class TokenShard:
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> UnitEncoder:
-    """Distinct units encoded by the tokenizers library. Its model is asked once
-    for each distinct word that the pre-tokenizer cuts; units with letters on
+    """Texts encoded by the tokenizers library. Its model is asked once for
+    each distinct word that the pre-tokenizer cuts; units with letters on
     which Unicode versions may differ, and vocabularies with another
     pre-tokenizer, go through the whole library instead."""
     numpy_threads_off()
@@ -168,60 +158,35 @@ def library_encoder(path: str) -> UnitEncoder:
     t = Tokenizer.from_file(path)
     t.no_padding()
     t.no_truncation()
-    model, split_words = t.model, STABLE_WORDS.findall
+    model = t.model
     symbols = dict(enumerate(byte_symbols()))
     spec = json.loads(t.to_str())
     cut = spec.get("pre_tokenizer") or {}
     known_cut = (spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True)
-                 and not cut.get("add_prefix_space") and max(t.get_vocab().values()) < 1 << 24)
+                 and not cut.get("add_prefix_space"))
+    split = cut_stable if known_cut else lambda text: None
 
-    words = Recent(CACHE_UNITS // 2)
-
-    def learn(wanted: set[str]) -> None:
-        """Have the ids of all wanted words in `words`."""
-        new = words.missing(wanted)
-        lines = [w for w in new if "\n" not in w]
+    def encode_words(words: list[str]) -> list[bytes]:
+        lines = [w for w in words if "\n" not in w]
         shown = "\n".join(lines).encode().decode("latin-1").translate({**symbols, 10: "\n"}).split("\n") if lines else []
-        for w in new:
-            if "\n" in w:
-                lines.append(w)
-                shown.append(w.encode().decode("latin-1").translate(symbols))
+        if len(lines) < len(words):
+            rest = iter(shown)
+            shown = [w.encode().decode("latin-1").translate(symbols) if "\n" in w else next(rest) for w in words]
         tokens = list(map(model.tokenize, shown))
-        raw = np.fromiter((t.id for t in chain.from_iterable(tokens)), "<u4").tobytes()
-        ends = (4 * np.cumsum([0, *map(len, tokens)])).tolist()
-        words.update((w, raw[a:b]) for w, (a, b) in zip(lines, pairwise(ends), strict=True))
-
-    def by_words(units: list[str]) -> list[bytes]:
-        """Units without white space but for a space before them are cut
-        together, joined by newlines, which end a word and never begin one."""
-        joined = split_words("\n".join(units))
-        learn(set(joined) - {"\n"})
-        ids = words.__getitem__
-        return b"".join([BETWEEN if w == "\n" else ids(w) for w in joined]).split(BETWEEN)
-
-    def with_space(units: list[str]) -> list[bytes]:
-        parts = list(map(split_words, units))
-        learn(set(chain.from_iterable(parts)))
-        return [b"".join(map(words.__getitem__, p)) for p in parts]
-
-    def by_library(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(units, add_special_tokens=False)]
+        raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(tokens)), "<u4").tobytes()
+        return [raw[a:b] for a, b in pairwise((4 * np.cumsum([0, *map(len, tokens)])).tolist())]
 
     def encode_units(units: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(units)
-        for at in range(0, len(units), TOGETHER):
-            some = units[at:at + TOGETHER]
-            stable = known_cut and (STABLE.fullmatch("".join(some)) or list(map(STABLE.fullmatch, some)))
-            lone = list(map(LONE.fullmatch, some))
-            kinds: dict = {by_words: [], with_space: [], by_library: []}
-            for i, u in enumerate(some):
-                kinds[by_library if not stable or (type(stable) is list and not stable[i])
-                      else by_words if lone[i] else with_space].append(i)
-            for how, which in kinds.items():
-                for i, ids in zip(which, how([some[i] for i in which]) if which else [], strict=True):
-                    out[at + i] = ids
-        return out
-    return UnitEncoder(encode_units, {a.content: i for i, a in t.get_added_tokens_decoder().items()})
+        """Units of slices that do not split as a whole; most of them do."""
+        parts = list(map(split, units))
+        rest = [u for u, p in zip(units, parts, strict=True) if p is None]
+        whole = iter([np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(rest, add_special_tokens=False)])
+        ids = iter(encoder.words.all(list(chain.from_iterable(filter(None, parts)))))
+        return [next(whole) if p is None else b"".join(islice(ids, len(p))) for p in parts]
+
+    encoder = UnitEncoder(encode_units, {a.content: i for i, a in t.get_added_tokens_decoder().items()},
+                          cut=split, encode_words=encode_words)
+    return encoder
 
 
 def write_token_shards(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id",

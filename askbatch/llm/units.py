@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, compress, islice
+from operator import not_
+from os.path import commonprefix
 
 # Unicode White_Space (wider classes would cut differently).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -21,7 +24,7 @@ SAFE_CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 
 SLICE_CHARS = 1 << 20       # a longer text is encoded slice by slice
 CACHE_UNITS = 1_600_000   # distinct units kept per worker, some 200 bytes each
-BATCH_CHARS = 4 << 20       # characters of texts encoded together
+BATCH_CHARS = 4 << 20         # characters of texts encoded together
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -37,49 +40,52 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-class Recent(dict):
+class Recent:
     """A bounded cache in two generations: when the young one is full it
     becomes the old one, and what is still used moves over."""
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Make room, take over what the old generation has; the rest."""
-        if len(self) > self.limit // 2:
-            self.old = dict(self)
-            self.clear()
-        out = []
-        for u in wanted:
-            if u not in self:
-                known = self.old.get(u)
-                if known is None:
-                    out.append(u)
-                else:
-                    self[u] = known
-        return out
+    def __init__(self, limit: int, learn: Callable[[list[str]], list[bytes]]):
+        self.limit, self.learn, self.now, self.old = limit, learn, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key; new ones are learned together."""
+        if len(self.now) > self.limit // 2:
+            self.old, self.now = self.now, {}
+        found = list(map(self.now.get, keys))
+        if None in found:
+            lost = set(compress(keys, map(not_, found)))        # no ids are empty
+            new = list(lost.difference(self.old))
+            known = lost.difference(new)
+            self.now.update(zip(known, map(self.old.__getitem__, known), strict=True))
+            self.now.update(zip(new, self.learn(new) if new else [], strict=True))
+            found = [ids or self.now[k] for k, ids in zip(keys, found, strict=True)]
+        return found
 
 
 class UnitEncoder:
     """Texts to little-endian unsigned 32-bit ids, through distinct units.
 
     `encode_units` turns a list of distinct units into their ids as bytes;
-    `whole` maps strings that are matched as one token to their id.
+    `whole` maps strings that are matched as one token to their id. Slices that
+    `cut` splits into the words of the tokenizer (None: it can't) are learned
+    word by word through `encode_words`, which has fewer distinct ones.
     """
 
     def __init__(self, encode_units: Callable[[list[str]], list[bytes]], whole: dict[str, int] | None = None,
-                 limit: int = CACHE_UNITS):
-        self.encode_units, self.limit = encode_units, limit
+                 limit: int = CACHE_UNITS, cut: Callable[[str], list[str] | None] = lambda s: None,
+                 encode_words: Callable[[list[str]], list[bytes]] | None = None):
+        self.cut = cut
         self.whole = {k: v.to_bytes(4, "little") for k, v in (whole or {}).items()}
+        self.mark = commonprefix(list(self.whole))      # a text without it needs no closer look
         self.split_whole = (re.compile("(" + "|".join(re.escape(k) for k in sorted(self.whole, key=len, reverse=True)) + ")")
                             if self.whole else None)
-        self.spaced = Recent(limit // 2)     # ids of " " + key
-        self.plain = Recent(limit // 2)
+        self.spaced = Recent(limit // 2, lambda units: encode_units([" " + u for u in units]))
+        self.plain = Recent(limit // 2, encode_units)
+        self.words = Recent(limit, encode_words)
 
     def _parts(self, text: str) -> Iterator[tuple]:
-        """(dictionary, units) pieces of a text in order, or ids as bytes."""
-        if self.split_whole is not None and any(k in text for k in self.whole):
+        """(cache, units) pieces of a text in order, or ids as bytes."""
+        if self.split_whole is not None and self.mark in text and any(k in text for k in self.whole):
             segments = self.split_whole.split(text)
         else:
             segments = [text]
@@ -90,7 +96,9 @@ class UnitEncoder:
                 yield None, self.whole[segment]
                 continue
             for s in slices(segment):
-                if SPACE_BEFORE_SPACE.search(s):
+                if (words := self.cut(s)) is not None:
+                    yield self.words, words
+                elif SPACE_BEFORE_SPACE.search(s):
                     yield self.plain, CHUNK.findall(s)
                 else:
                     first, *rest = s.split(" ")
@@ -99,17 +107,6 @@ class UnitEncoder:
                     if rest:
                         yield self.spaced, rest
 
-    def _learn(self, parts: list[list[tuple]]) -> None:
-        for cache, mark in ((self.spaced, " "), (self.plain, "")):
-            wanted = set()
-            for doc in parts:
-                for d, units in doc:
-                    if d is cache:
-                        wanted.update(units)
-            new = cache.missing(wanted)
-            if new:
-                cache.update(zip(new, self.encode_units([mark + u for u in new]), strict=True))
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text in order; texts are taken in bounded groups."""
         at = 0
@@ -119,6 +116,8 @@ class UnitEncoder:
                 size += len(texts[at])
                 group.append(list(self._parts(texts[at])))
                 at += 1
-            self._learn(group)
+            found = {}
+            for cache in (self.words, self.spaced, self.plain):
+                found[cache] = iter(cache.all(list(chain.from_iterable(units for doc in group for d, units in doc if d is cache))))
             for doc in group:
-                yield b"".join(units if d is None else b"".join(map(d.__getitem__, units)) for d, units in doc)
+                yield b"".join(units if d is None else b"".join(islice(found[d], len(units))) for d, units in doc)

@@ -74,3 +74,23 @@ def test_letter_classes_of_stable_code_points(both):
     texts = [a + chr(c) + b for c in range(0x560) for a, b in (("", ""), ("x", "y"), (" 1", " "), ("\n", ".z"))]
     for text, got in zip(texts, coder.encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library(text)
+
+
+def test_each_word_is_learned_once():
+    """Marks beside a word make other units of it, but no other words."""
+    from askbatch.llm import token_codes
+    for coder in (token_codes.library_encoder.__wrapped__(catalog.vocabulary()), bpe.ByteBPE(catalog.vocabulary()).units):
+        asked, learn = [], coder.words.learn
+        coder.words.learn = lambda words: asked.extend(words) or learn(words)
+        list(coder.encode(["one two, two. (two) two", "one two! two", " two\ntwo"]))
+        assert len(asked) == len(set(asked)) and asked.count(" two") == 1
+        assert not coder.spaced.now and not coder.plain.now
+
+
+def test_rotation_keeps_what_is_used():
+    from askbatch.llm.units import Recent
+    learned = []
+    cache = Recent(4, lambda keys: learned.extend(keys) or [k.encode() for k in keys])
+    for keys in (["a", "b", "c"], ["a", "d"], ["a", "e", "e"], ["a", "d", "b"]):
+        assert cache.all(keys) == [k.encode() for k in keys]
+    assert learned.count("a") == 1 and sorted(learned) == ["a", "b", "b", "c", "d", "e"]
