@@ -155,26 +155,31 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that share identifier, source and size share the copies taken of
     them, dealt out in turn.
     """
+    key = ("_id", "_source", "_size")
     plan = (weighted_fair_schedule(docs, id_col, text_col, source_col, **kw)
             .filter("copies > 0")
-            .select(F.col(id_col).alias("_mid"), F.col("source").alias("_msource"), F.col("size").alias("_msize"),
+            .select(F.struct(F.col(id_col).alias(key[0]), F.col("source").alias(key[1]), F.col("size").alias(key[2])).alias("_key"),
                     (F.col("cum") / F.col("weight")).alias("_f0"),
                     (F.col("source_size") / F.col("weight")).alias("_lap"), "copies")
-            .groupBy("_mid", "_msource", "_msize")
+            .groupBy("_key")
             .agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"),
                  F.min("_f0").alias("_f0"), F.min("_lap").alias("_lap")))
-    # the row as one struct: its own columns may have any names
-    sized = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_did"), F.col(source_col).alias("_dsource"),
-                        F.regexp_count(whole_text(F.col(text_col)), F.lit(WORD)).cast("long").alias("_dsize"))
-    same = (F.col("_did").eqNullSafe(F.col("_mid")) & F.col("_dsource").eqNullSafe(F.col("_msource"))
-            & (F.col("_dsize") == F.col("_msize")))
-    nth = Window.partitionBy("_mid", "_msource", "_msize").orderBy(F.col("_doc").getField(text_col))
+    # the row as one struct: its own columns may have any names. Null fields of
+    # the key are equal. Join and window share the key, so texts move once for
+    # both: it must have one type on both sides, nullable fields included
+    size = F.regexp_count(whole_text(F.col(text_col)), F.lit(WORD)).cast("long")
+    sized = docs.select(
+        F.struct("*").alias("_doc"),
+        F.struct(F.col(id_col).alias(key[0]), F.col(source_col).alias(key[1]), size.alias(key[2]))
+        .cast(plan.schema["_key"].dataType).alias("_key"))
+    nth = Window.partitionBy("_key").orderBy(F.col("_doc").getField(text_col))
     share = F.floor((F.col("_copies") + F.col("_rows") - F.col("_nth")) / F.col("_rows")).cast("int")
     return (
-        sized.join(plan, same)
+        sized.join(plan, "_key")
         .withColumn("_nth", F.row_number().over(nth))
-        .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.greatest(share, F.lit(1)))))
-        .filter(F.col("_epoch") <= share)
-        .withColumn("_finish", F.col("_f0") + (F.col("_epoch") - 1) * F.col("_lap"))
+        .select("_doc", "_f0", "_lap", F.col("_key")[key[0]].alias("_did"), share.alias("_share"))
+        .filter("_share > 0")
+        .select("*", F.explode(F.sequence(F.lit(1), F.col("_share"))).alias("_epoch"))
+        .select("_doc", "_did", (F.col("_f0") + (F.col("_epoch") - 1) * F.col("_lap")).alias("_finish"))
         .orderBy("_finish", "_did")
         .select("_doc.*"))
