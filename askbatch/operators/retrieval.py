@@ -76,7 +76,7 @@ def with_term_runs(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     lambdas read them: a lambda that referred to the expression itself would
     re-evaluate it per element.
     """
-    sorted_toks = df.select(*keep, F.array_sort(tokens(F.col(text_col))).alias("_toks"))
+    sorted_toks = df.select(*keep, F.sort_array(tokens(F.col(text_col))).alias("_toks"))
     n = F.size("_toks")
     idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     with_starts = sorted_toks.select(

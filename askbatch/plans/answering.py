@@ -99,9 +99,9 @@ def prepare_answers(questions: DataFrame, memo: DataFrame, pages: DataFrame,
         results = checkpointed(ranked.join(urls, "doc_id")
                                .select("question_id", (F.col("rank") - 1).alias("pos"), "url"))
     snapshot = pages if "status" in pages.columns else pages.withColumn("status", F.lit(200))
-    # a snapshot of few files is dealt out before markdown is made of it
-    fetched, fetch_fail = fetch_join(results, ensure_parallelism(snapshot))
-    pages_md = html_to_markdown(fetched)
+    # a snapshot of few files is dealt out before markdown is made of it,
+    # once per page, however many questions it answers
+    pages_md, fetch_fail = fetch_join(results, ensure_parallelism(snapshot), of_page=html_to_markdown)
     requests = build_page_requests(pages_md, misses)
     return Prepared(hits, results, requests, failures.unionByName(fetch_fail))
 

@@ -7,6 +7,8 @@ status is not 200, is a failed fetch and becomes a `failures` row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +65,12 @@ def fetched_picks(picks: DataFrame) -> DataFrame:
     return picks.filter((F.col("status") == 200) & F.col("found"))
 
 
-def fetch_picked(picks: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def fetch_picked(picks: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                 of_page: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(question_id, pos, url, html) of the picks that were downloaded: one
-    scan of the page texts, filtered by the picks."""
+    scan of the page texts, filtered by the picks. With `of_page` it has what
+    that makes of (url, html) instead of html: it is given each page once, and
+    the rows are dealt to the results that asked for the page after it."""
     wanted = fetched_picks(picks).select("question_id", "pos", "url", "version", "copies")
     texts = _versions(pages).filter(F.col("html").isNotNull()).select("url", "version", "html")
 
@@ -73,13 +78,22 @@ def fetch_picked(picks: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAU
         side = F.broadcast(rows) if fits_broadcast(rows, broadcast_rows) else rows
         return texts.join(side, ["url", "version"]).select("question_id", "pos", "url", "html")
 
+    def dealt(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("url", "version").agg(F.collect_list(F.struct("question_id", "pos")).alias("asked"))
+        side = F.broadcast(asked) if fits_broadcast(rows, broadcast_rows) else asked
+        made = of_page(texts.join(side, ["url", "version"]).select("url", "html", "asked"))
+        columns = [c for c in made.columns if c != "asked"]
+        return made.select(F.explode("asked").alias("a"), *columns).select("a.*", *columns)
+
     # of rows that repeat a URL and a page_id the largest text counts; there
     # are none in a sound crawl, and only these are grouped
     repeated = wanted.filter("copies > 1").drop("copies")
-    once = fetched(wanted.filter("copies = 1").drop("copies"))
+    once = wanted.filter("copies = 1").drop("copies")
+    once = dealt(once) if of_page else fetched(once)
     if repeated.isEmpty():
         return once
-    return once.unionByName(fetched(repeated).groupBy("question_id", "pos", "url").agg(F.max("html").alias("html")))
+    largest = fetched(repeated).groupBy("question_id", "pos", "url").agg(F.max("html").alias("html"))
+    return once.unionByName(of_page(largest) if of_page else largest)
 
 
 def fetch_failures(picks: DataFrame) -> DataFrame:
@@ -90,8 +104,8 @@ def fetch_failures(picks: DataFrame) -> DataFrame:
                      .alias("reason")))
 
 
-def fetch_join(results: DataFrame, pages: DataFrame,
-               broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def fetch_join(results: DataFrame, pages: DataFrame, broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+               of_page: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(fetched, failures) for result rows `(question_id, pos, url, ...)`.
 
     The crawl of each URL that counts is picked on narrow columns and written
@@ -100,4 +114,4 @@ def fetch_join(results: DataFrame, pages: DataFrame,
     both steps and no page text is shuffled.
     """
     picks = checkpointed(pick_pages(results, pages, broadcast_rows), "picks")
-    return fetch_picked(picks, pages, broadcast_rows), fetch_failures(picks)
+    return fetch_picked(picks, pages, broadcast_rows, of_page), fetch_failures(picks)
