@@ -172,16 +172,26 @@ class Documents:
             seen, doc = np.unique(doc, return_inverse=True)
             order = order[seen // (int(lang.max(initial=0)) + 1)]
         self.ids = ids.dictionary.take(pa.array(order))
-        key = key.to_numpy()
-        at = np.minimum(np.searchsorted(queries.keys, key), max(len(queries.keys) - 1, 0))
-        known = queries.keys[at] == key if len(queries.keys) else np.zeros(len(key), bool)
-        row, doc, term, part = row[known], doc[known], at[known], part.to_numpy()[known]
-        self.vocabulary = len(queries.keys)
-        order = np.lexsort((term, doc))
-        self.doc, self.term, self.part = doc[order], term[order], part[order]
-        self.place = self.doc * self.vocabulary + self.term
         self.row_of = np.zeros(len(self.ids), np.int64)     # the row (block) that a document came in
         self.row_of[doc] = row
+        del row, ids
+        key = key.to_numpy()
+        self.vocabulary = len(queries.keys)
+        # a batch has millions of postings: few arrays of that length at a time
+        place = np.searchsorted(queries.keys, key)
+        np.minimum(place, max(self.vocabulary - 1, 0), out=place)
+        known = queries.keys[place] == key if self.vocabulary else np.zeros(len(key), bool)
+        part = part.to_numpy()
+        if not known.all():
+            doc, place, part = doc[known], place[known], part[known]
+        doc *= self.vocabulary
+        place += doc
+        del key, known, doc
+        order = np.argsort(place, kind="stable")
+        self.place, self.part = place[order], part[order]
+        del place, order
+        self.doc = self.place // max(self.vocabulary, 1)
+        self.term = (self.place % max(self.vocabulary, 1)).astype(np.int32)
         self._by_term = None
 
     def __len__(self) -> int:

@@ -4,6 +4,7 @@ import contextlib
 import io
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +115,21 @@ def test_index_exchanges_terms_as_one_text(spark, tmp_path, monkeypatch):
         seen[0].explain("formatted")
     assert "array_join" in buf.getvalue()       # no array of structs travels
     assert list((tmp_path / "idx" / "docs").glob("*.zstd.parquet"))
+
+
+def test_postings_of_a_batch_are_copied_few_times():
+    docs, terms = 1500, 200
+    held = pa.StructArray.from_arrays(
+        [pa.array(np.repeat(np.arange(docs), terms)), pa.array(np.tile(np.arange(terms) * 7, docs)),
+         pa.array(np.random.default_rng(1).random(docs * terms))], names=["doc_id", "key", "part"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.ListArray.from_arrays(pa.array([0, docs * terms], pa.int32()), held)],
+                                       names=["block", "held"])
+    queries = scoring.Queries(pa.table({"qid": np.arange(terms), "key": np.arange(terms) * 7, "idf": np.ones(terms)}))
+    tracemalloc.start()
+    try:
+        made = scoring.Documents(batch, queries)
+        kept, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(made.doc) == docs * terms and (made.doc * terms + made.term == made.place).all()
+    assert kept < 30 * docs * terms and peak < 60 * docs * terms
